@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlens.llm import exact_dedup, line_dedup, mixing, sharding
+from loomlens.llm import exact_dedup, line_dedup, mixing, quality, sharding
 from loomlens.llm.common import table
 
 
@@ -20,9 +20,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_jump_shards, op5_exact_dedup, op7_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_jump_shards, op5_exact_dedup, op6_robust_quality, op7_line_dedup)}
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
