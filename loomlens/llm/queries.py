@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlens.llm import exact_dedup, line_dedup, mixing, quality, sharding
+from loomlens.llm import bpe_chunks, exact_dedup, line_dedup, mixing, quality, sharding, token_lengths
 from loomlens.llm.common import table
 
 
+def op1_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_lengths.length_histogram(token_lengths.with_token_counts(table(spark, sf_dir, "documents")))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_jump_shards, op5_exact_dedup, op6_robust_quality, op7_line_dedup)}
+def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_lengths, op2_mix_sources, op3_jump_shards, op5_exact_dedup, op6_robust_quality, op7_line_dedup, op10_bpe_chunks)}
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
