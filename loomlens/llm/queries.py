@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlens.llm import bpe_chunks, exact_dedup, line_dedup, mixing, quality, sharding, token_lengths
+from loomlens.llm import bpe_chunks, exact_dedup, line_dedup, mixing, quality, sharding, substring_dedup, token_lengths
 from loomlens.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_lengths, op2_mix_sources, op3_jump_shards, op5_exact_dedup, op6_robust_quality, op7_line_dedup, op10_bpe_chunks)}
+QUERIES = {f.__name__: f for f in (op1_token_lengths, op2_mix_sources, op3_jump_shards, op4_block_anchors, op5_exact_dedup, op6_robust_quality, op7_line_dedup, op10_bpe_chunks)}
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
