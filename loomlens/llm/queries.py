@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlens.llm import bpe_chunks, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_lengths
+from loomlens.llm import bpe_chunks, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_lengths, toxicity
 from loomlens.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op8_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("_text")
 
@@ -44,5 +49,17 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_lengths, op2_mix_sources, op3_jump_shards, op4_block_anchors, op5_exact_dedup, op6_robust_quality, op7_line_dedup, op9_chosen_path, op10_bpe_chunks)}
+_ALL = (
+    op1_token_lengths,
+    op2_mix_sources,
+    op3_jump_shards,
+    op4_block_anchors,
+    op5_exact_dedup,
+    op6_robust_quality,
+    op7_line_dedup,
+    op8_recurrent_toxicity,
+    op9_chosen_path,
+    op10_bpe_chunks,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
