@@ -82,14 +82,15 @@ def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,),
     """
     most = max(k)
     q = queries.select(group, key, "feature").withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    b = bank.select(group, F.col("feature")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Names of their own: queries and bank may come from one table.
+    b = bank.select(F.col(group).alias("_bank"), F.col("feature").alias("_vector")).withColumn("_meets", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     kinds = {f.name: f.dataType.simpleString() for f in q.schema}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         x = _matrix(left, "feature") if left.num_rows else np.zeros((0, 1))
         best = np.full((left.num_rows, most), np.inf)
         for at in range(0, right.num_rows, 4096):
-            y = _matrix(right.slice(at, 4096), "feature")
+            y = _matrix(right.slice(at, 4096), "_vector")
             for row in range(0, len(x), 1024):
                 xs = x[row : row + 1024]
                 d = np.stack([((y - v) ** 2).sum(axis=1) for v in xs]) if len(xs) else np.zeros((0, len(y)))
@@ -102,7 +103,7 @@ def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,),
         return pa.table(columns)
 
     schema = f"{group} {kinds[group]}, {key} {kinds[key]}, " + ", ".join(f"d{n} double" for n in k)
-    return q.groupBy(group, "_block").cogroup(b.groupBy(group, "_block")).applyInArrow(run, schema)
+    return q.groupBy(group, "_block").cogroup(b.groupBy("_bank", "_meets")).applyInArrow(run, schema)
 
 
 def bank_statistics(patches: DataFrame, ratios: Sequence[float], seed: int = 0) -> DataFrame:

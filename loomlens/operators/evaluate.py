@@ -58,7 +58,7 @@ def confusion_matrix(rows: DataFrame, classes: int) -> DataFrame:
 def classification_report(rows: DataFrame, classes: int) -> DataFrame:
     """(label, precision, recall, f1, support) per class, then 'macro', 'weighted' and 'accuracy' (in f1)."""
     cells = with_top(rows).groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"))
-    sides = cells.select(F.explode(F.array(F.struct(F.col("y").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("pred").alias("c"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")))).alias("s")).select("s.*")
+    sides = cells.select(F.explode(F.array(F.struct(F.col("y").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(F.lit(0).cast("long")).alias("hit")), F.struct(F.col("pred").alias("c"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")))).alias("s")).select("s.*")
     sums = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("c")).join(sides.groupBy("c").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("hit").alias("hit")), "c", "left").fillna(0)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     per = sums.select("c", ratio(F.col("hit"), F.col("said")).alias("precision"), ratio(F.col("hit"), F.col("support")).alias("recall"), ratio(2.0 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"), "support", "hit")

@@ -1,6 +1,6 @@
 """All queries of the library and their DuckDB forms."""
 
-from loomlens.plans import grading_queries
+from loomlens.plans import grading_queries, score_queries
 
-QUERIES = dict(grading_queries.QUERIES)
-ORACLES = dict(grading_queries.ORACLES)
+QUERIES = grading_queries.QUERIES | score_queries.QUERIES
+ORACLES = grading_queries.ORACLES | score_queries.ORACLES
