@@ -3,7 +3,7 @@
 Each task keeps Misra-Gries counters of its digests; the merged candidates are a bounded set, which
 an exact count then verifies. The verified groups' winners are broadcast (their number is bounded by
 `counters`), so a group of any size is settled map-side; all other digests, none of which holds more
-than a 1 / counters share of the rows, are shuffled to their groups in the ordinary way.
+than a 2 / counters share of the rows, are shuffled to their groups in the ordinary way.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ def misra_gries(values, counters: int, found: Counter | None = None) -> Counter:
 
 
 def frequent_candidates(df: DataFrame, column: str, counters: int) -> DataFrame:
-    """At most `counters` values, among them each that more than a 1 / counters share of df's rows
-    hold. Task summaries are merged by sum; a value in n rows is short by rows / (counters + 1) at
-    most, so the least upper bound of what is cut there is below any that must stay."""
+    """At most `counters` values, among them each that more than a 2 / counters share of df's rows hold.
+
+    Task summaries are merged by sum. A value's sum falls short of its count by rows / (counters + 1)
+    at most, so such a value's is above rows / counters, and fewer than `counters` sums can be."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

@@ -118,10 +118,10 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix has them: each row as often as taken / size, rounded half up (0, 1, 2 ...)."""
-    names = docs.columns
-    mixed = mix_sources(docs, carry=names, **options)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "text")
+    mixed = mix_sources(whole, carry=("_row",), **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)).otherwise(F.lit(0)).cast("int")
-    return mixed.select(*names, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select(*names)
+    return mixed.select("_row", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_row.*")
 
 
 #: Written out for DuckDB from the definition, for the default parameters.

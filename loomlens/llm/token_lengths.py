@@ -74,12 +74,11 @@ def length_histogram(counts: DataFrame, block: int = 1024) -> DataFrame:
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """For each context limit: rows that are longer, tokens kept when rows are cut, tokens lost."""
-    spark = histogram.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
+    asked = histogram.withColumn("context_limit", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])))
     cut = F.greatest(F.lit(0), F.col("n_tokens") - F.col("context_limit"))
-    pairs = histogram.join(F.broadcast(asked))
-    sums = pairs.groupBy("context_limit").agg(F.sum(F.when(cut > 0, F.col("n_docs")).otherwise(0)).alias("n_longer_docs"), F.sum((F.col("n_tokens") - cut) * F.col("n_docs")).alias("truncated_total"), F.sum(cut * F.col("n_docs")).alias("lost_tokens"))
-    return sums
+    return asked.groupBy("context_limit").agg(
+        F.sum(F.when(cut > 0, F.col("n_docs")).otherwise(0)).alias("n_longer_docs"), F.sum((F.col("n_tokens") - cut) * F.col("n_docs")).alias("truncated_total"), F.sum(cut * F.col("n_docs")).alias("lost_tokens")
+    )
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
