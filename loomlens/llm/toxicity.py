@@ -95,9 +95,12 @@ class Network:
             x[:, DW:] = np.add.reduceat(self.p["gram"][t.grams], t.gram_ends - lengths) / lengths[:, None]
         return x
 
-    def _run(self, x: np.ndarray, first: np.ndarray, size: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+    def given(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """What the inputs add to the gates, for both directions."""
+        return {d: x @ self.p[f"x{d}"] + self.p[f"c{d}"] for d in "fb"}
+
+    def _run(self, given: np.ndarray, first: np.ndarray, size: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """States (window, step, H) of one direction; size must not increase. keep gets the gates."""
-        given = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
         weights, h = self.p[f"h{d}"], np.zeros((len(first), H), np.float32)
         out = np.zeros((len(first), int(size[0]) if len(size) else 0, H), np.float32)
         active = np.searchsorted(-size, -np.arange(out.shape[1]), side="left")
@@ -116,12 +119,12 @@ class Network:
             out[np.arange(k), t if d == "f" else size[:k] - 1 - t] = after
         return out
 
-    def logits(self, x: np.ndarray, first: np.ndarray, size: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def logits(self, x: np.ndarray, given: dict[str, np.ndarray], first: np.ndarray, size: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """One score (before the sigmoid) for each window; size must not increase."""
         gates = {d: [] if keep is not None else None for d in "fb"}
         steps = int(size[0]) if len(size) else 0
         inside = np.arange(steps) < size[:, None]
-        s = np.concatenate([self._run(x, first, size, "f", gates["f"]), self._run(x, first, size, "b", gates["b"]), x[np.where(inside, first[:, None] + np.arange(steps), 0)] if len(x) else np.zeros((len(first), steps, D), np.float32)], axis=2)
+        s = np.concatenate([self._run(given["f"], first, size, "f", gates["f"]), self._run(given["b"], first, size, "b", gates["b"]), x[np.where(inside, first[:, None] + np.arange(steps), 0)] if len(x) else np.zeros((len(first), steps, D), np.float32)], axis=2)
         e = np.where(inside, s @ self.p["u"], -np.inf)
         a = np.exp(e - e.max(axis=1, keepdims=True)) if steps else e
         a /= a.sum(axis=1, keepdims=True)
@@ -133,7 +136,7 @@ class Network:
     def gradients(self, t: Texts, first: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of the windows against y and its gradient; size must not increase."""
         x, k = self.inputs(t), {}
-        p = _sigmoid(self.logits(x, first, size, k))
+        p = _sigmoid(self.logits(x, self.given(x), first, size, k))
         loss = float(-np.mean(np.where(y > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))))
         g = {n: np.zeros_like(v) for n, v in self.p.items()}
         dl = ((p - y) / len(y)).astype(np.float32)
@@ -169,15 +172,15 @@ class Network:
         np.add.at(g["gram"], t.grams, np.repeat(dx[:, DW:] / lengths[:, None], lengths, axis=0))
         return loss, g
 
-    def window_scores(self, t: Texts, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def window_scores(self, t: Texts, batch: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, first, size, score before the sigmoid) of every window of t."""
         text, first, size = t.windows()
         x, out = self.inputs(t), np.zeros(len(text), np.float32)
+        given = self.given(x)
         order = np.argsort(-size, kind="stable")
         for i in range(0, len(order), batch):
             o = order[i : i + batch]
-            low, high = int(first[o].min()), int((first[o] + size[o]).max())
-            out[o] = self.logits(x[low:high], first[o] - low, size[o])
+            out[o] = self.logits(x, given, first[o], size[o])
         return text, first, size, out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -201,6 +204,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs:
     whole = Texts(texts)
     words, at = np.unique(whole.hashes, return_inverse=True)
     pairs = np.unique(np.repeat(np.arange(len(texts)), whole.counts) * len(words) + at)
+    del whole, at
     seen = [np.bincount(pairs[labels[pairs // len(words)] == c] % len(words), minlength=len(words)) for c in (0, 1)]
     often = np.flatnonzero(seen[0] + seen[1] >= min_texts)
     net = Network(words[often], seed)
@@ -212,16 +216,21 @@ def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs:
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
+    parts = [range(i, min(i + 200, len(texts))) for i in range(0, len(texts), 200)]
     for _ in range(epochs):
-        text, first, size, out = net.window_scores(whole)
-        order = np.lexsort((-out, text))
-        best = order[np.unique(text[order], return_index=True)[1]]
+        best = []  # (text, first word in it, words) of each text's highest window
+        for part in parts:
+            t = Texts([texts[i] for i in part])
+            text, first, size, out = net.window_scores(t)
+            begin = np.cumsum(t.counts) - t.counts
+            order = np.lexsort((-out, text))
+            for j in order[np.unique(text[order], return_index=True)[1]]:
+                best.append((part[text[j]], int(first[j] - begin[text[j]]), int(size[j])))
         random.shuffle(best)
         for i in range(0, len(best), batch):
-            pick = best[i : i + batch]
-            pick = pick[np.argsort(-size[pick], kind="stable")]
-            own = Texts([b" ".join(plain(texts[text[j]]).split()[first[j] - _start(whole, text[j]) : first[j] - _start(whole, text[j]) + size[j]]) for j in pick])
-            _, g = net.gradients(own, np.cumsum(own.counts) - own.counts, own.counts, labels[text[pick]].astype(np.float32))
+            pick = sorted(best[i : i + batch], key=lambda w: -w[2])
+            own = Texts([b" ".join(plain(texts[d]).split()[at : at + n]) for d, at, n in pick])
+            _, g = net.gradients(own, np.cumsum(own.counts) - own.counts, own.counts, labels[[w[0] for w in pick]].astype(np.float32))
             step += 1
             for k in net.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -230,12 +239,6 @@ def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs:
     return net
 
 
-def _start(t: Texts, i: int) -> int:
-    if not hasattr(t, "_begin"):
-        t._begin = np.cumsum(t.counts) - t.counts
-    return int(t._begin[i])
-
-
 def fold(doc_id) -> int | None:
     """crc32 of the id as text modulo 5; 0 is held out."""
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 5
