@@ -204,3 +204,20 @@ def near_deduplicated(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
     kept = rows.join(stay, rows["_id"].eqNullSafe(stay["doc_id"]) & (rows["_text"] == stay["_hash"]), "left_semi")
     return kept.dropDuplicates(["_id", "_text"]).select("_row.*")
+
+
+ORACLE = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM split),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM split UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x),
+component AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM split s JOIN component USING (doc_id) LEFT JOIN size USING (doc_id)
+"""

@@ -62,4 +62,11 @@ _ALL = (
     op10_bpe_chunks,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op2_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+ORACLES = {
+    "op2_mix_sources": mixing.ORACLE,
+    "op3_jump_shards": sharding.ORACLE,
+    "op4_block_anchors": substring_dedup.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op9_chosen_path": near_dedup.ORACLE,
+}

@@ -46,20 +46,21 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, buckets: int = 256) ->
 
     Size is the UTF-8 length plus 1; a null text counts as empty (size 1, crc32 0). A null doc_id
     is hashed as 0. Repeated rows share a shard and get slots of their own. Slots order a shard's
-    rows by bucket of the key's hash, key, size and crc32. An empty table gives no rows. Other
+    rows by bucket of the key's md5, key, size and crc32. An empty table gives no rows. Other
     columns of docs don't matter, whatever their names.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     text = F.coalesce(F.col("text"), F.lit(""))
+    bucket = (F.conv(F.substring(F.md5(key.cast("string")), 1, 6), 16, 10).cast("long") % buckets).cast("int")
     slim = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         jump_hash(key, shards).alias("shard"),
         jump_hash(key, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket"),
+        bucket.alias("_bucket"),
     )
-    ids = docs.select(jump_hash(key, shards).alias("shard"), F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket"))
+    ids = docs.select(jump_hash(key, shards).alias("shard"), bucket.alias("_bucket"))
     counts = ids.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -69,3 +70,26 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, buckets: int = 256) ->
         .join(offsets, ["shard", "_bucket"])
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_offset") + F.col("_rank") - 1).cast("long").alias("slot"), "grown_shard")
     )
+
+
+#: The same in DuckDB: its 128-bit integers for the generator, and crc32 bit by bit from its polynomial.
+ORACLE = r"""
+WITH RECURSIVE crc_bits AS (
+  SELECT i AS n, i AS c, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, step + 1 FROM crc_bits WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc_bits WHERE step = 8),
+bytes AS (
+  SELECT doc_id, row_number() OVER () AS no, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b, coalesce(doc_id, 0) AS id FROM documents),
+crc AS (SELECT no, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c & 255, x) + 1)::INT]), 4294967295)) AS text_crc32 FROM bytes, crc_table),
+jump AS (
+  SELECT no, n, (id::HUGEINT + 18446744073709551616) % 18446744073709551616 AS key, -1::BIGINT AS b, 0::BIGINT AS j FROM bytes, (VALUES (16), (17)) v(n)
+  UNION ALL
+  SELECT no, n, k, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k // 8589934592) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT *, (key * 2862933555777941757 % 18446744073709551616 + 1) % 18446744073709551616 AS k FROM jump WHERE j < n)),
+shards AS (SELECT no, n, max(b) AS shard FROM jump GROUP BY no, n)
+SELECT x.doc_id, x.size, c.text_crc32, 'key' AS law, s.shard::INT AS shard,
+       row_number() OVER (PARTITION BY s.shard ORDER BY ('0x' || substr(md5(x.id::VARCHAR), 1, 6))::BIGINT % 256, x.doc_id NULLS LAST, x.size, c.text_crc32) - 1 AS slot,
+       g.shard::INT AS grown_shard
+FROM bytes x JOIN crc c USING (no) JOIN shards s ON s.no = x.no AND s.n = 16 JOIN shards g ON g.no = x.no AND g.n = 17
+"""

@@ -208,3 +208,21 @@ def without_repeated_passages(docs: DataFrame, *, window: int = 13, bucket_bytes
     owners = windows.groupBy("part").applyInArrow(_window_owners, "_bucket int, keys binary, ids binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
     return dealt.groupBy("_bucket").cogroup(owners.groupBy("_bucket")).applyInArrow(_remove(window, texts), schema)
+
+
+ORACLE = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, greatest(len(w) - 11, 1))) AS pos,
+         unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(w[i : i + 12], ' '))) AS seq FROM split),
+first AS (SELECT seq, min(doc_id) AS owner FROM windows GROUP BY seq),
+repeated AS (SELECT w.doc_id, w.pos FROM windows w JOIN first f USING (seq) WHERE f.owner < w.doc_id),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM repeated, range(13) t(k)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM split),
+kept AS (
+  SELECT doc_id, count(*) FILTER (g.pos IS NOT NULL) AS n_removed,
+         string_agg(x, ' ' ORDER BY word.pos) FILTER (g.pos IS NULL) AS text
+  FROM word LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept USING (doc_id)
+"""
