@@ -139,6 +139,44 @@ def test_quality_statistics(docs, rows, none):
     assert good.columns == docs.columns and rows_of(good, "doc_id") == rows_of(found.where("kept"), "doc_id")
 
 
+def test_quality_distances_against_numpy(spark):
+    """The estimates and distances of two groups, one small, from the definition."""
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(140):
+        words = ["".join(r.choice(list("abcdefgh"), max(1, int(r.normal(5, 2))))) for _ in range(int(r.integers(25, 90)))]
+        words += ["#$"] * int(r.integers(0, 3)) * (i % 5 == 0)
+        lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+        rows.append((i, "\n".join(lines + lines[:1] * (i % 7 == 0)), "en", "big" if i % 10 else "small"))
+    found = {x.doc_id: x for x in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    x, fails = np.zeros((140, 4)), np.zeros(140, bool)
+    for i, t, *_ in rows:
+        n, chars, symbols, dup, repeat = brute.statistics(t)
+        fails[i] = n < 20 or 100 * repeat > 30 * n
+        x[i] = np.log((chars + 100) / (n + 20)), np.sqrt(symbols / (n + 20)), np.sqrt(dup / (len(t.split("\n")) + 5)), np.sqrt(repeat / (n + 20))
+
+    def squared(v, m, c):
+        d = v - m
+        return (d @ np.linalg.inv(c + np.diag(np.square(quality.FLOORS))) * d).sum(axis=1)
+
+    def estimate(v):
+        q = np.percentile(v.round(3), [25, 50, 75], axis=0)
+        m, c = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)
+        for _ in range(3):
+            bins = np.floor(8 * np.log2(squared(v, m, c) + 1e-6))
+            near = v[bins <= np.sort(bins)[int(np.ceil(len(v) * 0.75)) - 1]]
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True) * quality.CONSISTENT
+        return m, c
+
+    small = np.array([i % 10 == 0 for i in range(140)])
+    whole = estimate(x[~fails])
+    for group in (small, ~small):
+        v = x[group & ~fails]
+        m, c = ((a * len(v) + b * 50) / (len(v) + 50) for a, b in zip(estimate(v), whole, strict=True))
+        for i, d in zip(np.flatnonzero(group), squared(x[group], m, c), strict=True):
+            assert found[i].distance == pytest.approx(d, rel=1e-4) and found[i].kept == (not fails[i] and d <= quality.CUTOFF)
+
+
 def test_quality_rejects_outliers_and_keeps_clean(spark):
     r = np.random.default_rng(5)
     clean = [" ".join("".join(r.choice(list("abcdefgh"), max(1, int(r.normal(5, 2))))) for _ in range(120)) for _ in range(150)]
