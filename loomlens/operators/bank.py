@@ -109,27 +109,18 @@ def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,),
 def bank_statistics(patches: DataFrame, ratios: Sequence[float], seed: int = 0) -> DataFrame:
     """(category, ratio, n, n_keep, kept_share, radius): how far any normal patch is from the bank.
 
-    A greedy bank is a prefix of a larger one, so one run to the largest ratio serves all of them.
+    A greedy bank is a prefix of a larger one, so one run to the largest ratio serves all of them; the
+    distances then run in blocks, with category and ratio as the group.
     """
-    normal = normal_patches(patches)
-    rows = normal.select("category", "patch_id", "feature").withColumn("_start", start_order(seed))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("patch_id")
-        features = _matrix(table, "feature")
-        first = int(np.argmin(np.array(table.column("_start").to_pylist())))
-        keeps = [min(len(features), max(1, int(len(features) * r))) for r in ratios]
-        order, _ = greedy_centers(features, max(keeps), first)
-        radii = []
-        for keep in keeps:
-            nearest = np.full(len(features), np.inf)
-            for c in order[:keep]:
-                nearest = np.minimum(nearest, ((features - features[c]) ** 2).sum(axis=1))
-            radii.append(float(np.sqrt(nearest.max())))
-        n = len(ratios)
-        return pa.table({"category": [table.column("category")[0].as_py()] * n, "ratio": [float(r) for r in ratios], "n": [len(features)] * n, "n_keep": keeps, "kept_share": [k / len(features) for k in keeps], "radius": radii})
-
-    return rows.groupBy("category").applyInArrow(run, "category string, ratio double, n long, n_keep long, kept_share double, radius double")
+    normal = normal_patches(patches).select("category", "patch_id", "feature")
+    sizes = bank_sizes(patches, ratios)
+    group = F.concat_ws("|", "category", F.col("ratio").cast("string")).alias("bank")
+    centers = coreset(normal, ratio=max(ratios), seed=seed)
+    banks = centers.join(sizes, "category").where(F.col("rank") < F.col("n_keep")).select(group, "feature")
+    asked = normal.join(sizes.select("category", "ratio"), "category").select(group, "patch_id", "feature")
+    radius = knn_distances(asked, banks, group="bank").groupBy("bank").agg(F.max("d1").alias("radius"))
+    kept = F.col("n_keep") / F.col("n")
+    return sizes.withColumn("bank", group).join(radius, "bank").select("category", "ratio", "n", "n_keep", kept.alias("kept_share"), "radius")
 
 
 def knn_approximate(queries: DataFrame, bank: DataFrame, bucket: float = 1.0, tables: int = 8, limit: float = 2.0) -> DataFrame:

@@ -306,6 +306,16 @@ def test_radius_falls_as_the_bank_grows():
     assert radii == sorted(radii, reverse=True) and radii[-1] == 0
 
 
+def test_bank_statistics(spark):
+    x = np.random.default_rng(4).normal(size=(60, 6))
+    rows = patch_rows(spark, x).withColumns({"label": F.lit(0), "split": F.lit("train")})
+    found = {r.ratio: r for r in B.bank_statistics(rows, [0.05, 0.5, 1.0]).collect()}
+    ids = [r.patch_id for r in B.coreset(rows, ratio=0.05).collect()]
+    x32 = x.astype(np.float32).astype(float)
+    assert found[0.05].radius == pytest.approx(np.sqrt(((x32[:, None] - x32[ids][None]) ** 2).sum(-1)).min(1).max(), abs=1e-5)
+    assert found[1.0].radius == pytest.approx(0, abs=1e-6) and found[0.5].n_keep == 30 and found[0.05].kept_share == pytest.approx(0.05)
+
+
 def test_approximate_neighbours_recall(spark):
     r = np.random.default_rng(2)
     bank, near = r.normal(size=(150, 8)), None
