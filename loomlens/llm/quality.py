@@ -100,6 +100,14 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum(F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(D))).drop(*[f"_y{i}" for i in range(D)])
 
 
+def _with_group(rows: DataFrame, per_group: DataFrame, group: str = "group", salts: int = 32) -> DataFrame:
+    """rows with their group's columns. A group may hold a third of the rows, so rows are spread by a
+    hash of their vector and each group's row is there once for every salt."""
+    salt = F.pmod(F.xxhash64(*[f"x{i}" for i in range(D)]), F.lit(salts)).cast("int")
+    spread = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(spread, [group, "_salt"], "left").drop("_salt")
+
+
 def robust_estimates(rows: DataFrame, steps: int = 3) -> DataFrame:
     """Per `group` of rows with x_i: n, centre m_i and covariance c_ij of the nearest three quarters."""
     start = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(F.round(f"x{i}", 3), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(D)])
@@ -107,10 +115,10 @@ def robust_estimates(rows: DataFrame, steps: int = 3) -> DataFrame:
     start = start.select("group", "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else zero).alias(f"c{i}{j}") for i, j in _triangle()])
     state = written(start)
     for _ in range(steps):
-        near = _distance(rows.join(_cholesky(state), "group")).withColumn("bin", F.floor(8 * F.log2(F.col("d2") + 1e-6)))
+        near = _distance(_with_group(rows, _cholesky(state))).withColumn("bin", F.floor(8 * F.log2(F.col("d2") + 1e-6)))
         upto = Window.partitionBy("group").orderBy("bin")
         reach = near.groupBy("group", "n", "bin").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(upto)).where(F.col("upto") >= F.ceil(F.col("n") * NEAREST)).groupBy("group").agg(F.min("bin").alias("reach"))
-        kept = near.join(reach, "group").where("bin <= reach")
+        kept = _with_group(near, reach).where("bin <= reach")
         sums = kept.groupBy("group", "n").agg(F.count(F.lit(1)).alias("h"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(D)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _triangle()])
         state = written(
             sums.select(
@@ -141,7 +149,7 @@ def quality_verdicts(docs: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), c
     of_both = states.withColumnRenamed("group", "_of_both")
     n = F.coalesce(F.col("n"), F.lit(0))
     leaning = pairs.join(of_lang, "_of_lang").join(of_both, "_of_both", "left").select("_of_both", *[((F.coalesce(F.col(v), F.lit(0.0)) * n + F.col(f"p_{v}") * prior_rows) / (n + prior_rows)).alias(v) for v in values])
-    judged = _distance(slim.join(_cholesky(leaning), "_of_both", "left"))
+    judged = _distance(_with_group(slim, _cholesky(leaning), "_of_both"))
     return judged.select(*[F.col(f"c_{c}").alias(c) for c in carry], *STATISTICS, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).alias("kept"), F.col("d2").alias("distance"))
 
 
