@@ -103,7 +103,8 @@ def _paths(sets: DataFrame) -> DataFrame:
     roots = F.array(*[F.xxhash64(F.lit(t), F.col("sketch")[t * (SKETCH // TREES)]) for t in range(TREES)])
     rows, found = sets.select(F.explode(roots).alias("path"), s), None
     for level in range(LEVELS + 1):
-        nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("s").alias("first")).where("size > 1")
+        # A table, so that the join below can split a node that holds many of the rows.
+        nodes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("s").alias("first")).where("size > 1"))
         # Nodes that are large and will branch, or what is compared: kept as a table, the next level's input.
         met = written(rows.join(nodes, "path"))
         found = met.withColumn("level", F.lit(level)) if found is None else found.unionByName(met.withColumn("level", F.lit(level)))
