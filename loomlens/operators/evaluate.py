@@ -71,14 +71,22 @@ def classification_report(rows: DataFrame, classes: int) -> DataFrame:
 
 
 def evaluate_runs(image_rows: DataFrame, pixel_rows: DataFrame, sizes: DataFrame, by: Sequence[str], digits: int = 4) -> DataFrame:
-    """One row per run: image and pixel AUROC and AP, best image F1, rounded, with the run's sizes."""
+    """One row per run: AUROC, AP and best F1 of images and pixels, and PRO, rounded; with the run's sizes.
+
+    image_rows: (by, score, label); pixel_rows: (by, image_id, y, x, score, gt), image ids unique over runs.
+    """
+    from loomlens.operators import localize as L
     from loomlens.operators import ranking as R
 
-    image, pixel = (R.cumulative(R.score_counts(rows, by), by) for rows in (image_rows, pixel_rows))
-    found = R.auroc_ap(image, by).withColumnsRenamed({"auroc": "image_auroc", "ap": "image_ap"})
-    found = found.join(R.auroc_ap(pixel, by).withColumnsRenamed({"auroc": "pixel_auroc", "ap": "pixel_ap"}), list(by), "left")
-    found = found.join(R.best_f1(image, by).select(*by, F.col("f1").alias("image_f1")), list(by), "left").join(sizes, list(by), "left")
-    values = ["image_auroc", "image_ap", "pixel_auroc", "pixel_ap", "image_f1"]
+    found = sizes
+    for kind, rows, label in (("image", image_rows, "label"), ("pixel", pixel_rows, "gt")):
+        curve = R.cumulative(R.score_counts(rows, by, label=label), by)
+        found = found.join(R.auroc_ap(curve, by).withColumnsRenamed({"auroc": f"{kind}_auroc", "ap": f"{kind}_ap"}), list(by), "left")
+        found = found.join(R.best_f1(curve, by).select(*by, F.col("f1").alias(f"{kind}_f1")), list(by), "left")
+    runs = pixel_rows.select("image_id", *by).distinct()
+    regions = L.components(pixel_rows.where("gt = 1"), 4).join(runs, "image_id")
+    found = found.join(L.overlap_score(pixel_rows, regions, by=by), list(by), "left")
+    values = [f"{k}_{m}" for k in ("image", "pixel") for m in ("auroc", "ap", "f1")] + ["pro"]
     return found.select(*by, *[F.round(v, digits).alias(v) for v in values], *[c for c in sizes.columns if c not in by])
 
 

@@ -157,37 +157,41 @@ def quality_by_size(cells: DataFrame, regions: DataFrame, predicted: DataFrame)
     return quality.join(ap, "bin")
 
 
-def overlap_score(cells: DataFrame, regions: DataFrame, thresholds: int = 200, limit: float = 0.3) -> DataFrame:
-    """PRO: mean share of each region covered against the false positive rate, integrated to `limit`.
+def overlap_score(cells: DataFrame, regions: DataFrame, thresholds: int = 200, limit: float = 0.3, by: Sequence[str] = ()) -> DataFrame:
+    """PRO, per `by` if given: mean share of each region covered against the false positive rate,
+    integrated to `limit`.
 
     Each pixel is put once into a bucket of the evenly spaced thresholds, so one scan serves them all. Null
     without a region. Points with equal rates are ordered by overlap.
     """
-    last = thresholds - 1
-    ends = cells.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    last, by = thresholds - 1, list(by)
+    ends = cells.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count_if(F.col("gt") == 0).alias("n_normal"))
     at = lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / last)
 
+    def beside(rows: DataFrame, few: DataFrame) -> DataFrame:
+        """rows with the columns of a table of one row per `by`."""
+        return rows.join(F.broadcast(few), by, "left") if by else rows.join(F.broadcast(few))
+
     def bucket(rows: DataFrame) -> DataFrame:
         guess = F.coalesce(F.floor(F.try_divide((F.col("score") - F.col("lo")) * last, F.col("hi") - F.col("lo"))), F.lit(last)).cast("long")
-        rows = rows.join(F.broadcast(ends)).withColumn("_g", F.greatest(F.lit(0), F.least(F.lit(last), guess)))
+        rows = beside(rows, ends).withColumn("_g", F.greatest(F.lit(0), F.least(F.lit(last), guess)))
         exact = F.when((F.col("_g") < last) & (at(F.col("_g") + 1) <= F.col("score")), F.col("_g") + 1).when((F.col("_g") > 0) & (at(F.col("_g")) > F.col("score")), F.col("_g") - 1).otherwise(F.col("_g"))
         # The last threshold is the maximum itself.
         return rows.withColumn("bucket", F.when(F.col("score") >= F.col("hi"), F.lit(last)).otherwise(F.least(exact, F.lit(last - 1))))
 
-    regions_n = regions.groupBy("image_id", "comp").agg(F.count(F.lit(1)).alias("area"))
-    n_regions = regions_n.agg(F.count(F.lit(1)).alias("n_regions"))
-    inside = bucket(regions).groupBy("image_id", "comp", "bucket").agg(F.count(F.lit(1)).alias("k")).join(regions_n, ["image_id", "comp"]).groupBy("bucket").agg(F.sum(F.col("k") / (F.col("area") + 1e-8)).alias("overlap"))
-    outside = bucket(cells.where("gt = 0")).groupBy("bucket").agg(F.count(F.lit(1)).alias("fp"))
-    normal = cells.where("gt = 0").agg(F.count(F.lit(1)).alias("n_normal"))
-    steps = cells.sparkSession.range(thresholds).withColumnRenamed("id", "bucket")
-    down = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)  # `thresholds` rows
-    curve = steps.join(inside, "bucket", "left").join(outside, "bucket", "left").join(F.broadcast(n_regions)).join(F.broadcast(normal))
-    curve = curve.select((F.sum(F.coalesce("fp", F.lit(0))).over(down) / (F.col("n_normal") + 1e-8)).alias("fpr"), (F.sum(F.coalesce("overlap", F.lit(0.0))).over(down) / F.nullif("n_regions", F.lit(0))).alias("pro"))
-    order = Window.orderBy("fpr", "pro")
+    areas = regions.groupBy(*by, "image_id", "comp").agg(F.count(F.lit(1)).alias("area"))
+    n_regions = areas.groupBy(*by).agg(F.count(F.lit(1)).alias("n_regions"))
+    inside = bucket(regions).groupBy(*by, "image_id", "comp", "bucket").agg(F.count(F.lit(1)).alias("k")).join(areas, [*by, "image_id", "comp"]).groupBy(*by, "bucket").agg(F.sum(F.col("k") / (F.col("area") + 1e-8)).alias("overlap"))
+    outside = bucket(cells.where("gt = 0")).groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("fp"))
+    steps = ends.select(*by, F.explode(F.sequence(F.lit(0), F.lit(last))).alias("bucket"), "n_normal")
+    down = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)  # `thresholds` rows
+    curve = beside(steps.join(inside, [*by, "bucket"], "left").join(outside, [*by, "bucket"], "left"), n_regions)
+    curve = curve.select(*by, (F.sum(F.coalesce("fp", F.lit(0))).over(down) / (F.col("n_normal") + 1e-8)).alias("fpr"), (F.sum(F.coalesce("overlap", F.lit(0.0))).over(down) / F.nullif("n_regions", F.lit(0))).alias("pro"))
+    order = Window.partitionBy(*by).orderBy("fpr", "pro")
     linked = curve.withColumns({"f0": F.lag("fpr").over(order), "p0": F.lag("pro").over(order), "no": F.row_number().over(order)})
     # From 0 (at the first value), along the curve, to the limit (interpolated).
     first = F.when((F.col("no") == 1), F.when(F.col("fpr") < limit, F.col("fpr") * F.col("pro")).otherwise(F.lit(limit) * F.col("pro")))
     cut = F.col("p0") + (F.col("pro") - F.col("p0")) * F.try_divide(F.lit(limit) - F.col("f0"), F.col("fpr") - F.col("f0"))
     area = F.when(F.col("no") == 1, first).when(F.col("fpr") <= limit, (F.col("fpr") - F.col("f0")) * (F.col("pro") + F.col("p0")) / 2).when(F.col("f0") < limit, (F.lit(limit) - F.col("f0")) * (F.col("p0") + cut) / 2).otherwise(F.lit(0.0))
     end = F.greatest(F.lit(0.0), F.lit(limit) - F.max("fpr")) * F.max_by("pro", F.struct("fpr", "pro"))
-    return linked.agg(((F.sum(area) + end) / limit).alias("pro"))
+    return linked.groupBy(*by).agg(((F.sum(area) + end) / limit).alias("pro"))

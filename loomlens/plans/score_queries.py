@@ -132,23 +132,6 @@ def best_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.best_f1(_image_curve(spark, sf_dir), _BY).where("f1 is not null"), "f1")
 
 
-@query(
-    _IMAGES + _F1 + ", px AS (SELECT 'cat' || (image_id % 4) AS category, score, gt AS label FROM events_px)".replace("events_px", "(SELECT cast(floor(event_id / 256) AS bigint) AS image_id, value AS score, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS gt FROM events)")
-    + """, keyed AS (SELECT c.*, 'cat' || (rn % 4) AS px_category FROM (SELECT category, row_number() OVER (ORDER BY category) - 1 AS rn FROM (SELECT DISTINCT category FROM fx_images)) c),
- pc AS (SELECT k.category, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM px JOIN keyed k ON px.category = k.px_category GROUP BY ALL),
- pcum AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY category) AS p, sum(neg) OVER (PARTITION BY category) AS n FROM pc WINDOW w AS (PARTITION BY category ORDER BY score DESC)),
- pm AS (SELECT category, """ + _AUC.replace(", 6)", ", 4)") + " AS pixel_auroc, " + _AP.replace(", 6)", ", 4)") + " AS pixel_ap FROM pcum GROUP BY category), im AS (SELECT category, " + _AUC.replace(", 6)", ", 4)") + " AS image_auroc, " + _AP.replace(", 6)", ", 4)") + " AS image_ap, max(p + n)::BIGINT AS n_test FROM cum GROUP BY category) SELECT im.category, image_auroc, image_ap, pixel_auroc, pixel_ap, round(f1, 4) AS image_f1, n_test FROM im LEFT JOIN pm ON im.category = pm.category LEFT JOIN best b ON im.category = b.category"
-)
-def evaluate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    images = view(spark, sf_dir, "fx_images")
-    keyed = images.select("category").distinct().withColumn("px", F.row_number().over(Window.orderBy("category")) - 1)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    pixels = events.select((F.floor(F.col("event_id") / 256) % 4).alias("px"), F.col("value").alias("score"), (F.col("event_type") == "error").cast("int").alias("label")).join(F.broadcast(keyed), "px").drop("px")  # one row per category
-    return E.evaluate_runs(images, pixels, images.groupBy("category").agg(F.count(F.lit(1)).alias("n_test")), _BY)
-
-
 # ---- classifier metrics over probabilities ----
 _TOP = with_views("fx_proba") + ", top AS (SELECT *, greatest(p0, p1, p2) AS conf, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM fx_proba)"
 
@@ -294,7 +277,11 @@ def coreset_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.coreset_distributed(B.normal_patches(_patches(spark, sf_dir)), keep=8).select("category", "patch_id", "rank")
 
 
-@query()
+@query(with_views("fx_patches") + _NORMAL + """, arr AS (SELECT category, list(feature::DOUBLE[] ORDER BY patch_id) AS f, arg_min(pos, h) AS first FROM (SELECT *, md5('0|' || patch_id) AS h, row_number() OVER (PARTITION BY category ORDER BY patch_id) AS pos FROM normal) GROUP BY category),
+ g AS (SELECT category, 1 AS k, list_transform(range(1, len(f) + 1), lambda i: list_distance(f[i], f[first])) AS d FROM arr
+  UNION ALL SELECT g.category, k + 1, list_transform(range(1, len(f) + 1), lambda i: least(d[i], list_distance(f[i], f[list_position(d, list_max(d))]))) FROM g JOIN arr ON g.category = arr.category WHERE k < floor(len(f) * 0.25::DOUBLE)),
+ sizes AS (SELECT category, len(f) AS n, r::DOUBLE AS ratio, least(len(f), greatest(1, floor(len(f) * r::DOUBLE)))::BIGINT AS n_keep FROM arr, (SELECT unnest([0.01, 0.05, 0.1, 0.25]) AS r))
+ SELECT s.category, ratio, n, n_keep, round(n_keep / n, 6) AS kept_share, round(list_max(d), 6) AS radius FROM sizes s JOIN g ON s.category = g.category AND s.n_keep = g.k""")
 def bank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.bank_statistics(_patches(spark, sf_dir), RATIOS), "kept_share", "radius")
 
@@ -493,6 +480,35 @@ def pro_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.overlap_score(view(spark, sf_dir, "fx_pixels"), shared_table(_truth(spark, sf_dir, 4))), "pro")
 
 
+# Runs: pixels of image i belong to category number i % categories.
+_RUNS = """, cats AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS no, (SELECT count(DISTINCT category) FROM fx_images) AS k FROM (SELECT DISTINCT category FROM fx_images)),
+ runpx AS (SELECT c.category, p.* FROM fx_pixels p JOIN cats c ON p.image_id % c.k = c.no)"""
+_RUN_CURVE = """, {q}cnt AS (SELECT category, score, count(*) FILTER ({l} = 1) AS pos, count(*) FILTER ({l} = 0) AS neg FROM {t} GROUP BY ALL),
+ {q}cum AS (SELECT *, sum(pos) OVER (PARTITION BY category ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY category ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY category) AS p, sum(neg) OVER (PARTITION BY category) AS n FROM {q}cnt),
+ {q}m AS (SELECT category, CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(pos * (n - fp) + pos * neg / 2) / (max(p) * max(n)) END AS auroc, CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(pos / p * (tp / (tp + fp))) END AS ap,
+          CASE WHEN max(p) > 0 AND max(n) > 0 THEN max(2 * (tp / (tp + fp)) * (tp / nullif(p, 0)) / (tp / (tp + fp) + tp / nullif(p, 0) + 1e-12::DOUBLE)) END AS f1, (max(p) + max(n))::BIGINT AS n_test FROM {q}cum GROUP BY category)"""
+_RUN_PRO = """, ends AS (SELECT category, min(score) AS lo, max(score) AS hi, count(*) FILTER (gt = 0) AS nn FROM runpx GROUP BY category), thr AS (SELECT category, nn, i, CASE WHEN i = 199 THEN hi ELSE lo + i * ((hi - lo) / 199) END AS t FROM ends, range(200) r(i)),
+ creg AS (SELECT q.*, c.category FROM qc q JOIN cats c ON q.image_id % c.k = c.no), reg AS (SELECT category, image_id, comp, count(*) AS area FROM creg GROUP BY ALL), nr AS (SELECT category, count(*) AS n FROM reg GROUP BY category),
+ ov AS (SELECT h.category, i, sum(k / (area + 1e-8::DOUBLE)) AS s FROM (SELECT x.category, i, image_id, comp, count(*) AS k FROM creg x JOIN thr ON x.category = thr.category AND score >= t GROUP BY ALL) h JOIN reg ON h.image_id = reg.image_id AND h.comp = reg.comp GROUP BY ALL),
+ fps AS (SELECT x.category, i, count(*) AS k FROM runpx x JOIN thr ON x.category = thr.category AND score >= t WHERE gt = 0 GROUP BY ALL),
+ curve AS (SELECT thr.category, coalesce(f.k, 0) / (nn + 1e-8::DOUBLE) AS fpr, coalesce(s, 0) / nr.n AS pro FROM thr LEFT JOIN ov ON thr.i = ov.i AND thr.category = ov.category LEFT JOIN fps f ON thr.i = f.i AND thr.category = f.category LEFT JOIN nr ON thr.category = nr.category),
+ seq AS (SELECT category, fpr, pro, lag(fpr) OVER w AS f0, lag(pro) OVER w AS p0 FROM curve WINDOW w AS (PARTITION BY category ORDER BY fpr, pro)),
+ parts AS (SELECT category, CASE WHEN f0 IS NULL THEN least(fpr, 0.3) * pro WHEN fpr <= 0.3 THEN (fpr - f0) * (pro + p0) / 2 WHEN f0 < 0.3 THEN (0.3 - f0) * (p0 + p0 + (pro - p0) * (0.3 - f0) / (fpr - f0)) / 2 ELSE 0 END AS a FROM seq),
+ pros AS (SELECT category, sum(a) / 0.3 AS pro FROM parts GROUP BY category)"""
+
+
+@query(with_views("fx_images", "fx_pixels") + _RUNS + _RUN_CURVE.format(q="i", t="fx_images", l="label") + _RUN_CURVE.format(q="p", t="runpx", l="gt") + _GT + _COMP.format(p="q", t="gt", s=0) + _RUN_PRO + " SELECT im.category, round(im.auroc, 4) AS image_auroc, round(im.ap, 4) AS image_ap, round(im.f1, 4) AS image_f1, round(pm.auroc, 4) AS pixel_auroc, round(pm.ap, 4) AS pixel_ap, round(pm.f1, 4) AS pixel_f1, round(pro, 4) AS pro, im.n_test FROM im LEFT JOIN pm ON im.category = pm.category LEFT JOIN pros ON im.category = pros.category")
+def evaluate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    images = view(spark, sf_dir, "fx_images")
+    names = images.select("category").distinct()
+    numbered = names.select("category", (F.row_number().over(Window.orderBy("category")) - 1).alias("no"), F.count(F.lit(1)).over(Window.partitionBy()).alias("k"))  # one row per category
+    pixels = view(spark, sf_dir, "fx_pixels")
+    pixels = pixels.join(F.broadcast(numbered), F.col("image_id") % F.col("k") == F.col("no")).drop("no", "k")
+    return E.evaluate_runs(images, shared_table(pixels), images.groupBy("category").agg(F.count(F.lit(1)).alias("n_test")), _BY)
+
+
 # ---- typing ----
 @query(with_views("fx_catalog") + " , d AS (SELECT split_part(path, '/', 5) AS defect_type FROM fx_catalog WHERE split_part(path, '/', 5) <> 'good') SELECT defect_type, count(*) AS n, row_number() OVER (ORDER BY defect_type) - 1 AS y FROM d GROUP BY defect_type")
 def typing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
