@@ -4,9 +4,8 @@ A rolling hash over the last bytes cuts each text into chunks, so passages that
 the same chunks wherever they stand. A worker encodes each chunk's whole words once and keeps the
 result for later documents (in two bounded stores; what is pushed out is only encoded again). Cuts
 fall anywhere, also inside words: at each join the straddling run between white space is put together
-and encoded anew. The run starts and ends at ASCII white space, where no token of this tokenizer can
-cross, so the repaired join is checked to agree with the encoding of the joined neighbours, and
-grows by a word on either side until it does.
+and encoded anew. Every join is then checked: the run with the whole words on its sides, encoded
+together, must agree with what stands there. Where it doesn't, the text is encoded again as a whole.
 """
 
 from __future__ import annotations
@@ -59,10 +58,10 @@ class ChunkEncoder:
     """Encodes texts as tokenizer.encode(text, add_special_tokens=False) does, and decodes them.
 
     Words are kept in two generations: a full store becomes the old one, and what is used again moves
-    on from it. A full store of chunks is emptied.
+    on from it. Full stores of chunks and of checked joins are emptied.
     """
 
-    def __init__(self, tokenizer_path: str, mean_bytes: int = 512, word_store: int = 300_000, chunk_bytes: int = 32_000_000):
+    def __init__(self, tokenizer_path: str, mean_bytes: int = 1024, word_store: int = 250_000, chunk_bytes: int = 32_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -77,7 +76,8 @@ class ChunkEncoder:
         self.mean_bytes, self.word_store, self.chunk_bytes = mean_bytes, word_store, chunk_bytes
         self.words: dict[bytes, tuple[int, str, str]] = {}
         self.old_words: dict[bytes, tuple[int, str, str]] = {}
-        self.chunks: dict[bytes, tuple[bytes, int, str, str, bytes, bool]] = {}
+        self.chunks: dict[bytes, tuple] = {}
+        self.sound: set[tuple[bytes, bytes, bytes]] = set()
         self.kept_bytes = self.encoded_bytes = self.seen_bytes = 0
 
     def _known(self, ids: list[int]) -> tuple[int, str, str]:
@@ -139,27 +139,50 @@ class ChunkEncoder:
             runs.update(words)
         self._learn(runs)
         for p, (head, words, tail, spaced) in fresh.items():
-            self.chunks[p] = (head, *self._join(words), tail, spaced)
+            self.chunks[p] = (head, *self._join(words), tail, spaced, words[0] if words else b"", words[-1] if words else b"")
             self.kept_bytes += 4 * len(p)
         laid = [self._lay(ps) for ps in pieces]
-        joins = {part for parts in laid for part in parts if type(part) is bytes}
-        self._learn(joins)
-        return [self._join(parts) for parts in laid]
+        joins = {join for _, own in laid for join in own}
+        self._learn({word for join in joins for word in join if word})
+        if len(self.sound) > self.word_store:
+            self.sound = set()
+        unseen = list(joins - self.sound)
+        torn = self._torn(unseen)
+        self.sound.update(j for j in unseen if j not in torn)
+        found = [self._join(parts) for parts, _ in laid]
+        if torn:
+            again = [i for i, (_, own) in enumerate(laid) if not torn.isdisjoint(own)]
+            for i, ids in zip(again, self.tokenizer.encode_batch_fast([texts[i].decode() for i in again], add_special_tokens=False), strict=True):
+                found[i] = self._known(ids.ids)
+        return found
 
-    def _lay(self, pieces: list[bytes]) -> list:
-        """The encoded inner parts of the chunks in order, and between them the runs at the joins."""
+    def _lay(self, pieces: list[bytes]) -> tuple[list, list[tuple[bytes, bytes, bytes]]]:
+        """The encoded inner parts of the chunks in order with the runs at the joins between them; and
+        each run with the whole words before and after it."""
         parts: list = []
-        run = b""
+        joins: list[tuple[bytes, bytes, bytes]] = []
+        run = last = b""
         for p in pieces:
-            head, n, ids, decoded, tail, spaced = self.chunks[p]
+            head, n, ids, decoded, tail, spaced, first_word, last_word = self.chunks[p]
             run += head
             if spaced:
                 if run:
                     parts.append(run)
+                    joins.append((last, run, first_word))
+                    last = run
                 if n:
                     parts.append((n, ids, decoded))
+                    last = last_word
                 run = tail
-        return [*parts, run] if run else parts
+        if run:
+            parts.append(run)
+            joins.append((last, run, b""))
+        return parts, joins
+
+    def _torn(self, joins: list[tuple[bytes, bytes, bytes]]) -> set[tuple[bytes, bytes, bytes]]:
+        """The joins whose words, encoded together, don't agree with their own encodings."""
+        together = self._encode([b" ".join(filter(None, j)) for j in joins])
+        return {j for j, (_, ids, _) in zip(joins, together, strict=True) if ids != " ".join(filter(None, [self.words[w][1] for w in j if w]))}
 
     def _join(self, parts: list) -> tuple[int, str, str]:
         found = [x for x in [self.words[p] if type(p) is bytes else p for p in parts] if x[0]]
@@ -178,7 +201,7 @@ def _encoder(path: str, mean_bytes: int) -> ChunkEncoder:
     return ChunkEncoder(path, mean_bytes)
 
 
-def encode_documents(docs: DataFrame, *, tokenizer_path: str | None = None, mean_bytes: int = 512, carry: tuple[str, ...] = ("doc_id",), texts: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, *, tokenizer_path: str | None = None, mean_bytes: int = 1024, carry: tuple[str, ...] = ("doc_id",), texts: bool = False) -> DataFrame:
     """The carried columns, n_tokens, ids_sha256 and decoded_sha256 of each row of docs.
 
     With texts, also ids (the ids in decimal, joined by a space) and decoded. A null text counts as

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlens.llm.common import written
-from loomlens.llm.rolling import inside, window_hashes, word_hashes
+from loomlens.llm.rolling import window_hashes, word_hashes
 
 SKETCH, TREES, LEAF, LEVELS = 64, 16, 32, 3
 _LAST = 9223372036854775807

@@ -257,10 +257,23 @@ def test_bpe_chunks_of_odd_texts_and_small_stores():
         assert (n, ids, decoded) == (len(own), " ".join(map(str, own)), encoder.tokenizer.decode(own, skip_special_tokens=False)), text
 
 
+def test_a_join_that_disagrees_is_repaired():
+    """With a store that claims a wrong word, the check at the joins sends the text back as a whole."""
+    encoder = bpe_chunks.ChunkEncoder(bpe_chunks.default_tokenizer(), mean_bytes=5)
+    text = " ".join(f"number{i} words" for i in range(30)).encode()
+    right = encoder.encode_all([text])[0]
+    wrong = (1, "7", "x")
+    encoder.words = {w: wrong for w in encoder.words}
+    encoder.chunks.clear()
+    encoder.sound.clear()
+    assert encoder.encode_all([text])[0] == right
+
+
 def test_chunks_shared_across_texts_are_encoded_once():
     encoder = bpe_chunks.ChunkEncoder(bpe_chunks.default_tokenizer(), mean_bytes=64)
     passage = " ".join(f"word{i}" for i in range(400)).encode()
     encoder.encode_all([b"start here " + passage])
+    assert len(encoder.chunks) > 20
     before = encoder.encoded_bytes
     encoder.encode_all([b"another beginning of a text " + passage])
     assert encoder.encoded_bytes - before < 0.1 * len(passage)
