@@ -190,7 +190,7 @@ def _remove(window: int, texts: bool):
     return settle
 
 
-def without_repeated_passages(docs: DataFrame, *, window: int = 13, bucket_bytes: int = 8_000_000, texts: bool = False) -> DataFrame:
+def without_repeated_passages(docs: DataFrame, *, window: int = 13, bucket_bytes: int = 4_000_000, texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (and kept_text with texts).
 
     Windows are judged on the input. A null or empty text has no words. A null doc_id is larger than
