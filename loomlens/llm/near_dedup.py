@@ -2,18 +2,20 @@
 
 Each distinct shingle set gets a sketch of minwise hashes. Independent trees branch the sets: a node's
 sets are dealt to children by their minwise token at a chosen coordinate (by chance at two, so that a
-similar pair meets in more than one child on average), until a node is small. Within small nodes all
-pairs of sets that aren't in one component yet are compared. Every node, small or large, first
-links its sets to its smallest document; those links settle groups of near copies of any size in
-linear time and leave few pairs for the exhaustive step. Candidates pass a 64-bit signature and the
-size ratio, and each link is confirmed on the full sets.
-
-A pair at similarity s misses one root coordinate with chance 1 - s, so 16 trees lose it with
-(1 - s)^16 where nodes are small: under 1e-9 at 0.75. What is left of a large node after the last
-level is compared in salted blocks, besides the links to its smallest document.
-
-Shuffled: a sketch per document, 16 slim rows per distinct set, the text once for candidates.
-Copies with equal sets are one set from the start. Components are found by joins, never on the driver.
+similar pair meets in more than one child on average), until a node can be compared exhaustively.
+
+Every root child first links its sets to its smallest document; the links that hold settle groups of
+near copies of any size in linear time. From then on only sets of different components are compared. In
+a node all but a few of whose sets are one component, those few meet all others: at most LEAF comparisons
+for each set. Other nodes branch on; their sets are unlike, so they fall apart quickly. What has not
+after the last level is compared in the same way, however many it is: no pair of a node is left out.
+
+Candidates pass a 64-bit signature and the size ratio, and each link is confirmed on the full sets. A pair
+at similarity s misses one root coordinate with chance 1 - s, so 16 trees lose it with (1 - s)^16 where
+root children are compared: under 1e-9 at 0.75.
+
+Shuffled: a sketch per document, 16 slim rows per distinct set, the text once for candidates. Copies with
+equal sets are one set from the start. Components are found by joins, never on the driver.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from loomlens.llm.common import written
 from loomlens.llm.rolling import window_hashes, word_hashes
 
-SKETCH, TREES, LEAF, LEVELS = 64, 16, 32, 3
+SKETCH, TREES, LEAF, LEVELS = 64, 16, 32, 6
 _LAST = 9223372036854775807
 
 
@@ -97,26 +99,44 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return sizes & (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= differ)
 
 
-def _paths(sets: DataFrame) -> DataFrame:
-    """(path, s: (node, n, sig), size, level, first: the node's smallest s) of nodes with two sets."""
-    s = F.struct("node", "n", "sig").alias("s")
+def _roots(sets: DataFrame) -> DataFrame:
+    """(path, s: (node, n, sig), first: the smallest s of the path) of root children with two sets."""
     roots = F.array(*[F.xxhash64(F.lit(t), F.col("sketch")[t * (SKETCH // TREES)]) for t in range(TREES)])
-    rows, found = sets.select(F.explode(roots).alias("path"), s), None
+    rows = sets.select(F.explode(roots).alias("path"), F.struct("node", "n", "sig").alias("s"))
+    # A table, so that the join can split a path that holds many of the rows.
+    nodes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("s").alias("first")).where("size > 1").drop("size"))
+    return written(rows.join(nodes, "path"))
+
+
+def _children(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """(path, s, component) of the nodes' children at coordinates that follow from node and level."""
+    choice = lambda k: F.pmod(F.xxhash64("path", F.lit(level), F.lit(k)), F.lit(SKETCH)).cast("int")
+    again = F.pmod(F.xxhash64("path", F.lit(level), F.lit(2)), F.lit(3)) == 0
+    child = lambda k: F.xxhash64("path", F.lit(level), choice(k), F.get("sketch", choice(k)))
+    paths = F.when(again, F.array(child(0), child(1))).otherwise(F.array(child(0)))
+    joined = rows.withColumn("node", F.col("s.node")).join(sets.select("node", "sketch"), "node")
+    return joined.select(F.explode(F.array_distinct(paths)).alias("path"), "s", "component")
+
+
+def _candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that meet in a node, from root children (path, s, component)."""
+    pairs = None
     for level in range(LEVELS + 1):
-        # A table, so that the join below can split a node that holds many of the rows.
-        nodes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("s").alias("first")).where("size > 1"))
-        # Nodes that are large and will branch, or what is compared: kept as a table, the next level's input.
+        parts = rows.groupBy("path", "component").agg(F.count(F.lit(1)).alias("k"))
+        nodes = parts.groupBy("path").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("top")).where(F.col("size") > F.col("top.k"))
+        nodes = written(nodes.select("path", F.col("top.component").alias("most"), (F.col("size") - F.col("top.k")).alias("others")))
         met = written(rows.join(nodes, "path"))
-        found = met.withColumn("level", F.lit(level)) if found is None else found.unionByName(met.withColumn("level", F.lit(level)))
-        if level == LEVELS:
-            break
-        large = met.where(F.col("size") > LEAF).select("path", "s", F.col("s.node").alias("node"))
-        choice = lambda k: F.pmod(F.xxhash64("path", F.lit(level), F.lit(k)), F.lit(SKETCH)).cast("int")
-        again = F.pmod(F.xxhash64("path", F.lit(level), F.lit(2)), F.lit(3)) == 0
-        child = lambda k: F.xxhash64("path", F.lit(level), choice(k), F.get("sketch", choice(k)))
-        children = F.when(again, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-        rows = large.join(sets.select("node", "sketch"), "node").select(F.explode(F.array_distinct(children)).alias("path"), "s")
-    return found
+        few = met if level == LEVELS else met.where(F.col("others") <= LEAF)
+        x = few.where(F.col("component") != F.col("most")).select("path", F.col("s").alias("x"), F.col("component").alias("cx"))
+        y = few.select("path", F.col("s").alias("y"), F.col("component").alias("cy"))
+        found = x.join(y, "path").where(F.col("cx") != F.col("cy")).where(_alike("x", "y", percent))
+        found = found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        pairs = found if pairs is None else pairs.union(found)
+        large = met.where(F.col("others") > LEAF)
+        if level == LEVELS or not large.limit(1).count():
+            return pairs.distinct()
+        rows = written(_children(large, sets, level))
+    return pairs
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -162,21 +182,16 @@ def _links(slim: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, D
     """(classes: set_key and node; components of nodes)."""
     node = F.coalesce(F.col("doc_id"), F.lit(_LAST))
     classes = written(slim.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct(node.alias("node"), F.col("n_shingles").alias("n"), "sig", "sketch", "_text")).alias("c")).select("set_key", "c.*"))
-    paths = _paths(classes)
-    stars = written(paths.where(F.col("s.node") != F.col("first.node")).where(_alike("s", "first", percent)).select(F.col("first.node").alias("a"), F.col("s.node").alias("b")).distinct())
+    roots = _roots(classes)
+    stars = written(roots.where(F.col("s.node") != F.col("first.node")).where(_alike("s", "first", percent)).select(F.col("first.node").alias("a"), F.col("s.node").alias("b")).distinct())
     # Only sets that share a node with another can be linked; their texts are fetched once.
-    asked = paths.select("s.node").distinct().join(classes.select("node", "_text"), "node")
+    asked = roots.select("s.node").distinct().join(classes.select("node", "_text"), "node")
     own = docs.select(node.alias("node"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"))
     texts = written(own.join(asked, ["node", "_text"]).dropDuplicates(["node", "_text"]).select("node", "text"))
     first = written(confirmed(stars, texts, percent))
     so_far = components(first)
-    blocks = F.when(F.col("size") > LEAF, F.pmod(F.xxhash64("s.node"), F.ceil(F.col("size") / LEAF))).otherwise(F.lit(0))
-    leaves = paths.where((F.col("size") <= LEAF) | (F.col("level") == LEVELS)).select("path", blocks.alias("block"), F.col("s.node").alias("node"), "s")
-    leaves = leaves.join(so_far, "node", "left").select("path", "block", "s", F.coalesce("component", "node").alias("component"))
-    mixed = leaves.groupBy("path", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("path", "block")
-    leaves = leaves.join(mixed, ["path", "block"])
-    x, y = leaves.select("path", "block", F.col("s").alias("x"), F.col("component").alias("cx")), leaves.select("path", "block", F.col("s").alias("y"), F.col("component").alias("cy"))
-    pairs = x.join(y, ["path", "block"]).where((F.col("x.node") < F.col("y.node")) & (F.col("cx") != F.col("cy"))).where(_alike("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rows = roots.select("path", "s", F.col("s.node").alias("node")).join(so_far, "node", "left").select("path", "s", F.coalesce("component", "node").alias("component"))
+    pairs = _candidates(rows, classes, percent)
     second = confirmed(pairs.join(stars, ["a", "b"], "left_anti"), texts, percent)
     return classes.select("set_key", "node"), components(first.union(second))
 
