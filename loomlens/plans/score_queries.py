@@ -88,7 +88,7 @@ def _models(images: DataFrame) -> DataFrame:
     return images.select("category").distinct().select("category", F.lit(1).alias("version"), empty.alias("threshold"), empty.alias("vmin"), empty.alias("vmax"))
 
 
-@query(_IMAGES + _ROC + _YOUDEN + ", b AS (SELECT category, quantile_cont(score, 0.01) AS vmin, quantile_cont(score, 0.99) AS vmax FROM fx_images GROUP BY category) SELECT y.category, 2 AS version, threshold, round(vmin, 6) AS vmin, round(vmax, 6) AS vmax FROM you y JOIN b ON y.category = b.category")
+@query(_IMAGES + _ROC + _YOUDEN + ", b AS (SELECT category, quantile_cont(score, 0.01) AS vmin, quantile_cont(score, 0.99) AS vmax FROM fx_images GROUP BY category) SELECT b.category, CASE WHEN y.category IS NULL THEN 1 ELSE 2 END AS version, threshold, CASE WHEN y.category IS NOT NULL THEN round(vmin, 6) END AS vmin, CASE WHEN y.category IS NOT NULL THEN round(vmax, 6) END AS vmax FROM b LEFT JOIN you y ON y.category = b.category")
 def calibrate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = view(spark, sf_dir, "fx_images")
     cut = R.youden_threshold(R.roc_curve(_image_curve(spark, sf_dir), _BY), _BY).drop("j")
