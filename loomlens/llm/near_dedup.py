@@ -4,7 +4,7 @@ Each distinct shingle set gets a sketch of minwise hashes. Independent trees bra
 sets are dealt to children by their minwise token at a chosen coordinate (by chance at two, so that a
 similar pair meets in more than one child on average), until a node can be compared exhaustively.
 
-Every root child first links its sets to its smallest document; the links that hold settle groups of
+Every root child first links its sets to one of its sets; the links that hold settle groups of
 near copies of any size in linear time. From then on only sets of different components are compared. In
 a node all but a few of whose sets are one component, those few meet all others: at most LEAF comparisons
 for each set. Other nodes branch on; their sets are unlike, so they fall apart quickly. What has not
@@ -15,7 +15,7 @@ at similarity s misses one root coordinate with chance 1 - s, so 16 trees lose i
 root children are compared: under 1e-9 at 0.75.
 
 Shuffled: a sketch per document, 16 slim rows per distinct set, the text once for candidates. Copies with
-equal sets are one set from the start. Components are found by joins, never on the driver.
+equal sets are one set from the start. Documents without an id, or with one id, share nothing but it. Components are found by joins, never on the driver.
 """
 
 from __future__ import annotations
@@ -178,45 +178,59 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(slim: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(classes: set_key and node; components of nodes)."""
-    node = F.coalesce(F.col("doc_id"), F.lit(_LAST))
-    classes = written(slim.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct(node.alias("node"), F.col("n_shingles").alias("n"), "sig", "sketch", "_text")).alias("c")).select("set_key", "c.*"))
+def _links(slim: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(set_key, best: id and text of the first document of the set's component, null ids last).
+
+    Nodes are the distinct sets, named by a 64-bit hash; documents only name the component they are in.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text").alias("text"))
+    first = F.struct(F.xxhash64("set_key").alias("node"), F.col("n_shingles").alias("n"), "sig", "sketch")
+    classes = written(slim.where("n_shingles > 0").groupBy("set_key").agg(F.min(first).alias("c"), F.min(own).alias("own")).select("set_key", "c.*", "own"))
     roots = _roots(classes)
-    stars = written(roots.where(F.col("s.node") != F.col("first.node")).where(_alike("s", "first", percent)).select(F.col("first.node").alias("a"), F.col("s.node").alias("b")).distinct())
-    # Only sets that share a node with another can be linked; their texts are fetched once.
-    asked = roots.select("s.node").distinct().join(classes.select("node", "_text"), "node")
-    own = docs.select(node.alias("node"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"))
-    texts = written(own.join(asked, ["node", "_text"]).dropDuplicates(["node", "_text"]).select("node", "text"))
-    first = written(confirmed(stars, texts, percent))
-    so_far = components(first)
+    stars = written(roots.where(F.col("s.node") != F.col("first.node")).where(_alike("s", "first", percent)).select(F.least("first.node", "s.node").alias("a"), F.greatest("first.node", "s.node").alias("b")).distinct())
+    # Only sets that share a node with another can be linked; the text of one document each is fetched once.
+    at = F.coalesce("doc_id", F.lit(_LAST)).alias("_at")
+    asked = roots.select("s.node").distinct().join(classes.select("node", F.col("own.id").alias("doc_id"), F.col("own.text").alias("_text")), "node").select("node", at, "_text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text")).select(at, "_text", "text")
+    texts = written(texts.join(asked, ["_at", "_text"]).dropDuplicates(["node"]).select("node", "text"))
+    linked = written(confirmed(stars, texts, percent))
+    so_far = components(linked)
     rows = roots.select("path", "s", F.col("s.node").alias("node")).join(so_far, "node", "left").select("path", "s", F.coalesce("component", "node").alias("component"))
     pairs = _candidates(rows, classes, percent)
     second = confirmed(pairs.join(stars, ["a", "b"], "left_anti"), texts, percent)
-    return classes.select("set_key", "node"), components(first.union(second))
+    named = components(linked.union(second)).join(classes.select("node", "own"), "node")
+    best = named.groupBy("component").agg(F.min("own").alias("best"))
+    named = named.join(best, "component").select("node", "best")
+    return classes.select("set_key", "node", "own").join(named, "node", "left").select("set_key", F.coalesce("best", "own").alias("best"))
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, _text and best of each row; best is null where there are no shingles."""
+    slim = written(sketched(docs))
+    return slim.select("doc_id", "_text", "n_shingles", "set_key").join(_links(slim, docs, percent), "set_key", "left").drop("set_key")
 
 
 def near_groups(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (and _text, its text's hash).
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing; a
-    text of one to four words is one shingle. Rows with the same doc_id are one document: linked if
-    any of their texts are. A null doc_id is larger than any other and comes back as null. Equal sets
-    are always linked. An empty table gives no rows; other columns don't matter.
+    text of one to four words is one shingle. Equal sets are always linked. Only texts link: rows that
+    share a doc_id, or have none, are linked when their texts are. A component has the id of its smallest
+    doc_id. A null doc_id is larger than any other and comes back as null; where a component has no other
+    id, the rows with its least text hash say kept. An empty table gives no rows; other columns don't matter.
     """
-    slim = written(sketched(docs))
-    classes, found = _links(slim, docs, percent)
-    settled = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    own = F.coalesce(F.col("doc_id"), F.lit(_LAST))
-    joined = slim.select("doc_id", "_text", "n_shingles", "set_key").join(settled, "set_key", "left")
-    component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), own)
-    joined = joined.withColumn("component_id", F.nullif(component, F.lit(_LAST)))
-    return joined.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_text")
+    rows = _grouped(docs, percent)
+    component = F.when(F.col("n_shingles") > 0, F.col("best.id")).otherwise(F.col("doc_id"))
+    rows = rows.withColumn("component_id", component)
+    one = F.col("doc_id").isNotNull() | (F.col("n_shingles") == 0) | (F.col("_text") == F.col("best.text"))
+    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & one).alias("kept"), "_text")
 
 
 def near_deduplicated(docs: DataFrame, *, percent: int = 75) -> DataFrame:
-    """The rows of docs that stay, one for each component, with docs' columns."""
-    stay = near_groups(docs, percent=percent).where("kept").groupBy("doc_id").agg(F.min("_text").alias("_hash"))
+    """The rows of docs that stay, with docs' columns: of each component the first by doc_id (null last)
+    and text hash. Rows without shingles all stay, once for each doc_id and text."""
+    first = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("_text") == F.col("best.text"))
+    stay = _grouped(docs, percent).where((F.col("n_shingles") == 0) | first).select("doc_id", F.col("_text").alias("_hash")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
     kept = rows.join(stay, rows["_id"].eqNullSafe(stay["doc_id"]) & (rows["_text"] == stay["_hash"]), "left_semi")
     return kept.dropDuplicates(["_id", "_text"]).select("_row.*")

@@ -229,6 +229,26 @@ def test_near_dedup_of_a_large_group(spark):
     assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == Counter(brute.near(docs))
 
 
+def test_near_dedup_of_rows_without_or_with_one_id(spark):
+    """Null and repeated ids link nothing: unlike texts stay, and near copies of different rows aren't joined by them."""
+    r = np.random.default_rng(4)
+    text = lambda: [f"n{x}" for x in r.integers(0, 10**6, 60)]
+    near = lambda t: " ".join([*t[:-1], "changed"])
+    a, b, c, d, e, f = (text() for _ in range(6))
+    say = " ".join
+    docs = [(None, say(a)), (None, say(b)), (None, say(c)), (None, near(c)), (1, near(a)), (2, near(b)), (3, say(d)), (3, say(e)), (4, near(e)), (None, ""), (None, None), (None, say(f)), (None, say(f))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = near_dedup.near_groups(df)
+    ids = {(i, t): x for i, t, x in ((r.doc_id, r._text, r.component_id) for r in found.collect())}
+    hashes = {t: h for t, h in df.select("text", F.xxhash64("text")).distinct().collect()}
+    assert {(i, t): ids[i, hashes[t]] for i, t in docs} == {(i, t): {say(a): 1, say(b): 2}.get(t, i if i != 4 else 3) for i, t in docs}
+    left = Counter((r.doc_id, r.text) for r in near_dedup.near_deduplicated(df).collect())
+    assert sum(left.values()) == 8 and set(left.values()) == {1}
+    assert {(1, near(a)), (2, near(b)), (3, say(d)), (3, say(e)), (None, ""), (None, None), (None, say(f))} <= set(left)
+    assert len({(None, say(c)), (None, near(c))} & set(left)) == 1
+    assert found.where("doc_id is null and kept").count() == 5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 101)]
     found = {x.node: x.component for x in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
