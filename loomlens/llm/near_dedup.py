@@ -1,8 +1,8 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Each distinct shingle set gets a sketch of minwise hashes. Independent trees branch the sets: a node's
-sets are dealt to children by their minwise token at a chosen coordinate (by chance at two, so that a
-similar pair meets in more than one child on average), until a node can be compared exhaustively.
+Each distinct shingle set gets a sketch of minwise hashes. Trees branch the sets: a node's sets are dealt
+to children by their minwise tokens at several chosen coordinates (BRANCH of them at each level, so that a
+similar pair nearly surely meets in a child), until a node can be compared exhaustively.
 
 Every root child first links its sets to one of its sets; the links that hold settle groups of
 near copies of any size in linear time. From then on only sets of different components are compared. In
@@ -10,9 +10,10 @@ a node all but a few of whose sets are one component, those few meet all others:
 for each set. Other nodes branch on; their sets are unlike, so they fall apart quickly. What has not
 after the last level is compared in the same way, however many it is: no pair of a node is left out.
 
-Candidates pass a 64-bit signature and the size ratio, and each link is confirmed on the full sets. A pair
-at similarity s misses one root coordinate with chance 1 - s, so 16 trees lose it with (1 - s)^16 where
-root children are compared: under 1e-9 at 0.75.
+Candidates pass a signature of two bits a coordinate and the size ratio, and each link is confirmed on the
+full sets. Chances to lose a pair at similarity 0.75, with minwise tokens as independent draws: at the 17
+root coordinates 6e-11; where all nodes it shares are large and only compared after the last level, 6.8e-10
+(the trees draw on one sketch of 64, which is counted); by the signature 3e-11, the exact binomial tail.
 
 Shuffled: a sketch per document, 16 slim rows per distinct set, the text once for candidates. Copies with
 equal sets are one set from the start. Documents without an id, or with one id, share nothing but it. Components are found by joins, never on the driver.
@@ -21,6 +22,7 @@ equal sets are one set from the start. Documents without an id, or with one id,
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from loomlens.llm.common import written
 from loomlens.llm.rolling import window_hashes, word_hashes
 
-SKETCH, TREES, LEAF, LEVELS = 64, 16, 32, 6
+SKETCH, TREES, LEAF, BRANCH = 64, 17, 32, (4, 4, 2)
 _LAST = 9223372036854775807
 
 
@@ -71,7 +73,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, _text (hash), n_shingles, set_key (of the whole set), sig and sketch of each row."""
+    """doc_id, _text (hash), n_shingles, set_key (of the whole set), sig (two planes of bits) and sketch of each row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,60 +82,73 @@ def sketched(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 500)
                 sets = shingle_sets(batch.column("text").to_pylist())
                 found = sketches(sets)
-                bits = (found >> np.uint32(16)) & np.uint32(1)
-                sig = (bits.astype(np.uint64) << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+                sigs = []
+                for shift in (16, 17):
+                    bits = (found >> np.uint32(shift)) & np.uint32(1)
+                    sigs.append(pa.array((bits.astype(np.uint64) << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64), pa.int64()))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("_text"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sig, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * SKETCH, SKETCH), pa.int32()), pa.array(found.view(np.int32).ravel(), pa.int32()))],
+                    [batch.column("doc_id"), batch.column("_text"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.StructArray.from_arrays(sigs, ["p", "q"]), pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * SKETCH, SKETCH), pa.int32()), pa.array(found.view(np.int32).ravel(), pa.int32()))],
                     ["doc_id", "_text", "n_shingles", "set_key", "sig", "sketch"],
                 )
 
-    return own.mapInArrow(run, "doc_id long, _text long, n_shingles long, set_key binary, sig long, sketch array<int>")
+    return own.mapInArrow(run, "doc_id long, _text long, n_shingles long, set_key binary, sig struct<p: long, q: long>, sketch array<int>")
+
+
+def differing(percent: int, loss: float = 1e-10) -> int:
+    """The most coordinates that may differ in their two bits: a pair at the similarity exceeds it with a chance under loss."""
+    p = (1 - percent / 100) * 3 / 4
+    for k in range(SKETCH):
+        tail = sum(math.comb(SKETCH, i) * p**i * (1 - p) ** (SKETCH - i) for i in range(k + 1, SKETCH + 1))
+        if tail < loss:
+            return k
+    return SKETCH
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
-    """Whether two sets may reach the similarity: sizes, and signature bits 4.5 deviations below."""
-    s = percent / 100
-    differ = round(SKETCH * (1 - s) / 2 + 4.5 * (SKETCH * (1 - s) / 2 * (1 + s) / 2) ** 0.5)
+    """Whether two sets may reach the similarity, by their sizes and signatures."""
     sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= percent * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return sizes & (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= differ)
+    planes = [F.col(f"{a}.sig.{x}").bitwiseXOR(F.col(f"{b}.sig.{x}")) for x in ("p", "q")]
+    return sizes & (F.bit_count(planes[0].bitwiseOR(planes[1])) <= differing(percent))
 
 
 def _roots(sets: DataFrame) -> DataFrame:
-    """(path, s: (node, n, sig), first: the smallest s of the path) of root children with two sets."""
+    """(path, s: (node, n, sig), first: one s of the path) of root children with two sets.
+
+    Each path takes another one, so that a set which one doesn't confirm may meet others."""
     roots = F.array(*[F.xxhash64(F.lit(t), F.col("sketch")[t * (SKETCH // TREES)]) for t in range(TREES)])
     rows = sets.select(F.explode(roots).alias("path"), F.struct("node", "n", "sig").alias("s"))
     # A table, so that the join can split a path that holds many of the rows.
-    nodes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("s").alias("first")).where("size > 1").drop("size"))
+    nodes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min_by("s", F.xxhash64("path", "s.node")).alias("first")).where("size > 1").drop("size"))
     return written(rows.join(nodes, "path"))
 
 
 def _children(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """(path, s, component) of the nodes' children at coordinates that follow from node and level."""
-    choice = lambda k: F.pmod(F.xxhash64("path", F.lit(level), F.lit(k)), F.lit(SKETCH)).cast("int")
-    again = F.pmod(F.xxhash64("path", F.lit(level), F.lit(2)), F.lit(3)) == 0
+    """(path, s, component) of the nodes' children at BRANCH coordinates that follow from node and level."""
+    start = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(SKETCH)).cast("int")
+    choice = lambda k: (start + F.lit(k * SKETCH // BRANCH[level])) % SKETCH
     child = lambda k: F.xxhash64("path", F.lit(level), choice(k), F.get("sketch", choice(k)))
-    paths = F.when(again, F.array(child(0), child(1))).otherwise(F.array(child(0)))
+    paths = F.array(*[child(k) for k in range(BRANCH[level])])
     joined = rows.withColumn("node", F.col("s.node")).join(sets.select("node", "sketch"), "node")
-    return joined.select(F.explode(F.array_distinct(paths)).alias("path"), "s", "component")
+    return joined.select(F.explode(paths).alias("path"), "s", "component")
 
 
 def _candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components that meet in a node, from root children (path, s, component)."""
     pairs = None
-    for level in range(LEVELS + 1):
+    for level in range(len(BRANCH) + 1):
         parts = rows.groupBy("path", "component").agg(F.count(F.lit(1)).alias("k"))
         nodes = parts.groupBy("path").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("top")).where(F.col("size") > F.col("top.k"))
         nodes = written(nodes.select("path", F.col("top.component").alias("most"), (F.col("size") - F.col("top.k")).alias("others")))
         met = written(rows.join(nodes, "path"))
-        few = met if level == LEVELS else met.where(F.col("others") <= LEAF)
+        few = met if level == len(BRANCH) else met.where(F.col("others") <= LEAF)
         x = few.where(F.col("component") != F.col("most")).select("path", F.col("s").alias("x"), F.col("component").alias("cx"))
         y = few.select("path", F.col("s").alias("y"), F.col("component").alias("cy"))
         found = x.join(y, "path").where(F.col("cx") != F.col("cy")).where(_alike("x", "y", percent))
         found = found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         pairs = found if pairs is None else pairs.union(found)
         large = met.where(F.col("others") > LEAF)
-        if level == LEVELS or not large.limit(1).count():
+        if level == len(BRANCH) or not large.limit(1).count():
             return pairs.distinct()
         rows = written(_children(large, sets, level))
     return pairs

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -249,6 +250,21 @@ def test_near_dedup_of_rows_without_or_with_one_id(spark):
     assert found.where("doc_id is null and kept").count() == 5
 
 
+def test_near_dedup_loss():
+    """The chance to lose a pair at 0.75, counted exactly over how many of the sketch's coordinates agree."""
+    n, s, choose = near_dedup.SKETCH, 0.75, math.comb
+    missed = 0.0
+    for same in range(n + 1):
+        lost = 0.0  # of a pair that meets in a node: in none of its children that lead to a comparison
+        for m in reversed(near_dedup.BRANCH):
+            lost = sum(choose(same, j) * choose(n - same, m - j) / choose(n, m) * lost**j for j in range(m + 1))
+        trees = sum(choose(same, j) * choose(n - same, near_dedup.TREES - j) / choose(n, near_dedup.TREES) * lost**j for j in range(near_dedup.TREES + 1))
+        missed += choose(n, same) * s**same * (1 - s) ** (n - same) * trees
+    p = (1 - s) * 3 / 4
+    unlike = sum(choose(n, i) * p**i * (1 - p) ** (n - i) for i in range(near_dedup.differing(75) + 1, n + 1))
+    assert missed + unlike < 1e-9
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 101)]
     found = {x.node: x.component for x in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
