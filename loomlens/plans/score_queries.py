@@ -241,10 +241,10 @@ def validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as 8 x 8 grey images made of their bytes."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    data = F.substring(F.rpad(F.col("html").cast("binary"), 64, F.lit(b"\0").cast("binary")), 1, 64)
-    images = pages.select(F.col("page_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    """Pages as grey images of all their bytes: 8 wide and as high as needed, with zeros up to an even height."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
+    height = (2 * F.greatest(F.lit(1), F.ceil(F.octet_length("html") / 16))).cast("int")
+    images = pages.select(F.col("page_id").alias("image_id"), height.alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.rpad("html", 8 * height, F.lit(b"\0")).alias("data"))
     return X.extract_features(images, 2)
 
 

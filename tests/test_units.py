@@ -435,6 +435,21 @@ def test_folder_catalog_and_pixels(spark, tmp_path):
     assert len(features) == 4 and len(features[0].feature) == 12
 
 
+def test_features_are_of_whole_pages(spark, tmp_path):
+    from loomlens.plans import score_queries
+
+    head = "<!doctype html><html><head><meta charset='utf-8'><title>A page</title>"
+    texts = [head + "a" * 700, head + "z" * 701, head + "é" * 5, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {(r.image_id, r.row_id, r.col_id): r.feature for r in score_queries.extract_features(spark, str(tmp_path)).collect()}
+    assert len(found) == 4 * len(texts) and found[0, 1, 1] != found[1, 1, 1]
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        data += bytes(-len(data) % 16 if data else 16)
+        for k, expected in enumerate(X.patch_statistics(np.frombuffer(data, np.uint8).reshape(-1, 8, 1).astype(float), 2)):
+            assert found[i, k // 2, k % 2] == pytest.approx(expected.tolist(), abs=1e-4)
+
+
 def test_models_round_trip(spark, tmp_path):
     bank = patch_rows(spark, np.random.default_rng(0).normal(size=(50, 8)))
     models = spark.createDataFrame([("a", 0.2, 1.23, 0.1, 0.9), ("b", None, None, None, None)], "category string, coreset_ratio double, threshold double, vmin double, vmax double")
