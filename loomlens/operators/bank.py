@@ -74,16 +74,24 @@ def coreset_distributed(patches: DataFrame, keep: int, parts: int = 8, seed: int
     return coreset(centers, keep=keep, seed=seed, group=group, key=key)
 
 
-def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,), group: str = "category", key: str = "patch_id", blocks: int = 16) -> DataFrame:
+def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,), group: str = "category", key: str = "patch_id", rows: int = 4096) -> DataFrame:
     """(group, key, d_k for each k): mean of the k smallest Euclidean distances to the group's bank.
 
-    Queries are dealt to `blocks` per group; each block meets the bank of its group in pieces, as
-    matrix products in a task, and keeps the best k so far: neither side is held whole.
+    Queries and bank are dealt to blocks and pieces of about `rows` rows each, as many as the group needs;
+    a task compares one block with one piece, and the best k of each pair of them are merged. key is
+    unique in queries; bank rows are dealt by it too, or by their vectors where the bank has no key.
     """
     most = max(k)
-    q = queries.select(group, key, "feature").withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    count = lambda df, n: df.groupBy(F.col(group).alias(f"_{n}g")).agg(F.ceil(F.count(F.lit(1)) / rows).alias(f"_{n}"))
+    asked, held = count(queries, "blocks"), count(bank, "pieces")
+    counts = asked.join(held, F.col("_blocksg").eqNullSafe(F.col("_piecesg")), "left").select(F.col("_blocksg").alias("_of"), "_blocks", F.coalesce("_pieces", F.lit(1).cast("long")).alias("_pieces"))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = queries.select(group, key, "feature").join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("_of")))  # counts: one row per group
+    q = q.select(group, key, "feature", deal(key, "_blocks").alias("_block"), every("_pieces").alias("_piece"))
     # Names of their own: queries and bank may come from one table.
-    b = bank.select(F.col(group).alias("_bank"), F.col("feature").alias("_vector")).withColumn("_meets", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = bank.select(F.col(group).alias("_bank"), F.col("feature").alias("_vector"), F.col(key if key in bank.columns else "feature").alias("_dealt"))
+    b = b.join(F.broadcast(counts), F.col("_bank").eqNullSafe(F.col("_of"))).select("_bank", "_vector", deal("_dealt", "_pieces").alias("_held"), every("_blocks").alias("_meets"))
     kinds = {f.name: f.dataType.simpleString() for f in q.schema}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -95,15 +103,13 @@ def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,),
                 xs = x[row : row + 1024]
                 d = np.stack([((y - v) ** 2).sum(axis=1) for v in xs]) if len(xs) else np.zeros((0, len(y)))
                 best[row : row + 1024] = np.sort(np.concatenate([best[row : row + 1024], np.sqrt(d)], axis=1), axis=1)[:, :most]
-        columns = {group: left.column(group), key: left.column(key)}
-        for n in k:
-            got = best[:, :n]
-            some = np.isfinite(got)
-            columns[f"d{n}"] = pa.array(np.where(some.any(axis=1), np.where(some, got, 0).sum(axis=1) / np.maximum(1, some.sum(axis=1)), np.nan), pa.float64(), from_pandas=True)
-        return pa.table(columns)
+        return pa.table({group: left.column(group), key: left.column(key), "_near": pa.array(list(best), pa.list_(pa.float64()))})
 
-    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, " + ", ".join(f"d{n} double" for n in k)
-    return q.groupBy(group, "_block").cogroup(b.groupBy("_bank", "_meets")).applyInArrow(run, schema)
+    found = q.groupBy(group, "_block", "_piece").cogroup(b.groupBy("_bank", "_meets", "_held")).applyInArrow(run, f"{group} {kinds[group]}, {key} {kinds[key]}, _near array<double>")
+    near = F.slice(F.sort_array(F.flatten(F.collect_list(F.filter("_near", lambda d: d < float("inf"))))), 1, most)
+    merged = found.groupBy(group, key).agg(near.alias("_near"))
+    mean = lambda n: F.when(F.size("_near") > 0, F.aggregate(F.slice("_near", 1, n), F.lit(0.0), lambda x, d: x + d) / F.least(F.lit(n), F.size("_near")))
+    return merged.select(group, key, *[mean(n).alias(f"d{n}") for n in k])
 
 
 def bank_statistics(patches: DataFrame, ratios: Sequence[float], seed: int = 0) -> DataFrame:
@@ -116,7 +122,7 @@ def bank_statistics(patches: DataFrame, ratios: Sequence[float], seed: int = 0)
     sizes = bank_sizes(patches, ratios)
     group = F.concat_ws("|", "category", F.col("ratio").cast("string")).alias("bank")
     centers = coreset(normal, ratio=max(ratios), seed=seed)
-    banks = centers.join(sizes, "category").where(F.col("rank") < F.col("n_keep")).select(group, "feature")
+    banks = centers.join(sizes, "category").where(F.col("rank") < F.col("n_keep")).select(group, "patch_id", "feature")
     asked = normal.join(sizes.select("category", "ratio"), "category").select(group, "patch_id", "feature")
     radius = knn_distances(asked, banks, group="bank").groupBy("bank").agg(F.max("d1").alias("radius"))
     kept = F.col("n_keep") / F.col("n")

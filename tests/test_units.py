@@ -316,6 +316,20 @@ def test_bank_statistics(spark):
     assert found[1.0].radius == pytest.approx(0, abs=1e-6) and found[0.5].n_keep == 30 and found[0.05].kept_share == pytest.approx(0.05)
 
 
+@pytest.mark.parametrize("rows", [7, 4096])
+def test_neighbours_in_blocks_and_pieces(spark, rows):
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(90, 4)).astype(np.float32).astype(float), r.normal(size=(120, 4)).astype(np.float32).astype(float)
+    q, b = patch_rows(spark, x), patch_rows(spark, y)
+    alone = q.limit(1).withColumn("category", F.lit("no bank"))
+    found = B.knn_distances(q.unionByName(alone), b, (1, 3), rows=rows)
+    seen = {(i.category, i.patch_id): (i.d1, i.d3) for i in found.collect()}
+    d = np.sort(np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)), axis=1)
+    own = {i: v for (c, i), v in seen.items() if c != "no bank"}
+    assert len(own) == 90 and all(own[i] == pytest.approx((d[i, 0], d[i, :3].mean())) for i in own)
+    assert [v for (c, _), v in seen.items() if c == "no bank"] == [(None, None)]
+
+
 def test_approximate_neighbours_recall(spark):
     r = np.random.default_rng(2)
     bank, near = r.normal(size=(150, 8)), None
