@@ -62,16 +62,20 @@ def coreset(patches: DataFrame, keep: int | None = None, ratio: float = 0.1, see
     return rows.groupBy(group).applyInArrow(_greedy(keep_of, key), f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}, rank int")
 
 
-def coreset_distributed(patches: DataFrame, keep: int, parts: int = 8, seed: int = 0, group: str = "category", key: str = "patch_id") -> DataFrame:
+def coreset_distributed(patches: DataFrame, keep: int | None = None, parts: int = 8, seed: int = 0, group: str = "category", key: str = "patch_id", ratio: float = 0.1) -> DataFrame:
     """Two-round composable k-center: greedy on hash parts of each group, then on the union of their
     centers. The radius is at most four times the optimum's (Malkomes et al., 2015); a task holds one
-    part, and the last round parts x keep rows."""
-    rows = patches.select(group, key, "feature").withColumns({"_start": start_order(seed, key), "_part": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")})
+    part, and the last round parts x keep rows. Without keep, each group keeps max(1, floor(n ratio)) rows."""
+    sizes = patches.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    n_keep = F.lit(keep) if keep is not None else F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * F.lit(float(ratio))))
+    rows = patches.select(group, key, "feature").join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("_group")))  # one row per group
+    rows = rows.select(group, key, "feature", n_keep.cast("long").alias("_keep")).withColumns({"_start": start_order(seed, key), "_part": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")})
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}"
-    first = lambda t: _greedy(lambda n: keep, key)(t.drop_columns(["_part"])).drop_columns(["rank"])
-    centers = rows.groupBy(group, "_part").applyInArrow(first, schema)
-    return coreset(centers, keep=keep, seed=seed, group=group, key=key)
+    kept = lambda t: _greedy(lambda n: t.column("_keep")[0].as_py(), key)(t)
+    first = lambda t: kept(t.drop_columns(["_part"])).drop_columns(["rank"])
+    centers = rows.groupBy(group, "_part").applyInArrow(first, f"{schema}, _keep long").withColumn("_start", start_order(seed, key))
+    return centers.groupBy(group).applyInArrow(lambda t: kept(t).drop_columns(["_keep"]), f"{schema}, rank int")
 
 
 def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,), group: str = "category", key: str = "patch_id", rows: int = 4096) -> DataFrame:

@@ -272,9 +272,15 @@ def coreset_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.coreset(B.normal_patches(_patches(spark, sf_dir)), keep=8).select("category", "patch_id", "rank")
 
 
+@query()
+def coreset_greedy_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coreset_greedy with a tenth of each category, which unrolled SQL can't follow."""
+    return B.coreset(B.normal_patches(_patches(spark, sf_dir)), ratio=0.1).select("category", "patch_id", "rank")
+
+
 @query()
 def coreset_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.coreset_distributed(B.normal_patches(_patches(spark, sf_dir)), keep=8).select("category", "patch_id", "rank")
+    return B.coreset_distributed(B.normal_patches(_patches(spark, sf_dir)), ratio=0.1).select("category", "patch_id", "rank")
 
 
 @query(with_views("fx_patches") + _NORMAL + """, arr AS (SELECT category, list(feature::DOUBLE[] ORDER BY patch_id) AS f, arg_min(pos, h) AS first FROM (SELECT *, md5('0|' || patch_id) AS h, row_number() OVER (PARTITION BY category ORDER BY patch_id) AS pos FROM normal) GROUP BY category),

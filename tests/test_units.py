@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import struct
 import zlib
@@ -330,6 +331,31 @@ def test_neighbours_in_blocks_and_pieces(spark, rows):
     assert [v for (c, _), v in seen.items() if c == "no bank"] == [(None, None)]
 
 
+def test_distributed_coreset_keeps_a_ratio(spark):
+    a, b = (patch_rows(spark, np.random.default_rng(i).normal(size=(n, 4))).withColumn("category", F.lit(c)) for i, n, c in ((0, 230, "a"), (1, 7, "b")))
+    found = B.coreset_distributed(a.unionByName(b), ratio=0.1)
+    assert {r.category: (r["count"], r.n) for r in found.groupBy("category").agg(F.count("*").alias("count"), F.countDistinct("patch_id").alias("n")).collect()} == {"a": (23, 23), "b": (1, 1)}
+
+
+def test_coreset_queries_keep_a_share(spark):
+    from loomlens.plans import score_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    normal = [r for r in B.normal_patches(Q._patches(spark, sf)).collect()]
+    greedy = {(r.category, r["rank"]): r.patch_id for r in Q.coreset_greedy_share(spark, sf).collect()}
+    far = Q.coreset_distributed(spark, sf).groupBy("category").agg(F.countDistinct("patch_id").alias("n")).collect()
+    for c in {r.category for r in normal}:
+        rows = sorted((r for r in normal if r.category == c), key=lambda r: r.patch_id)
+        x = np.array([r.feature for r in rows])
+        first = min(range(len(rows)), key=lambda i: hashlib.md5(f"0|{rows[i].patch_id}".encode()).hexdigest())
+        keep = max(1, len(rows) // 10)
+        chosen = [first]
+        while len(chosen) < keep:
+            chosen.append(int(np.min([((x - x[i]) ** 2).sum(1) for i in chosen], axis=0).argmax()))
+        assert [greedy[c, i] for i in range(keep)] == [rows[i].patch_id for i in chosen] and (c, keep) not in greedy
+        assert [r.n for r in far if r.category == c] == [keep]
+
+
 def test_approximate_neighbours_recall(spark):
     r = np.random.default_rng(2)
     bank, near = r.normal(size=(150, 8)), None
