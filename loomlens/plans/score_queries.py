@@ -556,6 +556,51 @@ def calibrate_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.calibration_error(rows).withColumn("kind", F.lit("raw")).unionByName(E.calibration_error(Y.calibrated(rows, 3)).withColumn("kind", F.lit("sigmoid"))), "ece")
 
 
+# ---- the same operators on whole features; FIXTURES.md fixes the first channels for the queries above ----
+def _whole(name: str, *changes: tuple[str, str]) -> str:
+    """The SQL of a query on first channels, made to take all 64."""
+    sql = ORACLES[name]
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"{name} has no {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _all(n: int) -> tuple[str, str]:
+    return _CH.format(n=n), _CH.format(n=64)
+
+
+@query(_whole("local_aggregate", _all(4)))
+def local_aggregate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.local_mean(X.channels_of(_patches(spark, sf_dir)), 4, 4), "value")
+
+
+@query(_whole("pool_features", _all(4)))
+def pool_features_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = X.channels_of(_patches(spark, sf_dir)).withColumn("mask", (F.col("image_id") % 3 != 0) & ((F.col("y") + F.col("x") + F.col("image_id")) % 3 == 0))
+    return rounded(X.pooled(cells), "value")
+
+
+@query(_whole("concat_mixed_grids", _all(2), ("channel + 2 AS", "channel + 64 AS")))
+def concat_mixed_grids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fine = X.channels_of(_patches(spark, sf_dir))
+    return rounded(X.concat_mixed_grids(fine, fine.where("y < 2 and x < 2"), 2, 4, 64), "value")
+
+
+@query(_whole("concat_layers", ("feature[1:8]", "feature[1:32]"), ("feature[9:16]", "feature[33:64]"), ("range(1, 17)", "range(1, 65)")))
+def concat_layers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _patches(spark, sf_dir)
+    found = X.concat_layers([p.withColumn("feature", F.slice("feature", a, 32)) for a in (1, 33)])
+    total = F.aggregate(F.transform(F.col("feature").cast("array<double>"), lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return found.select("image_id", "row_id", "col_id", F.size("feature").cast("long").alias("dim"), F.round(total, 5).alias("s"))
+
+
+@query(_whole("standardize", _all(8)))
+def standardize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(Y.standardised(X.channels_of(_patches(spark, sf_dir)), ["image_id", "y", "x"]), "value")
+
+
 # ---- streams ----
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """The frames as a file stream over the events table, and a folder for its state."""

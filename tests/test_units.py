@@ -490,6 +490,14 @@ def test_features_are_of_whole_pages(spark, tmp_path):
             assert found[i, k // 2, k % 2] == pytest.approx(expected.tolist(), abs=1e-4)
 
 
+def test_queries_on_whole_features(spark):
+    from loomlens.plans import score_queries as Q
+
+    for name, parts in (("local_aggregate", 64), ("pool_features", 64), ("concat_mixed_grids", 128), ("standardize", 64)):
+        assert Q.QUERIES[f"{name}_whole"](spark, "/root/testdata/sf0.001").select("channel").distinct().count() == parts
+    assert [r.dim for r in Q.concat_layers_whole(spark, "/root/testdata/sf0.001").select("dim").distinct().collect()] == [64]
+
+
 def test_models_round_trip(spark, tmp_path):
     bank = patch_rows(spark, np.random.default_rng(0).normal(size=(50, 8)))
     models = spark.createDataFrame([("a", 0.2, 1.23, 0.1, 0.9), ("b", None, None, None, None)], "category string, coreset_ratio double, threshold double, vmin double, vmax double")
