@@ -1,22 +1,28 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Each distinct shingle set gets a sketch of minwise hashes. Trees branch the sets: a node's sets are dealt
-to children by their minwise tokens at several chosen coordinates (BRANCH of them at each level, so that a
-similar pair nearly surely meets in a child), until a node can be compared exhaustively.
-
-Every root child first links its sets to one of its sets; the links that hold settle groups of
-near copies of any size in linear time. From then on only sets of different components are compared. In
-a node all but a few of whose sets are one component, those few meet all others: at most LEAF comparisons
-for each set. Other nodes branch on; their sets are unlike, so they fall apart quickly. What has not
-after the last level is compared in the same way, however many it is: no pair of a node is left out.
-
-Candidates pass a signature of two bits a coordinate and the size ratio, and each link is confirmed on the
-full sets. Chances to lose a pair at similarity 0.75, with minwise tokens as independent draws: at the 17
-root coordinates 6e-11; where all nodes it shares are large and only compared after the last level, 6.8e-10
-(the trees draw on one sketch of 64, which is counted); by the signature 3e-11, the exact binomial tail.
-
-Shuffled: a sketch per document, 16 slim rows per distinct set, the text once for candidates. Copies with
-equal sets are one set from the start. Documents without an id, or with one id, share nothing but it. Components are found by joins, never on the driver.
+Each distinct shingle set gets a sketch of minwise hashes. A tree deals the sets to nodes by their minwise token
+at one chosen coordinate; a large node is dealt to children by further coordinates that follow from its path
+(BRANCH of them at each level, so that a similar pair nearly surely meets in a child) until few enough are left
+to compare exhaustively. Independent trees are repeated to reach the recall.
+
+A node of up to `leaf` sets is a group, compared in one task. A larger node first compares all its sets with some of
+them, its centres, in groups of bounded size: that settles groups of near copies of any size in linear time. If
+few sets stand outside the node's largest component then, these meet all others, again in groups. Else the node
+branches; what is large after the last level is compared block by block. No pair of a compared node is left out.
+
+A comparison has two steps. By sizes and signatures (two bits a coordinate) each set learns whether its group
+holds one that it might resemble; most don't and go no further. The others meet once more with their shingles:
+the whole set up to WHOLE shingles, else those whose hashes end in enough zeros. What comes out are not
+pairs but the links that join the group's components, fewer than its sets. Only links that rest on
+a part of a large set are confirmed on the full texts; where the part leaves doubt, all of the doubtful are.
+
+Chances to lose a pair at similarity 0.75, with minwise tokens as independent draws: at the 17 root coordinates
+6e-11; where all nodes it shares branch down to the last level, 6.8e-10 (the trees draw on one sketch of 64, which
+is counted); by the signature 3e-11, the exact binomial tail; by the part of a large set under 1e-10.
+
+Shuffled: a sketch per document, 17 slim rows per distinct set, the texts once, the shingles of those that pass
+the first step once for each group. Copies with equal sets are one set from the start. Documents without an id, or
+with one id, share nothing but it. Components are found by joins, never on the driver.
 """
 
 from __future__ import annotations
@@ -28,13 +34,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlens.llm.common import written
-from loomlens.llm.rolling import window_hashes, word_hashes
+from loomlens.llm.common import slices, written
+from loomlens.llm.rolling import mixed, window_hashes, word_hashes
 
-SKETCH, TREES, LEAF, BRANCH = 64, 17, 32, (4, 4, 2)
+SKETCH, TREES, BRANCH = 64, 17, (4, 4, 2)
+#: Sets of a group that is compared in one task, centres of a larger node, shingles of a set that are compared as a whole.
+LEAF, CENTRES, WHOLE = 1024, 16, 2048
 _LAST = 9223372036854775807
 
 
@@ -78,8 +86,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole, ("text",), 4_000_000, 500):
                 sets = shingle_sets(batch.column("text").to_pylist())
                 found = sketches(sets)
                 sigs = []
@@ -105,53 +112,124 @@ def differing(percent: int, loss: float = 1e-10) -> int:
     return SKETCH
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """Whether two sets may reach the similarity, by their sizes and signatures."""
-    sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= percent * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    planes = [F.col(f"{a}.sig.{x}").bitwiseXOR(F.col(f"{b}.sig.{x}")) for x in ("p", "q")]
-    return sizes & (F.bit_count(planes[0].bitwiseOR(planes[1])) <= differing(percent))
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by path; a group may reach over several batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        path = table.column("path").to_numpy()
+        cut = int(np.searchsorted(path, path[-1]))
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None:
+        yield held
 
 
-def _roots(sets: DataFrame) -> DataFrame:
-    """(path, s: (node, n, sig), first: one s of the path) of root children with two sets.
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("path").sortWithinPartitions("path")
 
-    Each path takes another one, so that a set which one doesn't confirm may meet others."""
-    roots = F.array(*[F.xxhash64(F.lit(t), F.col("sketch")[t * (SKETCH // TREES)]) for t in range(TREES)])
-    rows = sets.select(F.explode(roots).alias("path"), F.struct("node", "n", "sig").alias("s"))
-    # A table, so that the join can split a path that holds many of the rows.
-    nodes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min_by("s", F.xxhash64("path", "s.node")).alias("first")).where("size > 1").drop("size"))
-    return written(rows.join(nodes, "path"))
 
+def _promising(rows: DataFrame, percent: int) -> DataFrame:
+    """(path, node, component, asks): the rows in whose group stands a set of another component that may reach
+    the similarity, by sizes and signatures, where one of the two asks."""
+    most = differing(percent)
 
-def _children(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """(path, s, component) of the nodes' children at BRANCH coordinates that follow from node and level."""
-    start = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(SKETCH)).cast("int")
-    choice = lambda k: (start + F.lit(k * SKETCH // BRANCH[level])) % SKETCH
-    child = lambda k: F.xxhash64("path", F.lit(level), choice(k), F.get("sketch", choice(k)))
-    paths = F.array(*[child(k) for k in range(BRANCH[level])])
-    joined = rows.withColumn("node", F.col("s.node")).join(sets.select("node", "sketch"), "node")
-    return joined.select(F.explode(paths).alias("path"), "s", "component")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            path, n, p, q, component, asks = (table.column(c).to_numpy() for c in ("path", "n", "p", "q", "component", "asks"))
+            hit, i, step = np.zeros(len(path), bool), np.arange(len(path)), 0
+            while len(i):
+                step += 1
+                i = i[i + step < len(path)]
+                i = i[path[i] == path[i + step]]
+                j = i + step
+                ok = (asks[i] | asks[j]) & (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                a, b = i[ok], j[ok]
+                near = np.bitwise_count(((p[a] ^ p[b]) | (q[a] ^ q[b])).view(np.uint64)) <= most
+                hit[a[near]] = hit[b[near]] = True
+            yield from table.select(["path", "node", "component", "asks"]).filter(pa.array(hit)).to_batches()
+
+    return _together(rows.select("path", "node", "n", "sig.p", "sig.q", "component", "asks")).mapInArrow(run, "path long, node long, component long, asks boolean")
+
+
+def joining(path: np.ndarray, sets: list[np.ndarray], bits: np.ndarray, component: np.ndarray, asks: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(i, j, grade): links that join the components of each group; path is sorted, and a set with bits holds only the
+    hashes that end in so many zero bits. Grade 2 rests on both whole sets, 1 on parts that leave no doubt, 0 is doubtful."""
+    sizes, component = np.array([len(s) for s in sets]), component.copy()
+    fewer = np.array([np.count_nonzero(s & np.uint64((2 << int(b)) - 1) == 0) for s, b in zip(sets, bits, strict=True)])
+    edges = np.flatnonzero(np.diff(path)) + 1
+    of_group = np.repeat(np.arange(len(edges) + 1), np.diff(edges, prepend=0, append=len(path)))
+    flat, owner = np.concatenate(sets) ^ np.repeat(mixed(of_group.astype(np.uint64) + np.uint64(1)), sizes), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    ranked, owners = flat[order], owner[order]
+    begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    lengths = np.diff(begins, append=len(ranked))
+    start, length = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
+    start[order], length[order] = np.repeat(begins, lengths), np.repeat(lengths, lengths)
+    at, share = np.cumsum(sizes) - sizes, percent / 100
+    for low, high in zip([0, *edges], [*edges, len(path)], strict=True):
+        own = component[low:high]
+        for i in np.flatnonzero(asks[low:high]) + low:
+            if (own == own[0]).all():
+                break
+            s, k = start[at[i] : at[i] + sizes[i]], length[at[i] : at[i] + sizes[i]]
+            s, k = s[k > 1], k[k > 1]
+            met = owners[np.repeat(s - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            common = np.bincount(met - low, minlength=high - low)
+            j = np.flatnonzero((common > 0) & (own != component[i]))
+            common, top = common[j], np.maximum(bits[i], bits[low + j])
+            both = np.where(top > bits[i], fewer[i], sizes[i]) + np.where(top > bits[low + j], fewer[low + j], sizes[low + j]) - common
+            whole = top == 0
+            doubt = np.where(whole, 0.0, 6.5 * np.sqrt(share * (1 - share) * both))
+            linked = np.where(whole, 100 * common >= percent * both, common >= share * both + doubt)
+            labels = own[j]
+            for label in np.unique(labels[linked]):
+                first = np.flatnonzero(linked & (labels == label))
+                first = first[np.argmax(whole[first])]
+                yield i, low + j[first], 2 if whole[first] else 1
+            own[np.isin(own, labels[linked])] = component[i]
+            for m in np.flatnonzero(~whole & ~linked & (common >= share * both - doubt) & (own[j] != component[i])):
+                yield i, low + j[m], 0
+
+
+def _joins(rows: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """(a, b, grade): links of rows (path, node, component, asks), as few as join the components of each group."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            node, path, bits, component, asks = (table.column(c).to_numpy() for c in ("node", "path", "bits", "component", "asks"))
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+            found = list(joining(path, sets, bits, component, asks, percent))
+            ends = node[np.array([x[:2] for x in found], np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1)), pa.array([x[2] for x in found], pa.int32())], ["a", "b", "grade"])
 
-def _candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that meet in a node, from root children (path, s, component)."""
-    pairs = None
-    for level in range(len(BRANCH) + 1):
-        parts = rows.groupBy("path", "component").agg(F.count(F.lit(1)).alias("k"))
-        nodes = parts.groupBy("path").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("top")).where(F.col("size") > F.col("top.k"))
-        nodes = written(nodes.select("path", F.col("top.component").alias("most"), (F.col("size") - F.col("top.k")).alias("others")))
-        met = written(rows.join(nodes, "path"))
-        few = met if level == len(BRANCH) else met.where(F.col("others") <= LEAF)
-        x = few.where(F.col("component") != F.col("most")).select("path", F.col("s").alias("x"), F.col("component").alias("cx"))
-        y = few.select("path", F.col("s").alias("y"), F.col("component").alias("cy"))
-        found = x.join(y, "path").where(F.col("cx") != F.col("cy")).where(_alike("x", "y", percent))
-        found = found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        pairs = found if pairs is None else pairs.union(found)
-        large = met.where(F.col("others") > LEAF)
-        if level == len(BRANCH) or not large.limit(1).count():
-            return pairs.distinct()
-        rows = written(_children(large, sets, level))
-    return pairs
+    return _together(rows.join(shingles, "node")).mapInArrow(run, "a long, b long, grade int").groupBy("a", "b").agg(F.max("grade").alias("grade"))
+
+
+def _shingles(texts: DataFrame) -> DataFrame:
+    """(node, bits, shingles) of (node, text): the set's hashes, or a part of them once it has over WHOLE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, ("text",), 4_000_000, 500):
+                sets = shingle_sets(batch.column("text").to_pylist())
+                bits = [max(0, math.ceil(math.log2(len(s) / WHOLE))) if len(s) else 0 for s in sets]
+                parts = [s[s & np.uint64((1 << b) - 1) == 0].tobytes() for s, b in zip(sets, bits, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.int64()), pa.array(parts, pa.binary())], ["node", "bits", "shingles"])
+
+    return texts.mapInArrow(run, "node long, bits long, shingles binary")
+
+
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): the text of one document of each set."""
+    at = F.coalesce("doc_id", F.lit(_LAST)).alias("_at")
+    asked = nodes.select("node").distinct().join(classes.select("node", F.col("own.id").alias("doc_id"), F.col("own.text").alias("_text")), "node").select("node", at, "_text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text")).select(at, "_text", "text")
+    return texts.join(asked, ["_at", "_text"]).dropDuplicates(["node"]).select("node", "text")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -160,8 +238,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+            for batch in slices(whole, ("left", "right"), 4_000_000, 200):
                 sides = [batch.column(c).to_pylist() for c in ("left", "right")]
                 distinct = list({t for side in sides for t in side})
                 sets = dict(zip(distinct, shingle_sets(distinct), strict=True))
@@ -174,6 +251,65 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """rows (path, node, ...) of paths that hold at least two, with their number as size."""
+    # A table, so that the join can split a path that holds many of the rows.
+    sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    return rows.join(sizes, "path")
+
+
+def _children(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """rows of the nodes' children at BRANCH coordinates that follow from node and level."""
+    start = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(SKETCH)).cast("int")
+    choice = lambda k: (start + F.lit(k * SKETCH // BRANCH[level])) % SKETCH
+    child = lambda k: F.xxhash64("path", F.lit(level), choice(k), F.get("sketch", choice(k)))
+    paths = F.array(*[child(k) for k in range(BRANCH[level])])
+    return rows.join(sets.select("node", "sketch"), "node").select(F.explode(paths).alias("path"), "node", "n", "sig", "component")
+
+
+def _block(name: str, blocks: Column | str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(name)), blocks).cast("int")
+
+
+def _stars(large: DataFrame, leaf: int) -> DataFrame:
+    """Groups in which CENTRES sets of each node ask the others, `leaf` of them at a time."""
+    blocks = F.ceil(F.col("size") / leaf)
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("node", "path")))
+    centres = large.withColumn("rank", rank).where(F.col("rank") <= CENTRES).withColumn("block", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    rows = large.withColumn("block", _block("star", blocks)).withColumn("asks", F.lit(False)).unionByName(centres.drop("rank").withColumn("asks", F.lit(True)))
+    return rows.withColumn("path", F.xxhash64("path", F.lit("star"), "block"))
+
+
+def _compared(rows: DataFrame, leaf: int) -> DataFrame:
+    """Groups in which all sets outside a node's largest component meet all of the node: rows with size,
+    others (how many are outside) and most (the largest component)."""
+    asking, asked = F.ceil(F.col("others") / leaf).cast("int"), F.ceil(F.col("size") / leaf).cast("int")
+    outside = F.col("component") != F.col("most")
+    to = lambda i, j: F.xxhash64("path", F.lit("all"), i, j)
+    one = (asking == 1) & (asked == 1)
+    asks = rows.where(outside).withColumn("path", F.explode(F.transform(F.sequence(F.lit(0), asked - 1), lambda j: to(_block("asks", asking), j)))).withColumn("asks", F.lit(True))
+    meets = rows.where(~(outside & one)).withColumn("path", F.explode(F.transform(F.sequence(F.lit(0), asking - 1), lambda i: to(i, _block("asked", asked))))).withColumn("asks", F.lit(False))
+    return asks.unionByName(meets)
+
+
+def _promising_below(large: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """What is left to compare in large nodes once their centres' links made the components `labels`."""
+    rows, found = large.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), None
+    for level in range(len(BRANCH) + 1):
+        parts = rows.groupBy("path", "component").agg(F.count(F.lit(1)).alias("k"))
+        nodes = parts.groupBy("path").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("top")).where(F.col("size") > F.col("top.k"))
+        nodes = written(nodes.select("path", "size", F.col("top.component").alias("most"), (F.col("size") - F.col("top.k")).alias("others")))
+        met = written(rows.drop("size").join(nodes, "path"))
+        last = level == len(BRANCH)
+        here = _promising(_compared(met if last else met.where(F.col("others") <= leaf), leaf), percent)
+        found = here if found is None else found.unionByName(here)
+        deep = met.where(F.col("others") > leaf)
+        if last or not deep.limit(1).count():
+            break
+        rows = written(_children(deep, sets, level))
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that edges (a, b) touch.
 
@@ -193,7 +329,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(slim: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _links(slim: DataFrame, docs: DataFrame, percent: int, leaf: int) -> DataFrame:
     """(set_key, best: id and text of the first document of the set's component, null ids last).
 
     Nodes are the distinct sets, named by a 64-bit hash; documents only name the component they are in.
@@ -201,31 +337,37 @@ def _links(slim: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text").alias("text"))
     first = F.struct(F.xxhash64("set_key").alias("node"), F.col("n_shingles").alias("n"), "sig", "sketch")
     classes = written(slim.where("n_shingles > 0").groupBy("set_key").agg(F.min(first).alias("c"), F.min(own).alias("own")).select("set_key", "c.*", "own"))
-    roots = _roots(classes)
-    stars = written(roots.where(F.col("s.node") != F.col("first.node")).where(_alike("s", "first", percent)).select(F.least("first.node", "s.node").alias("a"), F.greatest("first.node", "s.node").alias("b")).distinct())
-    # Only sets that share a node with another can be linked; the text of one document each is fetched once.
-    at = F.coalesce("doc_id", F.lit(_LAST)).alias("_at")
-    asked = roots.select("s.node").distinct().join(classes.select("node", F.col("own.id").alias("doc_id"), F.col("own.text").alias("_text")), "node").select("node", at, "_text")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text")).select(at, "_text", "text")
-    texts = written(texts.join(asked, ["_at", "_text"]).dropDuplicates(["node"]).select("node", "text"))
-    linked = written(confirmed(stars, texts, percent))
-    so_far = components(linked)
-    rows = roots.select("path", "s", F.col("s.node").alias("node")).join(so_far, "node", "left").select("path", "s", F.coalesce("component", "node").alias("component"))
-    pairs = _candidates(rows, classes, percent)
-    second = confirmed(pairs.join(stars, ["a", "b"], "left_anti"), texts, percent)
-    named = components(linked.union(second)).join(classes.select("node", "own"), "node")
+    roots = F.array(*[F.xxhash64(F.lit(t), F.col("sketch")[t * (SKETCH // TREES)]) for t in range(TREES)])
+    rows = classes.select(F.explode(roots).alias("path"), "node", "n", "sig", F.col("node").alias("component"))
+    shared = written(_nodes(rows))
+    small = written(_promising(shared.where(F.col("size") <= leaf).withColumn("asks", F.lit(True)), percent))
+    large = shared.where(F.col("size") > leaf)
+    # Only sets that may resemble another, or stand in a large node, are fetched with their texts.
+    shingles = written(_shingles(_texts(small.select("node").union(large.select("node")), classes, docs)))
+    links = _joins(small, shingles, percent)
+    if large.limit(1).count():
+        stars = written(_joins(_promising(_stars(large, leaf), percent), shingles, percent))
+        below = written(_promising_below(large, classes, components(stars.where("grade > 0")), percent, leaf))
+        links = links.unionByName(stars).unionByName(_joins(below, shingles, percent))
+    links = written(links)
+    sure, unsure = links.where("grade = 2").select("a", "b"), links.where("grade < 2").select("a", "b").distinct()
+    if unsure.limit(1).count():
+        long = docs.where(F.octet_length("text") > 2 * WHOLE)
+        texts = written(_texts(unsure.select(F.explode(F.array("a", "b")).alias("node")), classes, long))
+        sure = sure.union(confirmed(unsure, texts, percent))
+    named = components(sure).join(classes.select("node", "own"), "node")
     best = named.groupBy("component").agg(F.min("own").alias("best"))
     named = named.join(best, "component").select("node", "best")
     return classes.select("set_key", "node", "own").join(named, "node", "left").select("set_key", F.coalesce("best", "own").alias("best"))
 
 
-def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int, leaf: int) -> DataFrame:
     """doc_id, n_shingles, _text and best of each row; best is null where there are no shingles."""
     slim = written(sketched(docs))
-    return slim.select("doc_id", "_text", "n_shingles", "set_key").join(_links(slim, docs, percent), "set_key", "left").drop("set_key")
+    return slim.select("doc_id", "_text", "n_shingles", "set_key").join(_links(slim, docs, percent, leaf), "set_key", "left").drop("set_key")
 
 
-def near_groups(docs: DataFrame, *, percent: int = 75) -> DataFrame:
+def near_groups(docs: DataFrame, *, percent: int = 75, leaf: int = LEAF) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (and _text, its text's hash).
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing; a
@@ -233,19 +375,21 @@ def near_groups(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     share a doc_id, or have none, are linked when their texts are. A component has the id of its smallest
     doc_id. A null doc_id is larger than any other and comes back as null; where a component has no other
     id, the rows with its least text hash say kept. An empty table gives no rows; other columns don't matter.
+    Very long texts are read whole, in batches of some 4 MB of text (a longer text alone); when sets are
+    compared, one takes at most WHOLE hashes, and only a pair to confirm is put side by side in full.
     """
-    rows = _grouped(docs, percent)
+    rows = _grouped(docs, percent, leaf)
     component = F.when(F.col("n_shingles") > 0, F.col("best.id")).otherwise(F.col("doc_id"))
     rows = rows.withColumn("component_id", component)
     one = F.col("doc_id").isNotNull() | (F.col("n_shingles") == 0) | (F.col("_text") == F.col("best.text"))
     return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & one).alias("kept"), "_text")
 
 
-def near_deduplicated(docs: DataFrame, *, percent: int = 75) -> DataFrame:
+def near_deduplicated(docs: DataFrame, *, percent: int = 75, leaf: int = LEAF) -> DataFrame:
     """The rows of docs that stay, with docs' columns: of each component the first by doc_id (null last)
     and text hash. Rows without shingles all stay, once for each doc_id and text."""
     first = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("_text") == F.col("best.text"))
-    stay = _grouped(docs, percent).where((F.col("n_shingles") == 0) | first).select("doc_id", F.col("_text").alias("_hash")).distinct()
+    stay = _grouped(docs, percent, leaf).where((F.col("n_shingles") == 0) | first).select("doc_id", F.col("_text").alias("_hash")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
     kept = rows.join(stay, rows["_id"].eqNullSafe(stay["doc_id"]) & (rows["_text"] == stay["_hash"]), "left_semi")
     return kept.dropDuplicates(["_id", "_text"]).select("_row.*")

@@ -250,6 +250,54 @@ def test_near_dedup_of_rows_without_or_with_one_id(spark):
     assert found.where("doc_id is null and kept").count() == 5
 
 
+@pytest.mark.parametrize("leaf", [4, 25])
+def test_near_dedup_of_large_nodes(spark, docs, rows, leaf, monkeypatch):
+    """With small groups: centres, children, blocks; texts that resemble each other and mostly aren't linked; long ones compared by parts."""
+    monkeypatch.setattr(near_dedup, "WHOLE", 64)
+    monkeypatch.setattr(near_dedup, "CENTRES", 2)
+    r = np.random.default_rng(leaf)
+    base, long = ([f"w{x}" for x in r.integers(0, 5000, n)] for n in (150, 900))
+    texts = []
+    for k in range(130):
+        own = list(base if k % 3 else long)
+        for p in r.integers(0, len(own), int(r.integers(1, 12 if k % 3 else 70))):
+            own[p] = f"z{r.integers(0, 10**6)}"
+        texts.append(" ".join(own))
+    table = list(enumerate(texts))
+    found = near_dedup.near_groups(spark.createDataFrame(table, "doc_id long, text string"), leaf=leaf)
+    expected = Counter(brute.near(table))
+    assert 10 < sum(x[3] for x in expected) < 110
+    assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == expected
+    assert rows_of(near_dedup.near_groups(docs, leaf=leaf), "doc_id", "n_shingles", "component_id", "kept") == Counter(brute.near(pairs(rows)))
+
+
+def test_near_dedup_joining():
+    """The links of groups give the components of brute force, and never more links than sets."""
+    r = np.random.default_rng(3)
+    sets, path = [], []
+    for group in range(30):
+        base = r.integers(0, 2**63, 60).astype(np.uint64)
+        for _ in range(int(r.integers(1, 9))):
+            own = base.copy()
+            own[r.integers(0, 60, int(r.integers(0, 14)))] = r.integers(0, 2**63)
+            sets.append(np.unique(own))
+            path.append(group)
+    n = len(sets)
+    links = list(near_dedup.joining(np.array(path), sets, np.zeros(n, np.int64), np.arange(n), np.ones(n, bool), 75))
+    assert len(links) < n and all(g == 2 for _, _, g in links)
+
+    def components(edges):
+        at = list(range(n))
+        for a, b in edges:
+            old, new = at[a], at[b]
+            at = [new if x == old else x for x in at]
+        return {frozenset(i for i in range(n) if at[i] == c) for c in at}
+
+    like = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    every = [set(s.tolist()) for s in sets]
+    assert components([x[:2] for x in links]) == components([(a, b) for a in range(n) for b in range(a) if path[a] == path[b] and like(every[a], every[b])])
+
+
 def test_near_dedup_loss():
     """The chance to lose a pair at 0.75, counted exactly over how many of the sketch's coordinates agree."""
     n, s, choose = near_dedup.SKETCH, 0.75, math.comb
