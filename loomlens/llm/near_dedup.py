@@ -10,7 +10,7 @@ them, its centres, in groups of bounded size: that settles groups of near copies
 few sets stand outside the node's largest component then, these meet all others, again in groups. Else the node
 branches; what is large after the last level is compared block by block. No pair of a compared node is left out.
 
-A comparison has two steps. By sizes and signatures (two bits a coordinate) each set learns whether its group
+A comparison has two steps. By sizes and signatures (four bits a coordinate) each set learns whether its group
 holds one that it might resemble; most don't and go no further. The others meet once more with their shingles:
 the whole set up to WHOLE shingles, else those whose hashes end in enough zeros. What comes out are not
 pairs but the links that join the group's components, fewer than its sets. Only links that rest on
@@ -37,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlens.llm.common import slices, written
+from loomlens.llm.common import null_safe, slices, written
 from loomlens.llm.rolling import mixed, window_hashes, word_hashes
 
 SKETCH, TREES, BRANCH = 64, 17, (4, 4, 2)
+#: Bits of each coordinate in a signature.
+PLANES = ("p", "q", "r", "s")
 #: Sets of a group that is compared in one task, centres of a larger node, shingles of a set that are compared as a whole.
 LEAF, CENTRES, WHOLE = 1024, 16, 2048
 _LAST = 9223372036854775807
@@ -81,7 +83,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, _text (hash), n_shingles, set_key (of the whole set), sig (two planes of bits) and sketch of each row."""
+    """doc_id, _text (hash), n_shingles, set_key (of the whole set), sig (planes of bits) and sketch of each row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,21 +92,21 @@ def sketched(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(batch.column("text").to_pylist())
                 found = sketches(sets)
                 sigs = []
-                for shift in (16, 17):
+                for shift in range(16, 16 + len(PLANES)):
                     bits = (found >> np.uint32(shift)) & np.uint32(1)
                     sigs.append(pa.array((bits.astype(np.uint64) << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64), pa.int64()))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("_text"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.StructArray.from_arrays(sigs, ["p", "q"]), pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * SKETCH, SKETCH), pa.int32()), pa.array(found.view(np.int32).ravel(), pa.int32()))],
+                    [batch.column("doc_id"), batch.column("_text"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.StructArray.from_arrays(sigs, list(PLANES)), pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * SKETCH, SKETCH), pa.int32()), pa.array(found.view(np.int32).ravel(), pa.int32()))],
                     ["doc_id", "_text", "n_shingles", "set_key", "sig", "sketch"],
                 )
 
-    return own.mapInArrow(run, "doc_id long, _text long, n_shingles long, set_key binary, sig struct<p: long, q: long>, sketch array<int>")
+    return own.mapInArrow(run, "doc_id long, _text long, n_shingles long, set_key binary, sig struct<" + ", ".join(f"{x}: long" for x in PLANES) + ">, sketch array<int>")
 
 
 def differing(percent: int, loss: float = 1e-10) -> int:
-    """The most coordinates that may differ in their two bits: a pair at the similarity exceeds it with a chance under loss."""
-    p = (1 - percent / 100) * 3 / 4
+    """The most coordinates that may differ in their bits: a pair at the similarity exceeds it with a chance under loss."""
+    p = (1 - percent / 100) * (1 - 0.5 ** len(PLANES))
     for k in range(SKETCH):
         tail = sum(math.comb(SKETCH, i) * p**i * (1 - p) ** (SKETCH - i) for i in range(k + 1, SKETCH + 1))
         if tail < loss:
@@ -140,7 +142,7 @@ def _promising(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
-            path, n, p, q, component, asks = (table.column(c).to_numpy() for c in ("path", "n", "p", "q", "component", "asks"))
+            path, n, component, asks, *planes = (table.column(c).to_numpy() for c in ("path", "n", "component", "asks", *PLANES))
             hit, i, step = np.zeros(len(path), bool), np.arange(len(path)), 0
             while len(i):
                 step += 1
@@ -149,11 +151,12 @@ def _promising(rows: DataFrame, percent: int) -> DataFrame:
                 j = i + step
                 ok = (asks[i] | asks[j]) & (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
                 a, b = i[ok], j[ok]
-                near = np.bitwise_count(((p[a] ^ p[b]) | (q[a] ^ q[b])).view(np.uint64)) <= most
+                unlike = np.bitwise_or.reduce([x[a] ^ x[b] for x in planes]).view(np.uint64)
+                near = np.bitwise_count(unlike) <= most
                 hit[a[near]] = hit[b[near]] = True
             yield from table.select(["path", "node", "component", "asks"]).filter(pa.array(hit)).to_batches()
 
-    return _together(rows.select("path", "node", "n", "sig.p", "sig.q", "component", "asks")).mapInArrow(run, "path long, node long, component long, asks boolean")
+    return _together(rows.select("path", "node", "n", *[f"sig.{x}" for x in PLANES], "component", "asks")).mapInArrow(run, "path long, node long, component long, asks boolean")
 
 
 def joining(path: np.ndarray, sets: list[np.ndarray], bits: np.ndarray, component: np.ndarray, asks: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
@@ -313,20 +316,28 @@ def _promising_below(large: DataFrame, sets: DataFrame, labels: DataFrame, perce
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that edges (a, b) touch.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so the
-    number of rounds grows with the logarithm of a component's width. Only a count reaches the driver.
+    Each round names every node by its smallest neighbour, follows names twice, and draws the edges anew between
+    names: most vanish at once, and the number of rounds grows with the logarithm of a component's width. The
+    smallest node keeps its name to the end. Only whether edges are left reaches the driver.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
-        after = written(lower.join(jump, "low", "left").select("node", "old", F.least("low", F.coalesce("next", "low")).alias("component")))
-        changed = after.where("old <> component").limit(1).count()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
+    links, names = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
+    while names is None or links.limit(1).count():
+        both = links.union(links.select("b", "a"))
+        near = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("name")))
+        for _ in range(2):
+            near = _renamed(near, near, "name")
+        near = written(near)
+        links = _renamed(_renamed(links, near, "a"), near, "b").where("a <> b")
+        links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        names = near if names is None else written(_renamed(names, near, "name"))
+    return names.withColumnRenamed("name", "component")
+
+
+def _renamed(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """rows with the names (node, name) of the nodes in the column; nodes without one stay."""
+    others = names.select(F.col("node").alias("_node"), F.col("name").alias("_name"))
+    found = rows.join(others, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_name", column))
+    return found.drop("_node", "_name")
 
 
 def _links(slim: DataFrame, docs: DataFrame, percent: int, leaf: int) -> DataFrame:
@@ -389,10 +400,10 @@ def near_deduplicated(docs: DataFrame, *, percent: int = 75, leaf: int = LEAF) -
     """The rows of docs that stay, with docs' columns: of each component the first by doc_id (null last)
     and text hash. Rows without shingles all stay, once for each doc_id and text."""
     first = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("_text") == F.col("best.text"))
-    stay = _grouped(docs, percent, leaf).where((F.col("n_shingles") == 0) | first).select("doc_id", F.col("_text").alias("_hash")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
-    kept = rows.join(stay, rows["_id"].eqNullSafe(stay["doc_id"]) & (rows["_text"] == stay["_hash"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_text"]).select("_row.*")
+    stay = _grouped(docs, percent, leaf).where((F.col("n_shingles") == 0) | first).select(null_safe("doc_id").alias("_id"), "_text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"))
+    rows = rows.select("_row", null_safe("doc_id").alias("_id"), "_text")
+    return rows.join(stay, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 ORACLE = r"""
