@@ -3,7 +3,8 @@
 Each task keeps Misra-Gries counters of its digests; the merged candidates are a bounded set, which
 an exact count then verifies. The verified groups' winners are broadcast (their number is bounded by
 `counters`), so a group of any size is settled map-side; all other digests, none of which holds more
-than a 2 / counters share of the rows, are shuffled to their groups in the ordinary way.
+than a 2 / counters share of the rows, are shuffled to their groups in the ordinary way: counted with
+map-side combining and joined back, so that no task has to hold a group.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlens.llm.common import SPACES, written
+from loomlens.llm.common import SPACES, null_safe, written
 
 
 def normalised(text: Column) -> Column:
@@ -51,15 +52,15 @@ def frequent_candidates(df: DataFrame, column: str, counters: int) -> DataFrame:
 
 def _digests(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(
-        F.col("doc_id"), *more,
+        F.col("doc_id"), *more, F.xxhash64("text").alias("_text"),
         F.sha2(normalised(F.col("text")), 256).alias("text_sha256"),
         F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("_length"),
     )
 
 
 def _best() -> Column:
-    """Of equal texts, the longest original stays, then the smallest doc_id (null last)."""
-    return F.min(F.struct((-F.col("_length")).alias("l"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id")))
+    """Of equal texts, the longest original stays, then the smallest doc_id (null last), then a text by its hash."""
+    return F.min(F.struct((-F.col("_length")).alias("l"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("_text").alias("text")))
 
 
 def _heavy(slim: DataFrame, counters: int) -> DataFrame:
@@ -69,6 +70,12 @@ def _heavy(slim: DataFrame, counters: int) -> DataFrame:
     return written(counted.where("group_size > 1"))
 
 
+def _rest(slim: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The same of all other digests."""
+    left = slim.join(F.broadcast(heavy), "text_sha256", "left_anti")
+    return left.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("_best"))
+
+
 def exact_groups(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -80,10 +87,8 @@ def exact_groups(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
     """
     slim = written(_digests(docs))
     heavy = _heavy(slim, counters)
-    marked = slim.join(F.broadcast(heavy), "text_sha256", "left")
-    group = Window.partitionBy("text_sha256")
-    rest = marked.where(F.col("group_size").isNull()).withColumns({"_best": _best().over(group), "group_size": F.count(F.lit(1)).over(group)})
-    settled = marked.where(F.col("group_size").isNotNull()).unionByName(rest)
+    rest = slim.join(F.broadcast(heavy), "text_sha256", "left_anti").join(_rest(slim, heavy), "text_sha256")
+    settled = slim.join(F.broadcast(heavy), "text_sha256").unionByName(rest)
     return settled.select(
         "doc_id",
         F.col("_best.id").alias("keep_id"),
@@ -94,13 +99,15 @@ def exact_groups(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
-    """The rows of docs that stay, with docs' columns; of fully equal winners one stays."""
-    heavy = _heavy(written(_digests(docs)), counters)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
-    marked = _digests(row, "_row").join(F.broadcast(heavy), "text_sha256", "left")
-    losing = F.col("group_size").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("_length") == -F.col("_best.l")))
-    first = Window.partitionBy("text_sha256").orderBy(F.desc("_length"), F.col("doc_id").asc_nulls_last())
-    return marked.where(~losing).withColumn("_no", F.row_number().over(first)).where("_no = 1").select("_row.*")
+    """The rows of docs that stay, with docs' columns; of fully equal winners one stays.
+
+    The texts are hashed once; which rows stay comes back to them by id and a hash of the text.
+    """
+    slim = written(_digests(docs))
+    heavy = _heavy(slim, counters)
+    best = heavy.select("_best").union(_rest(slim, heavy).select("_best")).select(null_safe("_best.id").alias("_id"), F.col("_best.text").alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), null_safe("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    return rows.join(best, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 ORACLE = r"""

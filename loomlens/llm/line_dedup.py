@@ -2,9 +2,9 @@
 
 Line hashes are range-partitioned and sorted within their partition by document (largest first) and
 position; streaming over them, the first document of each hash keeps its lines. What goes back is
-a bitmap of dropped lines per document, not text. Hashes that hold more than a 1 / `heavy_share`
-part of the line occurrences (so fewer than `heavy_share` of them) are counted first by map-side
-aggregation and broadcast; their occurrences are spread by document instead.
+a bitmap of dropped lines per document, not text. Hashes with more than `heavy_rows` occurrences, or a
+1 / `heavy_share` part of all, are counted first by map-side aggregation; their occurrences are settled by a join,
+in which Spark splits a large hash, and never stand in one partition.
 
 Only DataFrame functions. Shuffled: 40 bytes for each long line, and each text once.
 """
@@ -39,14 +39,15 @@ def line_occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.where(F.char_length("key") >= min_chars).select("doc_id", "_id", "_text", "at", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("b"), "key").alias("b"))
 
 
-def dropped_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, heavy_share: int = 1024) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, heavy_share: int = 1024, heavy_rows: int = 100_000) -> DataFrame:
     """(_id, _text, dropped): per document a bitmap of its dropped lines, 63 lines to a long."""
     seen = written(line_occurrences(docs, min_chars))
-    frequent = seen.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * heavy_share > F.lit(seen.count())).select("a", "b")
-    heavy_docs = seen.join(F.broadcast(frequent), ["a", "b"], "left_semi").groupBy("a", "b", "_id", "_text").agg(F.max("doc_id").alias("doc_id"))
+    most = min(heavy_rows, seen.count() // heavy_share)
+    frequent = written(seen.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("a", "b"))
+    heavy_docs = seen.join(frequent, ["a", "b"], "left_semi").groupBy("a", "b", "_id", "_text").agg(F.max("doc_id").alias("doc_id"))
     heavy = written(heavy_docs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last")))
-    settled = seen.join(F.broadcast(heavy), ["a", "b"])
-    ranged = seen.join(F.broadcast(heavy), ["a", "b"], "left_anti").repartitionByRange("a", "b")
+    settled = seen.join(heavy, ["a", "b"])
+    ranged = seen.join(heavy, ["a", "b"], "left_anti").repartitionByRange("a", "b")
     same_key = Window.partitionBy("a", "b")
     streamed = (
         ranged.withColumn("_no", F.dense_rank().over(same_key.orderBy(F.col("doc_id").desc_nulls_last(), "_text")))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlens.llm.common import written
+
 
 @lru_cache(maxsize=2)
 def _encoding(path: str, pattern: str):
@@ -35,6 +37,8 @@ def default_vocabulary() -> tuple[str, str]:
 def with_token_counts(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """One row per row of docs, `n_tokens`: the length of the whole encoded text; null counts as empty.
 
+    Repeated rows count each; an empty table gives no rows; only the column text is read. A very long text
+    is encoded in one call, alone: a task holds one Arrow batch of texts and the ids of one of them.
     The vocabulary's path must be readable on every executor.
     """
     path, pattern = vocabulary or default_vocabulary()
@@ -54,9 +58,10 @@ def length_histogram(counts: DataFrame, block: int = 1024) -> DataFrame:
     n_docs, n_longer_docs (longer than the length), total_tokens (of all rows), tokens_from (in rows
     of at least the length), docs_up_to and share_up_to (rows of at most the length, for quantiles),
     truncated_total (tokens when each row is cut to the length) and lost_tokens (what that cuts).
-    Rows with null n_tokens are left out; an empty table gives no rows.
+    Rows with null n_tokens are left out; an empty table gives no rows; other columns don't matter.
     """
     sums = counts.where("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("_block", F.floor(F.col("n_tokens") / block))
+    sums = written(sums)  # a row per length, used twice; the texts are encoded once
     blocks = sums.groupBy("_block").agg(F.sum("n_docs").alias("_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_tokens"))
     above, every = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     blocks = blocks.select("_block", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_docs", "_tokens")], F.sum("_docs").over(every).alias("_all_docs"), F.sum("_tokens").over(every).alias("total_tokens"))
