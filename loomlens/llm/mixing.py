@@ -5,8 +5,9 @@ size), the targets become whole numbers of blocks by highest quotients target /
 source's blocks are dealt to its shards by the same rule. A shard then takes its quota from the
 front of its documents, laid out in seeded hash order and, once all are taken, from the front again.
 
-Only DataFrame functions. Two scans of the text; one shuffle of (key, source, size) by source and
-shard. A source's rows are spread over `shards` groups, so that no source fills one task.
+Only DataFrame functions. One scan of the text; one shuffle of (key, source, size) by source and
+shard. A source's rows are spread over `shards` groups, and a shard that holds more than `group_rows`
+is laid out in ranges of its hash order, so that no source and no shard fills one task.
 """
 
 from __future__ import annotations
@@ -80,6 +81,7 @@ def mix_sources(
     max_repeat: int = 2,
     block_tokens: int = 8,
     shards: int = 128,
+    group_rows: int = 200_000,
     seed: int = 0,
     carry: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
@@ -93,19 +95,18 @@ def mix_sources(
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     slim = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.col("doc_id").alias("_id"), "source", null_safe("source").alias("skey"), words_in(F.col("text")).alias("size"), digest.alias("_h"))
-    slim = slim.withColumn("shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % shards)
-    by_shard = written(slim.groupBy("skey", "source", "shard").agg(F.sum("size").alias("shard_size")))
+    slim = written(slim.withColumn("shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % shards))
+    by_shard = written(slim.groupBy("skey", "source", "shard").agg(F.sum("size").alias("shard_size"), F.count(F.lit(1)).alias("_rows")))
     targets = source_targets(by_shard.groupBy("skey", "source").agg(F.sum("shard_size").alias("source_size")), weights, share, max_repeat)
     seats = targets.withColumn("blocks", F.coalesce(F.round(F.sum("target").over(Window.partitionBy()) / block_tokens), F.lit(0)).cast("long"))
     per_source = sainte_lague(seats, [], "target", "blocks", ["skey"]).withColumnRenamed("quota", "source_blocks")
     dealt = sainte_lague(
-        by_shard.drop("source").join(per_source.select("skey", "source_size", "target", "source_blocks"), "skey"),
+        by_shard.drop("source", "_rows").join(per_source.select("skey", "source_size", "target", "source_blocks"), "skey"),
         ["skey"], "shard_size", "source_blocks", ["shard"],
     )
     take = F.least(F.col("quota") * block_tokens, F.col("shard_size") * max_repeat)
     plan = dealt.select("skey", "shard", "source_size", "target", F.coalesce(F.expr("try_divide(1, shard_size)"), F.lit(0)).alias("_any"), take.alias("_take"), "shard_size")
-    line = Window.partitionBy("skey", "shard").orderBy("_h", F.col("_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = slim.withColumn("_start", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    laid = _starts(slim, by_shard.agg(F.max("_rows")).first()[0] or 0, group_rows)
     whole = F.when(F.col("shard_size") > 0, F.expr("_take div nullif(shard_size, 0)")).otherwise(F.lit(0))
     rest = F.col("_take") - F.col("_whole") * F.col("shard_size")
     return (
@@ -116,6 +117,23 @@ def mix_sources(
     )
 
 
+def _starts(slim: DataFrame, most: int, group_rows: int) -> DataFrame:
+    """Add _start: the words of the shard before the row, in order of _h. Ranges of _h are its first hexadecimal
+    digits, as many as it takes for the largest shard (of `most` rows); their sums are added up first."""
+    digits = 0
+    while most > group_rows * 16**digits:
+        digits += 1
+    ranged = slim.withColumn("_range", F.substring("_h", 1, digits) if digits else F.lit(""))
+    sums = ranged.groupBy("skey", "shard", "_range").agg(F.sum("size").alias("_words"))
+    before = Window.partitionBy("skey", "shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("skey", "shard", "_range").orderBy("_h", F.col("_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.withColumn("_start", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    if not digits:
+        return inner
+    offsets = sums.select("skey", "shard", "_range", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
+    return inner.join(offsets, ["skey", "shard", "_range"]).withColumn("_start", F.col("_start") + F.col("_offset"))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix has them: each row as often as taken / size, rounded half up (0, 1, 2 ...)."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "text")
