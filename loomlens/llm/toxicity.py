@@ -5,7 +5,8 @@ character trigrams (hashed). A forward and a backward GRU run over windows of 64
 overlapping the next by half; attention pools states and inputs of a window to one score, and a
 text's score is that of its highest window. Training, in numpy on the driver, uses a bounded sample
 of labelled rows (`sample_rows` of each class, texts of up to `sample_bytes`); scoring covers all words
-of all texts, in Arrow batches without a shuffle. The only input is the text.
+of all texts, in Arrow batches without a shuffle, some 0.4 MB of text at a time: a longer text goes through
+the network in stretches that have the same windows. The only input is the text.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlens.llm.common import slices
 from loomlens.llm.rolling import word_hashes
 
 WINDOW, STEP = 64, 32
+#: Bytes of text that are scored at once, and windows of a stretch of a longer text.
+AT_ONCE, STRETCH = 400_000, 1000
 TRIGRAMS, DW, DC, H = 1 << 14, 8, 4, 8
 D = DW + DC
 _PLAIN = bytes(32 if chr(b) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'" else b for b in range(256))
@@ -64,6 +68,17 @@ class Texts:
         return text, begin[text] + at, np.minimum(WINDOW, self.counts[text] - at)
 
 
+def stretches(text: bytes, windows: int = STRETCH) -> Iterator[bytes]:
+    """Parts of a plain text, each with the next `windows` of its windows, the white space on their sides included."""
+    data = np.frombuffer(text, np.uint8)
+    gap = np.isin(data, (32, 9, 10, 11, 12, 13))
+    starts = np.flatnonzero(~gap & np.append(True, gap[:-1]))
+    for at in range(0, max(1, len(starts) - STEP), windows * STEP):
+        low = max(0, int(starts[at]) - 1) if at else 0
+        after = at + windows * STEP + STEP
+        yield text[low : int(starts[after])] if after < len(starts) else text[low:]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(1 + np.exp(-x))
 
@@ -183,12 +198,23 @@ class Network:
             out[o] = self.logits(x, given, first[o], size[o])
         return text, first, size, out
 
+    def _raise(self, best: np.ndarray, own: list[int], parts: list[bytes]) -> None:
+        """Raise each text's best score to that of the highest window of its parts."""
+        text, _, _, out = self.window_scores(Texts(parts))
+        np.maximum.at(best, np.array(own, np.int64)[text], out)
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """0 to 1 for each text: its highest window; a text without words scores the bias alone."""
-        t = Texts(texts)
-        text, _, _, out = self.window_scores(t)
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, text, out)
+        best, own, parts, held = np.full(len(texts), -np.inf), [], [], 0
+        for i, text in enumerate(texts):
+            for part in [text] if len(text) <= AT_ONCE else stretches(plain(text)):
+                if held and held + len(part) > AT_ONCE:
+                    self._raise(best, own, parts)
+                    own, parts, held = [], [], 0
+                own.append(i)
+                parts.append(part)
+                held += len(part)
+        self._raise(best, own, parts)
         return _sigmoid(np.where(np.isfinite(best), best, float(self.p["b"][0])))
 
 
@@ -247,13 +273,14 @@ def fold(doc_id) -> int | None:
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 1500, sample_bytes: int = 50_000, seed: int = 0) -> Network:
     """Train on labelled rows outside fold 0: at most `sample_rows` of each class, by hash of the id.
 
-    Rows without id or label are left out; of several labels of an id the largest counts.
+    Rows without id or label are left out; of several labels of an id the largest counts, of several texts the
+    first in order, so no more than 2 x sample_rows rows reach the driver. Null and longer texts are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows) for c in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 x sample_rows rows
-    rows = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    rows = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return train([r.text.encode() for r in rows], np.array([r.toxic for r in rows], np.int64), seed=seed)
 
 
@@ -261,7 +288,8 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of docs.
 
     Null and empty texts, and texts without words, score the network's bias. A null doc_id counts as
-    held out. Repeated rows score alike; an empty table gives no rows; other columns don't matter.
+    held out. Repeated rows score alike; an empty table gives no rows; other columns don't matter. All windows
+    of a very long text count, in memory that doesn't grow with their number but for 10 bytes a word.
     """
     spread = docs.sparkSession.sparkContext.broadcast(net)  # its size is bounded by the sample's
     fold_of = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -270,8 +298,7 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = spread.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 300):
-                batch = whole.slice(at, 300)
+            for batch in slices(whole, ("_text",), AT_ONCE, 300):
                 scores = network.scores(batch.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
