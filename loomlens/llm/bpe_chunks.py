@@ -1,11 +1,13 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last bytes cuts each text into chunks, so passages that documents share give
-the same chunks wherever they stand. A worker encodes each chunk's whole words once and keeps the
-result for later documents (in two bounded stores; what is pushed out is only encoded again). Cuts
-fall anywhere, also inside words: at each join the straddling run between white space is put together
-and encoded anew. Every join is then checked: the run with the whole words on its sides, encoded
-together, must agree with what stands there. Where it doesn't, the text is encoded again as a whole.
+the same chunks wherever they stand. A worker encodes each chunk's inner part, between its first and its last
+white space, in one call of the library and keeps the ids for later documents (in a bounded store; what is pushed
+out is only encoded again). Cuts fall anywhere, also inside words: at each join the run between white space that
+straddles the cut is put together and encoded anew. Every join is then checked: the run with the whole words on
+its sides, encoded together, must agree with what stands there. Where it doesn't, the text is encoded again as a whole.
+
+This holds for tokenizers in which white space only separates words and tokens decode one by one; others are refused.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlens.llm.common import slices
+
 _SPACES = b" \t\n\x0b\x0c\r"
+_HEAD = re.compile(rb"[^ \t\n\x0b\x0c\r]*")
 
 
 def default_tokenizer() -> str:
@@ -43,22 +48,10 @@ def cut_points(data: np.ndarray, mean_bytes: int, window: int = 8) -> np.ndarray
     return np.flatnonzero(((rolled >> np.uint32(8)) % np.uint32(mean_bytes) == 0) & ((data[window:] & 0xC0) != 0x80)) + window
 
 
-#: A full stop or comma by itself after an ASCII letter: a token of its own with or without a space.
-_SEAM = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \t\n\x0b\x0c\r])")
-
-
-def folded(text: bytes) -> bytes:
-    """The text with the same encoding in which more words are alike: A-Z in lower case (the
-    tokenizer's first step too) and a space before single marks. Texts in which a special token might
-    stand are left as they are."""
-    return text if b"<" in text else _SEAM.sub(rb" \1", text.lower())
-
-
 class ChunkEncoder:
     """Encodes texts as tokenizer.encode(text, add_special_tokens=False) does, and decodes them.
 
-    Words are kept in two generations: a full store becomes the old one, and what is used again moves
-    on from it. Full stores of chunks and of checked joins are emptied.
+    Full stores (of chunks, of the words at joins and of checked joins) are emptied.
     """
 
     def __init__(self, tokenizer_path: str, mean_bytes: int = 1024, word_store: int = 250_000, chunk_bytes: int = 32_000_000):
@@ -68,85 +61,60 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self._refuse_others(tokenizer_path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.number = [str(i) for i in range(size)]
         self.token = [self.tokenizer.decode([i], skip_special_tokens=False) for i in range(size)]
-        # A special token between words: the library encodes what is on its sides by itself.
-        self.special = next(iter(self.tokenizer.get_added_tokens_decoder().items()), None)
         self.mean_bytes, self.word_store, self.chunk_bytes = mean_bytes, word_store, chunk_bytes
         self.words: dict[bytes, tuple[int, str, str]] = {}
-        self.old_words: dict[bytes, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.sound: set[tuple[bytes, bytes, bytes]] = set()
-        self.kept_bytes = self.encoded_bytes = self.seen_bytes = 0
+        self.kept_bytes = self.encoded_bytes = 0
+
+    def _refuse_others(self, path: str) -> None:
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        for gap in [*_SPACES.decode(), *[a + b for a in _SPACES.decode() for b in _SPACES.decode()]]:
+            if ids(f"Two{gap}words.") != ids("Two") + ids("words.") or ids(f"{gap}Two{gap}") != ids("Two"):
+                raise ValueError(f"{path}: white space is part of tokens; texts can't be cut at it")
+        apart = ids("Uncommonest cuttlefish, again")
+        if self.tokenizer.decode(apart, skip_special_tokens=False) != " ".join(self.tokenizer.decode([i], skip_special_tokens=False) for i in apart):
+            raise ValueError(f"{path}: tokens don't decode one by one")
 
     def _known(self, ids: list[int]) -> tuple[int, str, str]:
         return len(ids), " ".join([self.number[i] for i in ids]), " ".join([self.token[i] for i in ids])
 
-    def _encode(self, runs: list[bytes], together: int = 500) -> list[tuple[int, str, str]]:
+    def _encode(self, runs: list[bytes]) -> list[tuple[int, str, str]]:
         self.encoded_bytes += sum(map(len, runs))
-        if self.special is None:
-            return [self._known(e.ids) for e in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
-        mark, text = self.special[0], self.special[1].content
-        apart = f" {text} ".encode()
-        begins = text[:2].encode()
-        groups = [runs[i : i + together] for i in range(0, len(runs), together)]
-        joined = [apart.join(r if begins not in r else b"" for r in g).decode() for g in groups]
-        found: list[tuple[int, str, str]] = []
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = e.ids
-            ends = [*np.flatnonzero(np.asarray(ids, np.int64) == mark).tolist(), len(ids)]
-            start = 0
-            for run, end in zip(group, ends, strict=True):
-                own = ids[start:end] if begins not in run else self.tokenizer.encode(run.decode(), add_special_tokens=False).ids
-                found.append(self._known(own))
-                start = end + 1
-        return found
+        return [self._known(e.ids) for e in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
 
     def _learn(self, runs: set[bytes]) -> None:
         if len(self.words) > self.word_store:
-            self.old_words, self.words = self.words, {}
-        missing = [r for r in runs if r not in self.words]
-        again = [r for r in missing if r in self.old_words]
-        self.words.update((r, self.old_words[r]) for r in again)
-        fresh = [r for r in missing if r not in self.words]
+            self.words = {}
+        fresh = [r for r in runs if r not in self.words]
         self.words.update(zip(fresh, self._encode(fresh), strict=True))
 
-    def _split(self, chunk: bytes) -> tuple[bytes, list[bytes], bytes, bool]:
-        """The part before the first white space, whole words, the part after the last; whether
-        there is white space at all (else everything is in the first part)."""
-        parts = chunk.split()
-        if not parts:
-            return b"", [], b"", bool(chunk)
-        head = b"" if chunk[:1] in _SPACES_SET else parts.pop(0)
-        if head and len(head) == len(chunk):
-            return head, [], b"", False
-        tail = b"" if chunk[-1:] in _SPACES_SET or not parts else parts.pop()
-        return head, parts, tail, True
-
     def encode_all(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
         """(number of ids, the ids in decimal joined by a space, the decoded text) of each text."""
         pieces: list[list[bytes]] = []
-        for text in map(folded, texts):
+        for text in texts:
             cuts = cut_points(np.frombuffer(text, np.uint8), self.mean_bytes).tolist()
             pieces.append([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
-            self.seen_bytes += len(text)
         if self.kept_bytes > self.chunk_bytes:
             self.chunks, self.kept_bytes = {}, 0
-        fresh = {p: self._split(p) for p in {p for ps in pieces for p in ps} if p not in self.chunks}
-        runs = set()
-        for _, words, _, _ in fresh.values():
-            runs.update(words)
-        self._learn(runs)
-        for p, (head, words, tail, spaced) in fresh.items():
-            self.chunks[p] = (head, *self._join(words), tail, spaced, words[0] if words else b"", words[-1] if words else b"")
+        fresh = [p for p in {p for ps in pieces for p in ps} if p not in self.chunks]
+        ends = [(_HEAD.match(p).end(), 1 + max(p.rfind(c) for c in _SPACES)) for p in fresh]
+        inner = [p[a:b] for p, (a, b) in zip(fresh, ends, strict=True)]
+        for p, (a, b), middle, found in zip(fresh, ends, inner, self._encode(inner), strict=True):
+            words = middle.split(None, 1)[:1] + middle.rsplit(None, 1)[-1:] if a < b else []
+            first, last = (words[0].strip(), words[1].strip()) if len(words) == 2 else (b"", b"")
+            self.chunks[p] = (p[:a], *found, p[b:] if a < b else b"", a < b, first, last)
             self.kept_bytes += 4 * len(p)
         laid = [self._lay(ps) for ps in pieces]
         joins = {join for _, own in laid for join in own}
-        self._learn({word for join in joins for word in join if word})
         if len(self.sound) > self.word_store:
             self.sound = set()
         unseen = list(joins - self.sound)
+        self._learn({run for parts, _ in laid for run in parts if type(run) is bytes} | {word for join in unseen for word in join if word})
         torn = self._torn(unseen)
         self.sound.update(j for j in unseen if j not in torn)
         found = [self._join(parts) for parts, _ in laid]
@@ -170,6 +138,8 @@ class ChunkEncoder:
                     parts.append(run)
                     joins.append((last, run, first_word))
                     last = run
+                elif last and first_word:  # the cut stood in white space: the words on its sides meet
+                    joins.append((last, first_word, b""))
                 if n:
                     parts.append((n, ids, decoded))
                     last = last_word
@@ -192,9 +162,6 @@ class ChunkEncoder:
         return sum(counts), " ".join(ids), " ".join(decoded)
 
 
-_SPACES_SET = {bytes([b]) for b in _SPACES}
-
-
 @lru_cache(maxsize=1)
 def _encoder(path: str, mean_bytes: int) -> ChunkEncoder:
     """A worker's encoder, which outlasts its tasks."""
@@ -205,8 +172,9 @@ def encode_documents(docs: DataFrame, *, tokenizer_path: str | None = None, mean
     """The carried columns, n_tokens, ids_sha256 and decoded_sha256 of each row of docs.
 
     With texts, also ids (the ids in decimal, joined by a space) and decoded. A null text counts as
-    empty: no ids, and empty digests. Long texts are cut like any other. Repeated rows repeat; an
-    empty table gives no rows; other columns of docs don't matter. A narrow map: nothing is shuffled.
+    empty: no ids, and digests of empty strings. Long texts are cut like any other, some 4 MB of text at a
+    time, a longer text alone. Repeated rows repeat (side by side they are encoded once); an empty table gives no
+    rows; other columns of docs don't matter. A narrow map: nothing is shuffled.
     """
     path = tokenizer_path or default_tokenizer()
     own = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
@@ -216,8 +184,11 @@ def encode_documents(docs: DataFrame, *, tokenizer_path: str | None = None, mean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, mean_bytes)
         for whole in batches:
-            for batch in _by_bytes(whole, "_text", 4_000_000):
-                found = encoder.encode_all(batch.column("_text").to_pylist())
+            for batch in slices(whole, ("_text",), 4_000_000, 4_000):
+                texts_of = batch.column("_text").to_pylist()
+                distinct = list(dict.fromkeys(texts_of))  # a document taken twice stands twice in a row
+                known = dict(zip(distinct, encoder.encode_all(distinct), strict=True))
+                found = [known[t] for t in texts_of]
                 columns = [batch.column(f.name) for f in fields]
                 columns += [pa.array([x[0] for x in found], pa.int64())]
                 columns += [pa.array([hashlib.sha256(x[i].encode()).hexdigest() for x in found], pa.string()) for i in (1, 2)]
@@ -227,13 +198,3 @@ def encode_documents(docs: DataFrame, *, tokenizer_path: str | None = None, mean
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [more])
     found = own.mapInArrow(run, schema)
     return found.select(*[F.col(f"`c_{c}`").alias(c) for c in carry], *[x.split()[0] for x in more.split(", ")])
-
-
-def _by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with some `most` bytes of the column each; a row stays whole."""
-    ends = np.cumsum([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()]) if batch.num_rows else np.zeros(0)
-    start = 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most)))
-        yield batch.slice(start, stop - start)
-        start = stop
