@@ -1,13 +1,14 @@
 """Quality rules: statistics of each text, plain limits, and robust multivariate outliers.
 
 Ratios of the statistics, transformed, form a vector of four. Per language and source its centre and
-covariance come from a minimum covariance determinant estimate: start from medians and quartile
-ranges, then repeat concentration steps, each on the three quarters of the rows that are nearest by
-the last estimate. Small groups lean on their language's estimate by `prior_rows` rows. A row is
-rejected when its squared Mahalanobis distance is beyond `cutoff`.
-
-Only DataFrame functions. The text is read once; every step then aggregates a slim table. How far
-the nearest three quarters reach is found by counting rows in fixed bins of the distance, so there is
+covariance come from a search for the minimum covariance determinant: several starts (medians and quartile
+ranges, and small random subsets), from each two concentration steps, on the three quarters of the rows that are
+nearest by the last estimate, then the start with the least determinant until it falls no more. Small groups lean
+on their language's estimate by `prior_rows` rows. A row is rejected when its squared Mahalanobis distance is
+beyond `cutoff`.
+
+Only DataFrame functions. The text is read once; every step then aggregates a slim table once: moments
+in fixed bins of the distance, of which the nearest three quarters are added up. So there is
 no sort and no group in one task: groups of any size are pre-aggregated map-side.
 """
 
@@ -108,41 +109,89 @@ def _with_group(rows: DataFrame, per_group: DataFrame, group: str = "group", sal
     return rows.withColumn("_salt", salt).join(spread, [group, "_salt"], "left").drop("_salt")
 
 
-def robust_estimates(rows: DataFrame, steps: int = 3) -> DataFrame:
-    """Per `group` of rows with x_i: n, centre m_i and covariance c_ij of the nearest three quarters."""
-    start = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(F.round(f"x{i}", 3), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(D)])
+_MOMENTS = ["h", *[f"s{i}" for i in range(D)], *[f"p{i}{j}" for i, j in _triangle()]]
+
+
+def _moments() -> list[Column]:
+    """Number of rows, sums and sums of products of x_i."""
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)]
+    return [F.count(F.lit(1)).alias("h"), *sums, *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _triangle()]]
+
+
+def _estimates(sums: DataFrame) -> DataFrame:
+    """(group, start, n, m_i, c_ij, volume) from moments; volume is the log determinant of c_ij with the floors."""
+    mean = lambda i: F.col(f"s{i}") / F.col("h")
+    spread = lambda i, j: F.col(f"p{i}{j}") / F.col("h") - mean(i) * mean(j)
+    states = sums.select(
+        "group", "start", "n",
+        *[F.round(mean(i), 9).alias(f"m{i}") for i in range(D)],
+        *[F.round((F.greatest(F.lit(0.0), spread(i, j)) if i == j else spread(i, j)) * CONSISTENT, 9).alias(f"c{i}{j}") for i, j in _triangle()],
+    )
+    return _cholesky(states).withColumn("volume", sum(2 * F.log(f"l{i}{i}") for i in range(D)))
+
+
+def concentrated(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """A concentration step: the estimates of the nearest three quarters of each group's rows under each of its states.
+
+    The rows are read once: moments per bin of the distance, of which the nearest are added up."""
+    near = _distance(_with_group(rows, states.drop("volume"))).withColumn("bin", F.floor(8 * F.log2(F.col("d2") + 1e-6)))
+    bins = near.groupBy("group", "start", "n", "bin").agg(*_moments())
+    before = Window.partitionBy("group", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    inner = bins.withColumn("before", F.coalesce(F.sum("h").over(before), F.lit(0))).where(F.col("before") < F.ceil(F.col("n") * NEAREST))
+    return _estimates(inner.groupBy("group", "start", "n").agg(*[F.sum(c).alias(c) for c in _MOMENTS]))
+
+
+def _starts(rows: DataFrame, starts: int, few: int = 16) -> DataFrame:
+    """States to begin from: start 0 has medians and quartile ranges, each other one the moments of some `few` rows
+    of the group, drawn by hash."""
+    first = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(F.round(f"x{i}", 3), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(D)])
+    first = written(first)
     zero = F.lit(0.0)
-    start = start.select("group", "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else zero).alias(f"c{i}{j}") for i, j in _triangle()])
-    state = written(start)
-    for _ in range(steps):
-        near = _distance(_with_group(rows, _cholesky(state))).withColumn("bin", F.floor(8 * F.log2(F.col("d2") + 1e-6)))
-        upto = Window.partitionBy("group").orderBy("bin")
-        reach = near.groupBy("group", "n", "bin").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(upto)).where(F.col("upto") >= F.ceil(F.col("n") * NEAREST)).groupBy("group").agg(F.min("bin").alias("reach"))
-        kept = _with_group(near, reach).where("bin <= reach")
-        sums = kept.groupBy("group", "n").agg(F.count(F.lit(1)).alias("h"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(D)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _triangle()])
-        state = written(
-            sums.select(
-                "group", "n",
-                *[F.round(f"m{i}", 9).alias(f"m{i}") for i in range(D)],
-                *[F.round(F.greatest(F.lit(0.0), F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT if i == j else (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT, 9).alias(f"c{i}{j}") for i, j in _triangle()],
-            )
-        )
-    return state
-
-
-def quality_verdicts(docs: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), cutoff: float = CUTOFF, prior_rows: int = 50, steps: int = 3) -> DataFrame:
+    middle = first.select("group", F.lit(0).alias("start"), "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else zero).alias(f"c{i}{j}") for i, j in _triangle()])
+    middle = _cholesky(middle).withColumn("volume", zero)
+    if starts < 2:
+        return middle
+    draws = _with_group(rows, first.select("group", "n")).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts - 1))))
+    drawn = draws.where(F.pmod(F.xxhash64(*[f"x{i}" for i in range(D)], "start"), F.greatest(F.lit(1).cast("long"), F.expr(f"n div {few}"))) == 0)
+    return middle.unionByName(_estimates(drawn.groupBy("group", "start", "n").agg(*_moments())))
+
+
+def robust_estimates(rows: DataFrame, *, starts: int = 5, first_steps: int = 2, most_steps: int = 25, least_gain: float = 1e-6) -> DataFrame:
+    """Per `group` of rows with x_i: n, centre m_i, covariance c_ij and volume (log determinant) of the three quarters
+    of the rows with the least determinant that the search finds.
+
+    From each start come `first_steps` concentration steps; the start with the least determinant goes on until no
+    group's determinant falls by `least_gain` of itself, or for `most_steps` steps. A group keeps its least."""
+    states = written(_starts(rows, starts))
+    for _ in range(first_steps):
+        states = written(concentrated(rows, states))
+    columns = [c for c in states.columns if c != "group"]
+    states = states.groupBy("group").agg(F.min_by(F.struct(*columns), F.struct("volume", "start")).alias("best")).select("group", "best.*")
+    for _ in range(most_steps):
+        after = concentrated(rows, states).select("group", F.struct(*columns).alias("after"))
+        falls = F.coalesce(F.col("after.volume") < F.col("before.volume") - least_gain, F.lit(False))
+        pairs = states.select("group", F.struct(*columns).alias("before")).join(after, "group", "left")
+        both = written(pairs.select("group", falls.alias("falls"), F.when(falls, F.col("after")).otherwise(F.col("before")).alias("best")))
+        states = both.select("group", "best.*")
+        if not both.where("falls").limit(1).count():
+            break
+    return states
+
+
+def quality_verdicts(docs: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), cutoff: float = CUTOFF, prior_rows: int = 50, starts: int = 5) -> DataFrame:
     """The carried columns, the five statistics, base_failed, kept and distance (squared).
 
     A null or empty text has statistics 0 and fails the base rules. Null languages and sources are
     groups like any other. Rows that fail the base rules take no part in the estimates; their
     distance may be null where their whole group failed. Repeated rows count each and get the same
-    verdict. An empty table gives no rows. Columns of docs that aren't named don't matter.
+    verdict. An empty table gives no rows. Columns of docs that aren't named don't matter. A very long text is
+    one row's arrays of words and window hashes in its task; nothing else depends on its length.
     """
     own = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], null_safe("lang").alias("_lang"), null_safe("source").alias("_source"), F.col("text"))
     slim = written(with_statistics(own).drop("text").withColumn("base_failed", _base_failed()).withColumns(_vector()))
     levels = F.array(F.concat(F.lit("L"), F.col("_lang")), F.concat(F.lit("S"), F.col("_source"), F.lit("\x1f"), F.col("_lang")))
     slim = slim.withColumns({"_of_lang": levels[0], "_of_both": levels[1]})
-    states = robust_estimates(slim.where(~F.col("base_failed")).select(F.explode(F.array("_of_lang", "_of_both")).alias("group"), *[f"x{i}" for i in range(D)]), steps)
+    states = robust_estimates(slim.where(~F.col("base_failed")).select(F.explode(F.array("_of_lang", "_of_both")).alias("group"), *[f"x{i}" for i in range(D)]), starts=starts)
     values = [f"m{i}" for i in range(D)] + [f"c{i}{j}" for i, j in _triangle()]
     pairs = slim.select("_of_lang", "_of_both").distinct()
     of_lang = states.select(F.col("group").alias("_of_lang"), *[F.col(v).alias(f"p_{v}") for v in values])

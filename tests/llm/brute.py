@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -123,3 +124,48 @@ def jump(key, shards):
         key = (key * 2862933555777941757 + 1) % (1 << 64)
         at = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
     return b
+
+
+def toxic(net, text, window=64, step=32, trigrams=1 << 14):
+    """The score of a text by loops over windows, words and gates, from a network's weights."""
+    from loomlens.llm import toxicity
+
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    data = b"\n" + toxicity.plain((text or "").encode()) + b"\n"
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    own = {h: i for i, h in enumerate(net.vocabulary.tolist())}
+    hidden = len(p["hf"])
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    columns = {k: list(zip(*p[k], strict=True)) for k in ("xf", "hf", "xb", "hb")}
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def word(a, b):
+        found = own.get(int(toxicity.word_hashes([data[a:b]])[0][0]), len(own))
+        total = [0.0] * len(p["gram"][0])
+        for i in range(a, b):
+            code = (data[i - 1] * 0x9E3779B1 + data[i] * 0x85EBCA77 + data[i + 1] * 0xC2B2AE3D) % (1 << 32)
+            total = [t + g for t, g in zip(total, p["gram"][(code ^ code >> 15) % trigrams], strict=True)]
+        return p["word"][found] + [t / (b - a) for t in total]
+
+    def states(xs, d):
+        h, out = [0.0] * hidden, []
+        for x in xs if d == "f" else reversed(xs):
+            given = [dot(x, c) + bias for c, bias in zip(columns["x" + d], p["c" + d], strict=True)]
+            past = [dot(h, c) for c in columns["h" + d]]
+            z = [sigmoid(given[k] + past[k]) for k in range(hidden)]
+            q = [sigmoid(given[k] + past[k]) for k in range(hidden, 2 * hidden)]
+            n = [math.tanh(given[2 * hidden + k] + q[k] * past[2 * hidden + k]) for k in range(hidden)]
+            h = [(1 - z[k]) * n[k] + z[k] * h[k] for k in range(hidden)]
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    inputs, best, at = [word(*s) for s in spans], -math.inf, 0
+    while at == 0 or at + step < len(inputs):
+        xs = inputs[at : at + window]
+        if not xs:
+            return sigmoid(p["b"][0])
+        s = [f + b + x for f, b, x in zip(states(xs, "f"), states(xs, "b"), xs, strict=True)]
+        e = [math.exp(dot(v, p["u"])) for v in s]
+        pooled = [sum(w * v[k] for w, v in zip(e, s, strict=True)) / sum(e) for k in range(len(s[0]))]
+        best, at = max(best, dot(pooled, p["v"]) + p["b"][0]), at + step
+    return sigmoid(best)

@@ -141,7 +141,7 @@ def test_quality_statistics(docs, rows, none):
 
 
 def test_quality_distances_against_numpy(spark):
-    """The estimates and distances of two groups, one small, from the definition."""
+    """The estimates of two groups, one small, hold against a search in numpy; the distances follow from them."""
     r = np.random.default_rng(8)
     rows = []
     for i in range(140):
@@ -160,20 +160,40 @@ def test_quality_distances_against_numpy(spark):
         d = v - m
         return (d @ np.linalg.inv(c + np.diag(np.square(quality.FLOORS))) * d).sum(axis=1)
 
-    def estimate(v):
-        q = np.percentile(v.round(3), [25, 50, 75], axis=0)
-        m, c = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)
-        for _ in range(3):
-            bins = np.floor(8 * np.log2(squared(v, m, c) + 1e-6))
-            near = v[bins <= np.sort(bins)[int(np.ceil(len(v) * 0.75)) - 1]]
-            m, c = near.mean(axis=0), np.cov(near.T, bias=True) * quality.CONSISTENT
-        return m, c
+    def step(v, m, c):
+        bins = np.floor(8 * np.log2(squared(v, m, c) + 1e-6))
+        near = v[bins <= np.sort(bins)[int(np.ceil(len(v) * 0.75)) - 1]]
+        return near.mean(axis=0), np.cov(near.T, bias=True) * quality.CONSISTENT
+
+    volume = lambda c: np.linalg.slogdet(c + np.diag(np.square(quality.FLOORS)))[1]
+    triangle = [(i, j) for i in range(4) for j in range(i + 1)]
+
+    def matrix(state):
+        c = np.zeros((4, 4))
+        for i, j in triangle:
+            c[i, j] = c[j, i] = state[f"c{i}{j}"]
+        return np.array([state[f"m{i}"] for i in range(4)]), c
 
     small = np.array([i % 10 == 0 for i in range(140)])
-    whole = estimate(x[~fails])
-    for group in (small, ~small):
-        v = x[group & ~fails]
-        m, c = ((a * len(v) + b * 50) / (len(v) + 50) for a, b in zip(estimate(v), whole, strict=True))
+    groups = {"all": ~fails, "small": small & ~fails, "big": ~small & ~fails}
+    table = [(g, *map(float, x[i])) for g, of in groups.items() for i in np.flatnonzero(of)]
+    states = {s.group: s for s in quality.robust_estimates(spark.createDataFrame(table, "group string, x0 double, x1 double, x2 double, x3 double")).collect()}
+    for g, of in groups.items():
+        v, (m, c) = x[of], matrix(states[g])
+        assert states[g].n == len(v) and states[g].volume == pytest.approx(volume(c), rel=1e-6)
+        assert volume(step(v, m, c)[1]) >= states[g].volume - 2e-6  # it has converged
+        best = np.inf
+        for _ in range(300):  # a search of its own, from random subsets
+            few = v[r.choice(len(v), 8, replace=False)]
+            state = few.mean(axis=0), np.cov(few.T, bias=True)
+            for _ in range(12):
+                state = step(v, *state)
+                best = min(best, volume(state[1]))
+        assert states[g].volume <= best + 0.15, g
+    whole = matrix(states["all"])
+    for g, group in (("small", small), ("big", ~small)):
+        n = int(groups[g].sum())
+        m, c = ((a * n + b * 50) / (n + 50) for a, b in zip(matrix(states[g]), whole, strict=True))
         for i, d in zip(np.flatnonzero(group), squared(x[group], m, c), strict=True):
             assert found[i].distance == pytest.approx(d, rel=1e-4) and found[i].kept == (not fails[i] and d <= quality.CUTOFF)
 
@@ -308,7 +328,7 @@ def test_near_dedup_loss():
             lost = sum(choose(same, j) * choose(n - same, m - j) / choose(n, m) * lost**j for j in range(m + 1))
         trees = sum(choose(same, j) * choose(n - same, near_dedup.TREES - j) / choose(n, near_dedup.TREES) * lost**j for j in range(near_dedup.TREES + 1))
         missed += choose(n, same) * s**same * (1 - s) ** (n - same) * trees
-    p = (1 - s) * 3 / 4
+    p = (1 - s) * (1 - 0.5 ** len(near_dedup.PLANES))
     unlike = sum(choose(n, i) * p**i * (1 - p) ** (n - i) for i in range(near_dedup.differing(75) + 1, n + 1))
     assert missed + unlike < 1e-9
 
@@ -335,12 +355,32 @@ def test_bpe_chunks(docs, rows, none, mean_bytes):
 
 def test_bpe_chunks_of_odd_texts_and_small_stores():
     encoder = bpe_chunks.ChunkEncoder(bpe_chunks.default_tokenizer(), mean_bytes=5, word_store=3, chunk_bytes=100)
-    odd = ["", " ", "A.B, C. d, e.", "can't won't I'LL", "Σας ΣΑΣ ﬁ Å Å", "x\u0085y z", "<|startoftext|> a<|endoftext|>", "a < | b", "é ́e", "12 3,4. 5", "👍🏽 ok", "a,́ b., c", "K. K,", "--- ... ,,, ."] * 3
+    odd = ["", " ", "Hello HELLO hello", "A.B, C. d, e.", "can't won't I'LL", "Σας ΣΑΣ ﬁ Å Å", "x\u0085y z", "<|startoftext|> a<|endoftext|>", "a < | b", "é ́e", "12 3,4. 5", "👍🏽 ok", "a,́ b., c", "K. K,", "--- ... ,,, ."] * 3
     for text, (n, ids, decoded) in zip(odd, encoder.encode_all([t.encode() for t in odd]), strict=True):
         own = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert (n, ids, decoded) == (len(own), " ".join(map(str, own)), encoder.tokenizer.decode(own, skip_special_tokens=False)), text
 
 
+def test_bpe_chunks_of_random_texts():
+    """Random strings of awkward pieces, cut every few bytes, are encoded as the library does."""
+    r = np.random.default_rng(12)
+    pieces = ["a", "B", "word", "Words", "don't", "'s", "12", "3", ".", ",", "...", "!?", "#", "é", "E\u0301", "\u0301", "Σ", "ς", "İ", "ß", "日本", "👍🏽", "\u200d", "<|endoftext|>", "<|", "|>", "_", "-"]
+    gaps = ["", "", "", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\xa0", "\u2003", "\x85", "\x00", "\x1c"]
+    texts = ["".join(pieces[r.integers(len(pieces))] + gaps[r.integers(len(gaps))] for _ in range(int(r.integers(1, 60)))) for _ in range(1500)]
+    for mean_bytes in (6, 64):
+        encoder = bpe_chunks.ChunkEncoder(bpe_chunks.default_tokenizer(), mean_bytes=mean_bytes)
+        for text, (n, ids, decoded) in zip(texts, encoder.encode_all([t.encode() for t in texts]), strict=True):
+            own = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert (n, ids, decoded) == (len(own), " ".join(map(str, own)), encoder.tokenizer.decode(own, skip_special_tokens=False)), repr(text)
+
+
+def test_bpe_chunks_refuses_tokenizers_that_keep_white_space():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="white space"):
+        bpe_chunks.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_a_join_that_disagrees_is_repaired():
     """With a store that claims a wrong word, the check at the joins sends the text back as a whole."""
     encoder = bpe_chunks.ChunkEncoder(bpe_chunks.default_tokenizer(), mean_bytes=5)
@@ -409,3 +449,27 @@ def test_toxicity_windows_cover_all_words():
     for i, n in enumerate(t.counts):
         covered = {w for d, f, s in zip(text, first, size, strict=True) if d == i for w in range(f - begin[i], f - begin[i] + s)}
         assert covered == set(range(n)) and all(1 <= s <= toxicity.WINDOW for s in size)
+
+
+def test_toxicity_scores_against_loops(rows):
+    """Every score is that of the definition, and the same when a text is scored in stretches."""
+    r = np.random.default_rng(6)
+    texts = [t or "" for t in dict.fromkeys(x[1] for x in rows) if len(t or "") < 5000] + [" ".join(f"w{x}" for x in r.integers(0, 90, n)) for n in (31, 64, 65, 97, 300)]
+    net = toxicity.Network(np.unique(toxicity.Texts([t.encode() for t in texts]).hashes)[::3], 2)
+    net.p = {k: (v * 4).astype(np.float32) for k, v in net.p.items()}
+    found = net.scores([t.encode() for t in texts])
+    assert found == pytest.approx([brute.toxic(net, t) for t in texts], abs=2e-5) and found.std() > 0.01
+
+
+def test_toxicity_of_a_long_text(monkeypatch):
+    r = np.random.default_rng(7)
+    text = " \n".join(f"w{x}" for x in r.integers(0, 900, 30_000)).encode()
+    net = toxicity.Network(np.unique(toxicity.Texts([text]).hashes), 3)
+    net.p = {k: (v * 4).astype(np.float32) for k, v in net.p.items()}
+    whole = net.scores([b"a", text, b""])
+    for windows in (1, 7, 10**6):
+        parts = list(toxicity.stretches(toxicity.plain(text), windows))
+        assert sum(len(toxicity.Texts([p]).windows()[0]) for p in parts) == len(toxicity.Texts([text]).windows()[0])
+    monkeypatch.setattr(toxicity, "AT_ONCE", 5000)
+    monkeypatch.setattr(toxicity, "STRETCH", 10)
+    assert net.scores([b"a", text, b""]) == pytest.approx(whole, abs=1e-6)
