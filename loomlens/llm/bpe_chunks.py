@@ -2,17 +2,21 @@
 
 A rolling hash over the last bytes cuts each text into chunks, so passages that documents share give
 the same chunks wherever they stand. A worker encodes each chunk's inner part, between its first and its last
-white space, in one call of the library and keeps the ids for later documents (in a bounded store; what is pushed
-out is only encoded again). Cuts fall anywhere, also inside words: at each join the run between white space that
-straddles the cut is put together and encoded anew. Every join is then checked: the run with the whole words on
-its sides, encoded together, must agree with what stands there. Where it doesn't, the text is encoded again as a whole.
-
-This holds for tokenizers in which white space only separates words and tokens decode one by one; others are refused.
+white space, once and keeps the ids for later documents (in bounded stores; what is pushed out is only encoded
+again). Fresh inner parts go to the library by their distinct words, all chunks of a batch in one call: it takes
+about 1 MB of text a second, and most words come again and again. Cuts fall anywhere, also inside words: at each
+join the run between white space that straddles the cut is put together and encoded anew. Every join is then
+checked: the run with the whole words on its sides, encoded together, must agree with what stands there. Where it
+doesn't, the text is encoded again as a whole.
+
+This holds for tokenizers in which white space only separates words and tokens decode one by one; others are
+refused. Letters are folded to lower case beforehand only where the tokenizer's own normalizer does so.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -20,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +53,19 @@ def cut_points(data: np.ndarray, mean_bytes: int, window: int = 8) -> np.ndarray
     return np.flatnonzero(((rolled >> np.uint32(8)) % np.uint32(mean_bytes) == 0) & ((data[window:] & 0xC0) != 0x80)) + window
 
 
+#: A full stop or comma by itself after an ASCII letter: a token of its own with or without a space, where this
+#: fixed pattern splits words.
+_SEAM = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \t\n\x0b\x0c\r])")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Normalizers that treat A-Z alike whether or not they are in lower case already.
+_CASELESS = {"Lowercase", "NFC", "NFD", "NFKC", "NFKD", "StripAccents", "Strip"}
+
+
 class ChunkEncoder:
     """Encodes texts as tokenizer.encode(text, add_special_tokens=False) does, and decodes them.
 
-    Full stores (of chunks, of the words at joins and of checked joins) are emptied.
+    Words are kept in two generations: a full store becomes the old one, and what is used again moves
+    on from it. Full stores of chunks and of checked joins are emptied.
     """
 
     def __init__(self, tokenizer_path: str, mean_bytes: int = 1024, word_store: int = 250_000, chunk_bytes: int = 32_000_000):
@@ -62,11 +76,15 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self._refuse_others(tokenizer_path)
+        self.lowers, self.seams = self._folds()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.number = [str(i) for i in range(size)]
         self.token = [self.tokenizer.decode([i], skip_special_tokens=False) for i in range(size)]
+        # A special token between words: the library encodes what is on its sides by itself.
+        self.special = next(iter(self.tokenizer.get_added_tokens_decoder().items()), None)
         self.mean_bytes, self.word_store, self.chunk_bytes = mean_bytes, word_store, chunk_bytes
         self.words: dict[bytes, tuple[int, str, str]] = {}
+        self.old_words: dict[bytes, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.sound: set[tuple[bytes, bytes, bytes]] = set()
         self.kept_bytes = self.encoded_bytes = 0
@@ -80,23 +98,72 @@ class ChunkEncoder:
         if self.tokenizer.decode(apart, skip_special_tokens=False) != " ".join(self.tokenizer.decode([i], skip_special_tokens=False) for i in apart):
             raise ValueError(f"{path}: tokens don't decode one by one")
 
+    def _folds(self) -> tuple[bool, bool]:
+        """Whether A-Z may be put in lower case first, and whether a space may be put before single marks."""
+        own = json.loads(self.tokenizer.to_str())
+        steps = [s for n in [own["normalizer"]] if n for s in n.get("normalizers", [n])]
+        lowers = any(s["type"] == "Lowercase" for s in steps) and all(s["type"] in _CASELESS or s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} for s in steps)
+        splits = [s for n in [own["pre_tokenizer"]] if n for s in n.get("pretokenizers", [n])]
+        return lowers, bool(splits) and splits[0].get("pattern") == {"Regex": _SPLIT}
+
+    def folded(self, text: bytes) -> bytes:
+        """The text with the same encoding in which more words are alike. Texts in which a special token might
+        stand are left as they are."""
+        if b"<" in text:
+            return text
+        text = text.lower() if self.lowers else text
+        return _SEAM.sub(rb" \1", text) if self.seams else text
+
     def _known(self, ids: list[int]) -> tuple[int, str, str]:
         return len(ids), " ".join([self.number[i] for i in ids]), " ".join([self.token[i] for i in ids])
 
-    def _encode(self, runs: list[bytes]) -> list[tuple[int, str, str]]:
+    def _encode(self, runs: list[bytes], together: int = 500) -> list[tuple[int, str, str]]:
         self.encoded_bytes += sum(map(len, runs))
-        return [self._known(e.ids) for e in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
+        if self.special is None:
+            return [self._known(e.ids) for e in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
+        mark, text = self.special[0], self.special[1].content
+        apart = f" {text} ".encode()
+        begins = text[:2].encode()
+        groups = [runs[i : i + together] for i in range(0, len(runs), together)]
+        joined = [apart.join(r if begins not in r else b"" for r in g).decode() for g in groups]
+        found: list[tuple[int, str, str]] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = [*np.flatnonzero(np.asarray(ids, np.int64) == mark).tolist(), len(ids)]
+            start = 0
+            for run, end in zip(group, ends, strict=True):
+                own = ids[start:end] if begins not in run else self.tokenizer.encode(run.decode(), add_special_tokens=False).ids
+                found.append(self._known(own))
+                start = end + 1
+        return found
 
     def _learn(self, runs: set[bytes]) -> None:
         if len(self.words) > self.word_store:
-            self.words = {}
-        fresh = [r for r in runs if r not in self.words]
+            self.old_words, self.words = self.words, {}
+        missing = [r for r in runs if r not in self.words]
+        self.words.update((r, self.old_words[r]) for r in missing if r in self.old_words)
+        fresh = [r for r in missing if r not in self.words]
         self.words.update(zip(fresh, self._encode(fresh), strict=True))
 
+    def _inner(self, parts: list[bytes]) -> list[tuple[int, str, str]]:
+        """What each part, whole words between white space, is encoded to."""
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array(parts, pa.string())))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        self._learn(set(distinct))
+        known = [self.words[w] for w in distinct]
+        counts, at = np.array([k[0] for k in known], np.int64), words.indices.to_numpy(zero_copy_only=False)
+        full = counts[at] > 0
+        ends = np.concatenate([[0], np.cumsum(full)])[split.offsets.to_numpy()]
+        at = at[full]
+        sums = np.concatenate([[0], np.cumsum(counts[at])])[ends]
+        texts = [pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([k[i] for k in known], pa.string()).take(pa.array(at))), " ").to_pylist() for i in (1, 2)]
+        return list(zip(np.diff(sums).tolist(), *texts, strict=True))
+
     def encode_all(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
         """(number of ids, the ids in decimal joined by a space, the decoded text) of each text."""
         pieces: list[list[bytes]] = []
-        for text in texts:
+        for text in map(self.folded, texts):
             cuts = cut_points(np.frombuffer(text, np.uint8), self.mean_bytes).tolist()
             pieces.append([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
         if self.kept_bytes > self.chunk_bytes:
@@ -104,7 +171,7 @@ class ChunkEncoder:
         fresh = [p for p in {p for ps in pieces for p in ps} if p not in self.chunks]
         ends = [(_HEAD.match(p).end(), 1 + max(p.rfind(c) for c in _SPACES)) for p in fresh]
         inner = [p[a:b] for p, (a, b) in zip(fresh, ends, strict=True)]
-        for p, (a, b), middle, found in zip(fresh, ends, inner, self._encode(inner), strict=True):
+        for p, (a, b), middle, found in zip(fresh, ends, inner, self._inner(inner), strict=True):
             words = middle.split(None, 1)[:1] + middle.rsplit(None, 1)[-1:] if a < b else []
             first, last = (words[0].strip(), words[1].strip()) if len(words) == 2 else (b"", b"")
             self.chunks[p] = (p[:a], *found, p[b:] if a < b else b"", a < b, first, last)
