@@ -5,7 +5,8 @@ at one chosen coordinate; a large node is dealt to children by further coordinat
 (BRANCH of them at each level, so that a similar pair nearly surely meets in a child) until few enough are left
 to compare exhaustively. Independent trees are repeated to reach the recall.
 
-A node of up to `leaf` sets is a group, compared in one task. A larger node first compares all its sets with some of
+A node of up to `leaf` sets is a group, compared in one task: first the nodes of FIRST trees, then those of all
+others but for sets that are joined already. A larger node first compares all its sets with some of
 them, its centres, in groups of bounded size: that settles groups of near copies of any size in linear time. If
 few sets stand outside the node's largest component then, these meet all others, again in groups. Else the node
 branches; what is large after the last level is compared block by block. No pair of a compared node is left out.
@@ -44,7 +45,9 @@ SKETCH, TREES, BRANCH = 64, 17, (4, 4, 2)
 #: Bits of each coordinate in a signature.
 PLANES = ("p", "q", "r", "s")
 #: Sets of a group that is compared in one task, centres of a larger node, shingles of a set that are compared as a whole.
-LEAF, CENTRES, WHOLE = 1024, 16, 2048
+LEAF, CENTRES, WHOLE = 2048, 16, 2048
+#: Trees whose small nodes are compared before the others.
+FIRST = 3
 _LAST = 9223372036854775807
 
 
@@ -136,9 +139,9 @@ def _together(rows: DataFrame) -> DataFrame:
 
 
 def _promising(rows: DataFrame, percent: int) -> DataFrame:
-    """(path, node, component, asks): the rows in whose group stands a set of another component that may reach
-    the similarity, by sizes and signatures, where one of the two asks."""
-    most = differing(percent)
+    """The rows in whose group stands a set of another component that may reach the similarity, by sizes and
+    signatures, where one of the two asks: path, node, n, PLANES, component, asks and tree."""
+    most, names = differing(percent), ["path", "node", "n", *PLANES, "component", "asks", "tree"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
@@ -154,9 +157,10 @@ def _promising(rows: DataFrame, percent: int) -> DataFrame:
                 unlike = np.bitwise_or.reduce([x[a] ^ x[b] for x in planes]).view(np.uint64)
                 near = np.bitwise_count(unlike) <= most
                 hit[a[near]] = hit[b[near]] = True
-            yield from table.select(["path", "node", "component", "asks"]).filter(pa.array(hit)).to_batches()
+            yield from table.filter(pa.array(hit)).to_batches()
 
-    return _together(rows.select("path", "node", "n", *[f"sig.{x}" for x in PLANES], "component", "asks")).mapInArrow(run, "path long, node long, component long, asks boolean")
+    rows = _together(rows.select(*names))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def joining(path: np.ndarray, sets: list[np.ndarray], bits: np.ndarray, component: np.ndarray, asks: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
@@ -210,6 +214,7 @@ def _joins(rows: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
             ends = node[np.array([x[:2] for x in found], np.int64).reshape(-1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1)), pa.array([x[2] for x in found], pa.int32())], ["a", "b", "grade"])
 
+    rows = rows.select("path", "node", "component", "asks")
     return _together(rows.join(shingles, "node")).mapInArrow(run, "a long, b long, grade int").groupBy("a", "b").agg(F.max("grade").alias("grade"))
 
 
@@ -267,7 +272,7 @@ def _children(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     choice = lambda k: (start + F.lit(k * SKETCH // BRANCH[level])) % SKETCH
     child = lambda k: F.xxhash64("path", F.lit(level), choice(k), F.get("sketch", choice(k)))
     paths = F.array(*[child(k) for k in range(BRANCH[level])])
-    return rows.join(sets.select("node", "sketch"), "node").select(F.explode(paths).alias("path"), "node", "n", "sig", "component")
+    return rows.join(sets.select("node", "sketch"), "node").select(F.explode(paths).alias("path"), "node", "n", *PLANES, "component", "tree")
 
 
 def _block(name: str, blocks: Column | str) -> Column:
@@ -295,9 +300,14 @@ def _compared(rows: DataFrame, leaf: int) -> DataFrame:
     return asks.unionByName(meets)
 
 
-def _promising_below(large: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """What is left to compare in large nodes once their centres' links made the components `labels`."""
-    rows, found = large.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), None
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the components that links made so far."""
+    return rows.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _promising_below(rows: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """What is left to compare in large nodes between the components of rows."""
+    found = None
     for level in range(len(BRANCH) + 1):
         parts = rows.groupBy("path", "component").agg(F.count(F.lit(1)).alias("k"))
         nodes = parts.groupBy("path").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("top")).where(F.col("size") > F.col("top.k"))
@@ -349,18 +359,22 @@ def _links(slim: DataFrame, docs: DataFrame, percent: int, leaf: int) -> DataFra
     first = F.struct(F.xxhash64("set_key").alias("node"), F.col("n_shingles").alias("n"), "sig", "sketch")
     classes = written(slim.where("n_shingles > 0").groupBy("set_key").agg(F.min(first).alias("c"), F.min(own).alias("own")).select("set_key", "c.*", "own"))
     roots = F.array(*[F.xxhash64(F.lit(t), F.col("sketch")[t * (SKETCH // TREES)]) for t in range(TREES)])
-    rows = classes.select(F.explode(roots).alias("path"), "node", "n", "sig", F.col("node").alias("component"))
+    rows = classes.select(F.posexplode(roots).alias("tree", "path"), "node", "n", "sig.*", F.col("node").alias("component"))
     shared = written(_nodes(rows))
     small = written(_promising(shared.where(F.col("size") <= leaf).withColumn("asks", F.lit(True)), percent))
     large = shared.where(F.col("size") > leaf)
     # Only sets that may resemble another, or stand in a large node, are fetched with their texts.
     shingles = written(_shingles(_texts(small.select("node").union(large.select("node")), classes, docs)))
-    links = _joins(small, shingles, percent)
-    if large.limit(1).count():
-        stars = written(_joins(_promising(_stars(large, leaf), percent), shingles, percent))
-        below = written(_promising_below(large, classes, components(stars.where("grade > 0")), percent, leaf))
-        links = links.unionByName(stars).unionByName(_joins(below, shingles, percent))
-    links = written(links)
+    some = _joins(small.where(F.col("tree") < FIRST), shingles, percent)
+    any_large = large.limit(1).count() > 0
+    if any_large:
+        some = some.unionByName(_joins(_promising(_stars(large, leaf), percent), shingles, percent))
+    some = written(some)
+    labels = components(some.where("grade > 0"))
+    rest = _promising(_labelled(small.where(F.col("tree") >= FIRST), labels), percent)
+    if any_large:
+        rest = rest.unionByName(_promising_below(_labelled(large, labels), classes, percent, leaf))
+    links = written(some.unionByName(_joins(rest, shingles, percent)))
     sure, unsure = links.where("grade = 2").select("a", "b"), links.where("grade < 2").select("a", "b").distinct()
     if unsure.limit(1).count():
         long = docs.where(F.octet_length("text") > 2 * WHOLE)
