@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlens.operators.graph import shared_table
+
 
 def normal_patches(patches: DataFrame) -> DataFrame:
     return patches.where((F.col("label") == 0) & (F.col("split") == "train"))
@@ -54,35 +56,59 @@ def _greedy(keep_of, key: str):
 
 
 def coreset(patches: DataFrame, keep: int | None = None, ratio: float = 0.1, seed: int = 0, group: str = "category", key: str = "patch_id") -> DataFrame:
-    """(group, key, feature, rank) by exact greedy k-center, one group in a task; for groups of any
-    size see coreset_distributed."""
+    """(group, key, feature, rank) by exact greedy k-center. Each choice depends on all before it, so one task
+    holds a group; for groups of any size see coreset_distributed."""
     rows = patches.select(group, key, "feature").withColumn("_start", start_order(seed, key))
     keep_of = lambda n: keep if keep is not None else max(1, int(n * ratio))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.groupBy(group).applyInArrow(_greedy(keep_of, key), f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}, rank int")
 
 
-def coreset_distributed(patches: DataFrame, keep: int | None = None, parts: int = 8, seed: int = 0, group: str = "category", key: str = "patch_id", ratio: float = 0.1) -> DataFrame:
-    """Two-round composable k-center: greedy on hash parts of each group, then on the union of their
-    centers. The radius is at most four times the optimum's (Malkomes et al., 2015); a task holds one
-    part, and the last round parts x keep rows. Without keep, each group keeps max(1, floor(n ratio)) rows."""
-    sizes = patches.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
-    n_keep = F.lit(keep) if keep is not None else F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * F.lit(float(ratio))))
-    rows = patches.select(group, key, "feature").join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("_group")))  # one row per group
-    rows = rows.select(group, key, "feature", n_keep.cast("long").alias("_keep")).withColumns({"_start": start_order(seed, key), "_part": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")})
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}"
-    kept = lambda t: _greedy(lambda n: t.column("_keep")[0].as_py(), key)(t)
-    first = lambda t: kept(t.drop_columns(["_part"])).drop_columns(["rank"])
-    centers = rows.groupBy(group, "_part").applyInArrow(first, f"{schema}, _keep long").withColumn("_start", start_order(seed, key))
-    return centers.groupBy(group).applyInArrow(lambda t: kept(t).drop_columns(["_keep"]), f"{schema}, rank int")
+def coreset_distributed(patches: DataFrame, keep: int | None = None, seed: int = 0, group: str = "category", key: str = "patch_id", ratio: float = 0.1, rows: int = 20_000, shrink: int = 4) -> DataFrame:
+    """Composable k-center for groups of any size: greedy on hash parts of about `rows` rows, then on parts of the
+    centers that are left, until a group's fit one part. Without keep, each group keeps max(1, floor(n ratio)) rows.
+
+    A round keeps a `shrink`-th of each part's rows, or the group's number of centers if that is more (two rounds of
+    it are at most four times off the best radius; Malkomes et al., 2015). What a task holds is bounded by rows or,
+    where a group keeps more centers than that, by twice their number: greedy choice of so many is one task's work.
+    """
+    sizes = shared_table(patches.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n")))
+    n_keep = F.lit(keep).cast("long") if keep is not None else F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * F.lit(float(ratio))))
+    held = patches.select(group, key, "feature").join(sizes, F.col(group).eqNullSafe(F.col("_group"))).select(group, key, "feature", n_keep.alias("_keep"), F.col("_n"))
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}, _keep long, _n long"
+
+    def some(table: pa.Table) -> pa.Table:
+        most = max(table.column("_keep")[0].as_py(), -(-table.num_rows // shrink))
+        return _greedy(lambda n: min(n, most), key)(table.drop_columns(["_part"])).drop_columns(["rank"])
+
+    part_rows = F.greatest(F.lit(rows).cast("long"), 2 * F.col("_keep"))
+    while held.where(F.col("_n") > part_rows).limit(1).count():
+        parts = F.ceil(F.col("_n") / part_rows)
+        dealt = held.withColumns({"_start": start_order(seed, key), "_part": F.pmod(F.xxhash64(key, "_n"), parts).cast("int")})
+        left = shared_table(dealt.groupBy(group, "_part").applyInArrow(some, schema))
+        counts = left.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_left"))
+        held = left.drop("_n").join(counts, F.col(group).eqNullSafe(F.col("_group"))).select(group, key, "feature", "_keep", F.col("_left").alias("_n"))
+    last = lambda t: _greedy(lambda n: t.column("_keep")[0].as_py(), key)(t).drop_columns(["_keep", "_n"])
+    return held.withColumn("_start", start_order(seed, key)).groupBy(group).applyInArrow(last, f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}, rank int")
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, most: int, spare: int = 2) -> np.ndarray:
+    """The `most` smallest distances of each row of x to the rows of y (infinity where y has fewer)."""
+    about = (y * y).sum(axis=1) - 2 * (x @ y.T)  # the squared distance less |x|^2, which orders alike
+    few = min(len(y), most + spare)
+    near = np.argpartition(about, few - 1, axis=1)[:, :few] if few < len(y) else np.broadcast_to(np.arange(len(y)), about.shape)
+    exact = np.sqrt(((y[near] - x[:, None, :]) ** 2).sum(axis=2)) if len(y) else np.zeros((len(x), 0))
+    padded = np.concatenate([exact, np.full((len(x), most), np.inf)], axis=1)
+    return np.sort(padded, axis=1)[:, :most]
 
 
 def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,), group: str = "category", key: str = "patch_id", rows: int = 4096) -> DataFrame:
     """(group, key, d_k for each k): mean of the k smallest Euclidean distances to the group's bank.
 
     Queries and bank are dealt to blocks and pieces of about `rows` rows each, as many as the group needs;
-    a task compares one block with one piece, and the best k of each pair of them are merged. key is
+    a task compares one block with one piece by matrix products, computes the distances of the nearest few
+    anew from the differences, and the best k of each pair of them are merged. key is
     unique in queries; bank rows are dealt by it too, or by their vectors where the bank has no key.
     """
     most = max(k)
@@ -104,9 +130,8 @@ def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,),
         for at in range(0, right.num_rows, 4096):
             y = _matrix(right.slice(at, 4096), "_vector")
             for row in range(0, len(x), 1024):
-                xs = x[row : row + 1024]
-                d = np.stack([((y - v) ** 2).sum(axis=1) for v in xs]) if len(xs) else np.zeros((0, len(y)))
-                best[row : row + 1024] = np.sort(np.concatenate([best[row : row + 1024], np.sqrt(d)], axis=1), axis=1)[:, :most]
+                d = _nearest(x[row : row + 1024], y, most)
+                best[row : row + 1024] = np.sort(np.concatenate([best[row : row + 1024], d], axis=1), axis=1)[:, :most]
         return pa.table({group: left.column(group), key: left.column(key), "_near": pa.array(list(best), pa.list_(pa.float64()))})
 
     found = q.groupBy(group, "_block", "_piece").cogroup(b.groupBy("_bank", "_meets", "_held")).applyInArrow(run, f"{group} {kinds[group]}, {key} {kinds[key]}, _near array<double>")
@@ -133,13 +158,25 @@ def bank_statistics(patches: DataFrame, ratios: Sequence[float], seed: int = 0)
     return sizes.withColumn("bank", group).join(radius, "bank").select("category", "ratio", "n", "n_keep", kept.alias("kept_share"), "radius")
 
 
-def knn_approximate(queries: DataFrame, bank: DataFrame, bucket: float = 1.0, tables: int = 8, limit: float = 2.0) -> DataFrame:
-    """(patch_id, d1) by random-projection hashing: the nearest bank row among those that share a hash."""
+def knn_approximate(queries: DataFrame, bank: DataFrame, bucket: float = 1.0, tables: int = 8) -> DataFrame:
+    """(patch_id, d1) by random-projection hashing: the nearest bank row of the category among those that share a
+    bucket; queries that share one with none are compared exactly, so every query with a bank has a distance.
+
+    Buckets are keyed by category, table and hash. A bucket's pairs are compared in blocks, as in knn_distances."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    vec = lambda df: df.withColumn("vec", array_to_vector(F.col("feature").cast("array<double>")))
+    vec = lambda df: df.select("patch_id", "category", "feature").withColumn("vec", array_to_vector(F.col("feature").cast("array<double>")))
     q, b = vec(queries), vec(bank)
     model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(b)
-    pairs = model.approxSimilarityJoin(q, b, limit, distCol="d").where(F.col("datasetA.category") == F.col("datasetB.category"))
-    return pairs.groupBy(F.col("datasetA.patch_id").alias("patch_id")).agg(F.min("d").alias("d1"))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        rows = model.transform(df).select("patch_id", "category", "feature", F.posexplode("hashes").alias("table", "hash"))
+        name = F.concat_ws("|", "category", F.col("table").cast("string"), vector_to_array("hash")[0].cast("string"))
+        return rows.select("feature", name.alias("bucket"), "patch_id", F.concat_ws("|", F.col("patch_id").cast("string"), F.col("table").cast("string")).alias("row"))
+
+    asked = hashed(q)
+    near = knn_distances(asked, hashed(b), group="bucket", key="row").join(asked.select("row", "patch_id"), "row")
+    found = shared_table(near.groupBy("patch_id").agg(F.min("d1").alias("d1")))
+    alone = queries.select("patch_id", "category", "feature").join(found.where("d1 is not null").select("patch_id"), "patch_id", "left_anti")
+    return found.where("d1 is not null").unionByName(knn_distances(alone, bank).select("patch_id", "d1").where("d1 is not null"))

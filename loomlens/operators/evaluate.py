@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -117,8 +117,13 @@ def latest_models(models: DataFrame, on: Sequence[str] = ("category",)) -> DataF
 
 def stratified_folds(rows: DataFrame, key: str, label: str, most: int = 5, seed: int = 0) -> DataFrame:
     """Add fold: the row's number by seeded hash inside its class, modulo min(most, the smallest class's
-    size); with a class of one row there are no folds and no rows come back."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.least(F.lit(most).cast("long"), F.min("_n")).alias("_k"))
+    size); with a class of one row there are no folds and no rows come back. Numbers are dealt
+    in two levels, so no class has to fit one task; only the number of folds reaches the driver."""
+    from loomlens.operators.ranking import running_sums
+
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    numbered = rows.withColumn("_no", F.row_number().over(Window.partitionBy(label).orderBy(h, key)) - 1).join(F.broadcast(sizes)).where("_k >= 2")
-    return numbered.withColumn("fold", (F.col("_no") % F.col("_k")).cast("int")).drop("_no", "_k")
+    numbered = running_sums(rows.withColumns({"_h": F.struct(h.alias("h"), F.col(key).alias("k")), "_one": F.lit(1)}), [label], "_h", ["_one"])
+    folds = numbered.groupBy(label).agg(F.max("_one_all").alias("n")).agg(F.least(F.lit(most).cast("long"), F.min("n"))).first()[0]
+    if folds is None or folds < 2:
+        return rows.withColumn("fold", F.lit(0)).limit(0)
+    return numbered.withColumn("fold", ((F.col("_one_upto") - 1) % folds).cast("int")).drop("_h", "_one", "_one_upto", "_one_all")

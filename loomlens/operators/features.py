@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,49 @@ def concat_mixed_grids(fine: DataFrame, coarse: DataFrame, size_coarse: int, siz
     return fine.select("image_id", "y", "x", "channel", "value").unionByName(up.select("image_id", "y", "x", "channel", "value"))
 
 
+# ---- whole vectors: a row per cell, whatever the number of channels ----
+def _vector(name: str = "feature") -> Column:
+    return array_to_vector(F.col(name).cast("array<double>"))
+
+
+def local_mean_features(patches: DataFrame, height: int, width: int, k: int = 3, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """k x k mean of features (keys, row_id, col_id, feature), one axis after the other; cells outside count as zero
+    and the divisor is always k * k."""
+    rows = patches.select(*keys, "row_id", "col_id", _vector().alias("v"))
+    for axis, other, side in (("row_id", "col_id", height), ("col_id", "row_id", width)):
+        near = F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col(axis) - k // 2), F.least(F.lit(side - 1).cast("long"), F.col(axis) + k // 2)))
+        rows = rows.select(*keys, near.alias(axis), other, "v").groupBy(*keys, axis, other).agg(Summarizer.sum(F.col("v")).alias("v"))
+    return rows.select(*keys, "row_id", "col_id", F.transform(vector_to_array("v"), lambda v: v / (k * k)).alias("feature"))
+
+
+def resampled_features(patches: DataFrame, size_in: int, size_out: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Bilinear resampling of features to size_out x size_out cells, one axis after the other."""
+    from loomlens.operators.rasters import bilinear_weights, weight_table
+
+    weights = weight_table(patches.sparkSession, bilinear_weights(size_in, size_out))
+    rows = patches.select(*keys, "row_id", "col_id", _vector().alias("v"))
+    for axis, other in (("row_id", "col_id"), ("col_id", "row_id")):
+        spread = rows.join(weights, rows[axis] == weights["i"]).select(*keys, F.col("o").alias(axis), other, "v", "w")
+        rows = spread.groupBy(*keys, axis, other).agg(Summarizer.mean(F.col("v"), F.col("w")).alias("v"))  # weights add up to 1
+    return rows.select(*keys, "row_id", "col_id", vector_to_array("v").alias("feature"))
+
+
+def pooled_features(patches: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """(keys, feature): mean feature of the cells whose mask is on; of all cells where none is."""
+    on = F.coalesce(F.col("mask"), F.lit(False))
+    any_on = patches.groupBy(*keys).agg(F.max(on).alias("_any"))
+    chosen = patches.withColumn("_on", on).join(any_on, list(keys)).where(F.col("_on") | ~F.col("_any"))
+    return chosen.groupBy(*keys).agg(vector_to_array(Summarizer.mean(_vector())).alias("feature"))
+
+
+def standardised_features(patches: DataFrame) -> DataFrame:
+    """patches with each channel less its mean, in population deviations (0 counts as 1)."""
+    found = patches.agg(Summarizer.metrics("mean", "variance", "count").summary(_vector()).alias("s")).select(vector_to_array("s.mean").alias("_m"), vector_to_array("s.variance").alias("_v"), F.col("s.count").alias("_n"))
+    deviation = F.transform("_v", lambda v: F.when(v > 0, F.sqrt(v * (F.col("_n") - 1) / F.col("_n"))).otherwise(F.lit(1.0)))
+    own = F.transform(F.col("feature").cast("array<double>"), lambda x, i: (x - F.col("_m")[i]) / F.col("_s")[i])
+    return patches.join(F.broadcast(found.withColumn("_s", deviation))).withColumn("feature", own).drop("_m", "_v", "_n", "_s")  # one row
+
+
 def normalise_channel(v: Column, channel: Column) -> Column:
     """(v / 255 - mean) / std of the channel (0, 1, 2 in RGB order)."""
     pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), channel.cast("int") + 1)

@@ -5,20 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the folder of spark.checkpoint.dir (one of our own where unset) and read
-    again: a cut of the lineage that outlives lost executors."""
-    spark = df.sparkSession
+    """df written as Parquet in the shared folder and read again: a cut of the lineage that outlives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only on a local master that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -30,25 +30,34 @@ def flood_share(cells: DataFrame, threshold: float = 0.5, keys: Sequence[str] =
 
 
 def _label(y: np.ndarray, x: np.ndarray, diagonal: bool) -> np.ndarray:
-    """The smallest index (in reading order of the sorted cells) in each cell's component."""
-    parent = np.arange(len(y))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    at = {c: i for i, c in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
-    before = ((0, -1), (-1, 0), (-1, -1), (-1, 1)) if diagonal else ((0, -1), (-1, 0))
-    for (cy, cx), i in at.items():
-        for dy, dx in before:
-            j = at.get((cy + dy, cx + dx))
-            if j is not None:
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(y))], np.int64)
+    """The smallest index (in reading order of the sorted cells) in each cell's component.
+
+    Cells of a row that touch form a run; runs of neighbouring rows that touch are found by binary search, and
+    the smallest label of the runs passes over them until nothing changes, each round also to the label's label.
+    """
+    if not len(y):
+        return np.zeros(0, np.int64)
+    new = np.append(True, (np.diff(y) != 0) | (np.diff(x) != 1))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(y)) - 1
+    slack = 1 if diagonal else 0
+    wide = int(x.max() - x.min()) + 4
+    place = lambda row, col: row * wide + (col - x.min()) + 1
+    low = np.searchsorted(place(y[last], x[last]), place(y[first] + 1, x[first] - slack))
+    high = np.searchsorted(place(y[first], x[first]), place(y[first] + 1, x[last] + slack), side="right")
+    touching = np.maximum(0, high - low)
+    a = np.repeat(np.arange(len(first)), touching)
+    b = np.repeat(low - (np.cumsum(touching) - touching), touching) + np.arange(len(a))
+    label = np.arange(len(first))
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        for side in (a, b, label[a], label[b]):
+            np.minimum.at(after, side, least)
+        after = after[after]
+        if (after == label).all():
+            return first[label][np.cumsum(new) - 1]
+        label = after
 
 
 def components(cells: DataFrame, connectivity: int, key: str = "image_id", value: str = "score") -> DataFrame:
@@ -131,7 +140,9 @@ def localization_quality(cells: DataFrame, predicted: DataFrame, by: Sequence[st
 def size_bins(regions: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     """Add bin to (area): small below the 33rd percentile, medium below the 67th, else large."""
     if low is None or high is None:
-        edges = regions.agg(F.percentile("area", [0.33, 0.67]).alias("e")).select(F.col("e")[0].alias("_lo"), F.col("e")[1].alias("_hi"))
+        from loomlens.operators.ranking import exact_percentiles
+
+        edges = exact_percentiles(regions, [], (0.33, 0.67), "area").withColumnsRenamed({"q0": "_lo", "q1": "_hi"})
     else:
         edges = regions.sparkSession.createDataFrame([(float(low), float(high))], "_lo double, _hi double")
     name = F.when(F.col("area") < F.col("_lo"), "small").when(F.col("area") < F.col("_hi"), "medium").otherwise("large")
@@ -170,7 +181,7 @@ def overlap_score(cells: DataFrame, regions: DataFrame, thresholds: int = 200, l
 
     def beside(rows: DataFrame, few: DataFrame) -> DataFrame:
         """rows with the columns of a table of one row per `by`."""
-        return rows.join(F.broadcast(few), by, "left") if by else rows.join(F.broadcast(few))
+        return rows.join(few, by, "left") if by else rows.join(F.broadcast(few))
 
     def bucket(rows: DataFrame) -> DataFrame:
         guess = F.coalesce(F.floor(F.try_divide((F.col("score") - F.col("lo")) * last, F.col("hi") - F.col("lo"))), F.lit(last)).cast("long")

@@ -1,8 +1,8 @@
 """Ranking metrics and threshold calibration from one primitive: counts per distinct score.
 
 `score_counts` shrinks rows to one per (group, score); prefix sums over those serve ROC, AUROC, average
-precision, precision-recall, F1 and cut-offs. The sums run in two levels, inside ranges of the score and
-over the ranges, so no group has to fit one task. Metrics of a group with a single class are null.
+precision, precision-recall, F1, cut-offs and percentiles. The sums run in two levels, inside ranges of the
+score and over the ranges, so no group has to fit one task. Metrics of a group with a single class are null.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlens.operators.graph import shared_table
+
 
 def score_counts(rows: DataFrame, group: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
     """(group, score, pos, neg): how many rows of either label have the score."""
@@ -19,23 +21,29 @@ def score_counts(rows: DataFrame, group: Sequence[str], score: str = "score", la
     return rows.where(F.col(score).isNotNull()).groupBy(*group, F.col(score).alias("score")).agg(F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg"))
 
 
-def cumulative(counts: DataFrame, group: Sequence[str], ranges: int = 64) -> DataFrame:
-    """Add tp, fp (rows with at least this score), p, n (all of the group).
+def running_sums(rows: DataFrame, group: Sequence[str], order: str, values: Sequence[str], descending: bool = False) -> DataFrame:
+    """rows with, for each of the values, its sum over the group's rows up to and including the row (_upto) and over all (_all).
 
-    Each group's scores are cut into `ranges` of equal width between its extremes; a range's totals come
-    from map-side sums, then windows run inside the ranges only.
+    Range-partitioned by Spark's sampled quantiles of (group, order) and written with the number of the partition;
+    a partition's totals per group are the offsets of the next, and windows run inside the partitions only. So
+    the tasks are even however the values pile up; rows equal in group and order stay together.
     """
-    ends = counts.groupBy(*group).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    joined = counts.join(ends, list(group)) if group else counts.join(F.broadcast(ends))
-    width = F.col("_hi") - F.col("_lo")
-    cut = joined.withColumn("_range", F.when(width > 0, F.floor((F.col("score") - F.col("_lo")) / width * ranges)).otherwise(F.lit(0).cast("long"))).drop("_lo", "_hi")
+    direction = F.desc(order) if descending else F.asc(order)
+    ranged = shared_table(rows.repartitionByRange(*group, direction).withColumn("_range", F.spark_partition_id()))
     keys = [*group, "_range"]
-    totals = cut.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = Window.partitionBy(*group).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*group)
-    totals = totals.select(*keys, *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_p", "_n")], F.sum("_p").over(every).alias("p"), F.sum("_n").over(every).alias("n"))
-    inside = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(totals, keys).select(*group, "score", "pos", "neg", (F.sum("pos").over(inside) + F.col("_p_above")).alias("tp"), (F.sum("neg").over(inside) + F.col("_n_above")).alias("fp"), "p", "n")
+    totals = ranged.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+    before, every = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group)
+    totals = totals.select(*keys, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values], *[F.sum(v).over(every).alias(f"{v}_all") for v in values])
+    inside = Window.partitionBy(*keys).orderBy(direction).rangeBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(totals, keys)
+    sums = {f"{v}_upto": F.sum(v).over(inside) + F.col(f"{v}_before") for v in values}
+    return joined.withColumns(sums).drop("_range", *[f"{v}_before" for v in values])
+
+
+def cumulative(counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Add tp, fp (rows with at least this score), p, n (all of the group)."""
+    sums = running_sums(counts, group, "score", ["pos", "neg"], descending=True)
+    return sums.select(*group, "score", "pos", "neg", F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"), F.col("pos_all").alias("p"), F.col("neg_all").alias("n"))
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -82,10 +90,26 @@ def target_fpr_threshold(roc: DataFrame, group: Sequence[str], target: float) ->
     return roc.where(F.col("fpr") <= target).groupBy(*group).agg(F.min("threshold").alias("threshold"))
 
 
+def exact_percentiles(rows: DataFrame, group: Sequence[str], shares: Sequence[float], value: str = "score") -> DataFrame:
+    """(group, q0, q1, ...): percentiles, linearly interpolated, from counts per distinct value and their running
+    sums: exact, and no group's values are held in one buffer. Null values are left out."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    sums = running_sums(counts, group, "_v", ["_k"])
+    picked = []
+    for i, share in enumerate(shares):
+        at = (F.col("_k_all") - 1) * F.lit(float(share))
+        for name, rank in ((f"_low{i}", F.floor(at)), (f"_high{i}", F.ceil(at))):
+            here = (F.col("_k_upto") - F.col("_k") <= rank) & (rank < F.col("_k_upto"))
+            picked.append(F.max(F.when(here, F.col("_v"))).alias(name))
+        picked.append(F.max(at - F.floor(at)).alias(f"_part{i}"))
+    found = sums.groupBy(*group).agg(*picked)
+    between = lambda i: F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
+    return found.select(*group, *[between(i).alias(f"q{i}") for i in range(len(shares))])
+
+
 def map_bounds(pixels: DataFrame, group: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """(group, vmin, vmax): exact percentiles, linearly interpolated; see approx_map_bounds for scale."""
-    q = pixels.groupBy(*group).agg(F.percentile("score", [low, high]).alias("q"))
-    return q.select(*group, F.col("q")[0].alias("vmin"), F.col("q")[1].alias("vmax"))
+    """(group, vmin, vmax): exact percentiles, linearly interpolated."""
+    return exact_percentiles(pixels, group, (low, high)).withColumnsRenamed({"q0": "vmin", "q1": "vmax"})
 
 
 def approx_map_bounds(pixels: DataFrame, group: Sequence[str], low: float = 0.01, high: float = 0.99, accuracy: int = 10_000) -> DataFrame:

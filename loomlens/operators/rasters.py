@@ -71,7 +71,7 @@ def normalised(cells: DataFrame, bounds: DataFrame | None = None, on: Sequence[s
     if bounds is None:
         rows = rows.withColumns({"vmin": F.col("_lo"), "vmax": F.col("_hi")})
     else:
-        rows = rows.join(F.broadcast(bounds), list(on), "left") if on else rows.join(F.broadcast(bounds))  # one row per model
+        rows = rows.join(bounds, list(on), "left") if on else rows.join(F.broadcast(bounds))  # one row per model
     low, high = F.coalesce("vmin", "_lo"), F.coalesce("vmax", "_hi")
     scaled = (F.col("score") - low) / (high - low + 1e-8)
     return rows.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))).drop("_lo", "_hi", "vmin", "vmax")
@@ -79,10 +79,11 @@ def normalised(cells: DataFrame, bounds: DataFrame | None = None, on: Sequence[s
 
 def local_mean(cells: DataFrame, height: int, width: int, k: int = 3, keys: Sequence[str] = ("image_id", "channel"), value: str = "value") -> DataFrame:
     """k x k mean, stride 1; cells outside count as zero and the divisor is always k * k."""
-    r = k // 2
-    moved = cells.withColumn("dy", F.explode(F.array(*[F.lit(d) for d in range(-r, r + 1)]))).withColumn("dx", F.explode(F.array(*[F.lit(d) for d in range(-r, r + 1)])))
-    moved = moved.select(*keys, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), value).where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    return moved.groupBy(*keys, "y", "x").agg((F.sum(value) / (k * k)).alias(value))
+    sums = cells.select(*keys, "y", "x", value)
+    for axis, other, side in (("y", "x", height), ("x", "y", width)):
+        near = F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col(axis).cast("long") - k // 2), F.least(F.lit(side - 1).cast("long"), F.col(axis).cast("long") + k // 2)))
+        sums = sums.select(*keys, near.alias(axis), other, value).groupBy(*keys, axis, other).agg(F.sum(value).alias(value))
+    return sums.select(*keys, "y", "x", (F.col(value) / (k * k)).alias(value))
 
 
 def mask_on_grid(pixels: DataFrame, height: int, width: int, gh: int, gw: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:

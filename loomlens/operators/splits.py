@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlens.operators.graph import shared_table
+
 
 def tiles(strips: DataFrame, tile: int = 256) -> DataFrame:
     """(strip columns, tile_idx, x0, h): whole windows only, so a partial tail is dropped."""
@@ -35,6 +37,7 @@ def split_by_group(rows: DataFrame, group: str, n_train: int, n_test: int, seed:
     Only the group counts are ordered, in two levels (hash ranges, then inside them).
     """
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_h", hash_order(seed, F.col(group))).withColumn("_range", F.substring("_h", 1, 2))
+    counts = shared_table(counts)  # used three times; the rows are counted once
     totals = counts.groupBy("_range").agg(F.sum("n").alias("_n"))
     before = totals.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_range").orderBy("_h", group).rowsBetween(Window.unboundedPreceding, -1)
@@ -45,10 +48,14 @@ def split_by_group(rows: DataFrame, group: str, n_train: int, n_test: int, seed:
 
 
 def split_by_tile(rows: DataFrame, key: str, n_train: int, n_test: int, seed: int = 0) -> DataFrame:
-    """(key, split): the baseline that ignores groups; the first n_train rows in hash order, the next n_test."""
-    first = rows.select(key, hash_order(seed, F.col(key)).alias("_h")).orderBy("_h", key).limit(n_train + n_test)
-    numbered = first.withColumn("_no", F.row_number().over(Window.orderBy("_h", key)))  # n_train + n_test rows
-    return numbered.select(key, F.when(F.col("_no") <= n_train, "train").otherwise("test").alias("split"))
+    """(key, split): the baseline that ignores groups; the first n_train rows in hash order, the next n_test.
+
+    Rows are numbered in two levels, so neither all nor the chosen ones have to fit one task. Keys are unique."""
+    from loomlens.operators.ranking import running_sums
+
+    ordered = rows.select(key, F.struct(hash_order(seed, F.col(key)).alias("h"), F.col(key).alias("k")).alias("_h"), F.lit(1).alias("_one"))
+    numbered = running_sums(ordered, [], "_h", ["_one"]).where(F.col("_one_upto") <= n_train + n_test)
+    return numbered.select(key, F.when(F.col("_one_upto") <= n_train, "train").otherwise("test").alias("split"))
 
 
 def leakage(rows: DataFrame, group: str) -> DataFrame:
@@ -105,8 +112,8 @@ def attach_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
 
 def validate_uploads(uploads: DataFrame, known: DataFrame, models: DataFrame, limit: int, decodable: Column | None = None) -> DataFrame:
     """Add status and reason in the service's order of checks; 200 and null where accepted."""
-    rows = uploads.join(F.broadcast(known.select("category", F.lit(True).alias("_known"))), "category", "left").join(F.broadcast(models.select("category", F.lit(True).alias("_model"))), "category", "left")
-    size = F.length("payload")
+    rows = uploads.join(known.select("category", F.lit(True).alias("_known")), "category", "left").join(models.select("category", F.lit(True).alias("_model")), "category", "left")
+    size = F.octet_length("payload")
     reason = (
         F.when(F.col("_known").isNull(), F.struct(F.lit(404).alias("status"), F.lit("unknown category").alias("reason")))
         .when(F.col("_model").isNull(), F.struct(F.lit(503).alias("status"), F.lit("model not loadable").alias("reason")))

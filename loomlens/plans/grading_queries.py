@@ -268,12 +268,12 @@ def defect_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.defect_tiles(pixels, masked, 4)
 
 
-@query(with_views("fx_uploads") + """ SELECT upload_id, category, CASE WHEN category = 'denim' THEN 404 WHEN category = 'aitex' THEN 503 WHEN length(payload) = 0 THEN 400 WHEN length(payload) > 15000 THEN 413 ELSE 200 END AS status,
-  CASE WHEN category = 'denim' THEN 'unknown category' WHEN category = 'aitex' THEN 'model not loadable' WHEN length(payload) = 0 THEN 'empty payload' WHEN length(payload) > 15000 THEN 'too large' END AS reason FROM fx_uploads""")
+@query(with_views("fx_uploads") + """ SELECT upload_id, category, CASE WHEN category = 'denim' THEN 404 WHEN category = 'aitex' THEN 503 WHEN length(payload) = 0 THEN 400 WHEN octet_length(encode(payload)) > 15000 THEN 413 WHEN upload_id % 13 = 5 THEN 400 ELSE 200 END AS status,
+  CASE WHEN category = 'denim' THEN 'unknown category' WHEN category = 'aitex' THEN 'model not loadable' WHEN length(payload) = 0 THEN 'empty payload' WHEN octet_length(encode(payload)) > 15000 THEN 'too large' WHEN upload_id % 13 = 5 THEN 'not decodable' END AS reason FROM fx_uploads""")
 def validate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([(c,) for c in ("carpet", "leather", "grid", "aitex")], "category string")
     models = spark.createDataFrame([(c,) for c in ("carpet", "leather", "grid")], "category string")
-    return S.validate_uploads(view(spark, sf_dir, "fx_uploads"), known, models, 15000).select("upload_id", "category", "status", "reason")
+    return S.validate_uploads(view(spark, sf_dir, "fx_uploads"), known, models, 15000, decodable=F.col("upload_id") % 13 != 5).select("upload_id", "category", "status", "reason")
 
 
 @query(with_views("fx_runs") + " SELECT category, layer_set, round(pro, 6) AS pro, n_test, NULL::DOUBLE AS eval_sec FROM fx_runs UNION ALL SELECT category, 'extra', round(max(pro), 6), sum(n_test)::BIGINT, 1.5::DOUBLE FROM fx_runs GROUP BY category")

@@ -323,7 +323,7 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     patches = _patches(spark, sf_dir).select("patch_id", "image_id", "label")
     images = shared_table(_knn(spark, sf_dir, (1,)).join(patches, "patch_id").groupBy("category", "image_id", "label").agg(F.max("d1").alias("score")))
     cut = R.youden_threshold(R.roc_curve(R.cumulative(R.score_counts(images, _BY), _BY), _BY), _BY).drop("j")
-    return rounded(images.join(F.broadcast(cut), "category", "left").withColumn("is_defective", F.col("score") > F.col("threshold")), "score", "threshold")  # one row per category
+    return rounded(images.join(cut, "category", "left").withColumn("is_defective", F.col("score") > F.col("threshold")), "score", "threshold")
 
 
 _STORE = " SELECT category, n, round(s, 5) AS bank_sum, 0.1::DOUBLE AS coreset_ratio, NULL::DOUBLE AS threshold FROM (SELECT category, count(*) AS n, sum(list_sum(feature::DOUBLE[])) AS s FROM normal GROUP BY category)"
@@ -509,9 +509,9 @@ def evaluate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     images = view(spark, sf_dir, "fx_images")
     names = images.select("category").distinct()
-    numbered = names.select("category", (F.row_number().over(Window.orderBy("category")) - 1).alias("no"), F.count(F.lit(1)).over(Window.partitionBy()).alias("k"))  # one row per category
-    pixels = view(spark, sf_dir, "fx_pixels")
-    pixels = pixels.join(F.broadcast(numbered), F.col("image_id") % F.col("k") == F.col("no")).drop("no", "k")
+    numbered = shared_table(names.select("category", (F.row_number().over(Window.orderBy("category")) - 1).cast("long").alias("no")))  # one row per category
+    pixels = view(spark, sf_dir, "fx_pixels").withColumn("no", F.col("image_id") % F.lit(max(1, numbered.count())))
+    pixels = pixels.join(numbered, "no").drop("no")
     return E.evaluate_runs(images, shared_table(pixels), images.groupBy("category").agg(F.count(F.lit(1)).alias("n_test")), _BY)
 
 
@@ -538,22 +538,24 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stratified_folds(view(spark, sf_dir, "fx_images"), "image_id", "category").select("image_id", "category", "fold")
 
 
-def _probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "fx_proba").withColumn("id", F.xxhash64(*view(spark, sf_dir, "fx_proba").columns))
-    return rows.select("id", "y", F.array("p0", "p1").alias("features"))
-
-
 @query()
 def train_type_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _probe_rows(spark, sf_dir)
-    scored = Y.probabilities(Y.train_probe(rows, max_iter=30), rows)
+    """The probe of deployment, fitted on all rows; probe_out_of_fold judges the estimator."""
+    rows = view(spark, sf_dir, "fx_proba").select("y", F.array("p0", "p1", "p2").alias("features"))
+    scored = Y.probabilities(Y.train_probe(rows), rows)
     return E.with_top(scored).groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def calibrate_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "fx_proba").select("id", "y", F.array("p0", "p1", "p2").alias("proba"))
-    return rounded(E.calibration_error(rows).withColumn("kind", F.lit("raw")).unionByName(E.calibration_error(Y.calibrated(rows, 3)).withColumn("kind", F.lit("sigmoid"))), "ece")
+    """Calibration errors, each fold calibrated by the other folds."""
+    rows = view(spark, sf_dir, "fx_proba")
+    rows = rows.select(F.xxhash64(*rows.columns).alias("id"), "y", F.array("p0", "p1", "p2").alias("proba"))
+    folded = shared_table(E.stratified_folds(rows, "id", "y"))
+    found = E.calibration_error(rows).withColumn("kind", F.lit("raw"))
+    for method in ("sigmoid", "isotonic"):
+        found = found.unionByName(E.calibration_error(Y.calibrated(folded, 3, method)).withColumn("kind", F.lit(method)))
+    return rounded(found, "ece")
 
 
 # ---- the same operators on whole features; FIXTURES.md fixes the first channels for the queries above ----
@@ -573,19 +575,21 @@ def _all(n: int) -> tuple[str, str]:
 
 @query(_whole("local_aggregate", _all(4)))
 def local_aggregate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.local_mean(X.channels_of(_patches(spark, sf_dir)), 4, 4), "value")
+    return rounded(X.channels_of(X.local_mean_features(_patches(spark, sf_dir), 4, 4)), "value")
 
 
 @query(_whole("pool_features", _all(4)))
 def pool_features_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = X.channels_of(_patches(spark, sf_dir)).withColumn("mask", (F.col("image_id") % 3 != 0) & ((F.col("y") + F.col("x") + F.col("image_id")) % 3 == 0))
-    return rounded(X.pooled(cells), "value")
+    cells = _patches(spark, sf_dir).withColumn("mask", (F.col("image_id") % 3 != 0) & ((F.col("row_id") + F.col("col_id") + F.col("image_id")) % 3 == 0))
+    return rounded(X.pooled_features(cells).select("image_id", F.posexplode("feature").alias("channel", "value")), "value")
 
 
 @query(_whole("concat_mixed_grids", _all(2), ("channel + 2 AS", "channel + 64 AS")))
 def concat_mixed_grids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fine = X.channels_of(_patches(spark, sf_dir))
-    return rounded(X.concat_mixed_grids(fine, fine.where("y < 2 and x < 2"), 2, 4, 64), "value")
+    fine = _patches(spark, sf_dir).select("image_id", "row_id", "col_id", "feature")
+    coarse = X.resampled_features(fine.where("row_id < 2 and col_id < 2"), 2, 4)
+    both = X.channels_of(fine).unionByName(X.channels_of(coarse).withColumn("channel", F.col("channel") + 64))
+    return rounded(both, "value")
 
 
 @query(_whole("concat_layers", ("feature[1:8]", "feature[1:32]"), ("feature[9:16]", "feature[33:64]"), ("range(1, 17)", "range(1, 65)")))
@@ -598,7 +602,7 @@ def concat_layers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_whole("standardize", _all(8)))
 def standardize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(Y.standardised(X.channels_of(_patches(spark, sf_dir)), ["image_id", "y", "x"]), "value")
+    return rounded(X.channels_of(X.standardised_features(_patches(spark, sf_dir))), "value")
 
 
 # ---- streams ----
@@ -626,10 +630,10 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, home = _stream(spark, sf_dir)
     rows = Z.running_summary(frames.withColumns({"is_defective": F.lit(None).cast("boolean"), "points": F.col("num_defects")}), "roll_id")
-    return Z.run_to_table(rows, f"summary_{uuid.uuid4().hex}", "complete", f"{home}/state")
+    return Z.run_to_latest(rows, ["roll_id"], f"{home}/out", f"{home}/state")
 
 
 @query(with_views("fx_frames") + ", s AS (SELECT roll_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_frames, sum(num_defects)::BIGINT AS points FROM fx_frames GROUP BY ALL), p AS (SELECT *, points * 3600.0::DOUBLE / (n_frames * (224 / 5.0::DOUBLE) / 914.4::DOUBLE * (224 / 5.0::DOUBLE / 25.4::DOUBLE)) AS p FROM s) SELECT roll_id, day, n_frames, points, round(p, 4) AS p100, CASE WHEN p <= 40 THEN 'first' ELSE 'second' END AS grade FROM p")
 def stream_roll_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, home = _stream(spark, sf_dir)
-    return Z.run_to_table(Z.windowed_grades(frames), f"grades_{uuid.uuid4().hex}", "complete", f"{home}/state")
+    return Z.run_to_latest(Z.windowed_grades(frames), ["roll_id", "day"], f"{home}/out", f"{home}/state")

@@ -18,7 +18,7 @@ def frame_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 def verdicts(frames: DataFrame, models: DataFrame) -> DataFrame:
     """Each frame with its category's threshold (stream-static join), verdict and effective verdict."""
-    joined = frames.join(F.broadcast(models.select("category", "threshold")), "category", "left")  # one row per category
+    joined = frames.join(models.select("category", "threshold"), "category", "left")
     return joined.withColumn("is_defective", C.verdict(F.col("score"), F.col("threshold"))).withColumn("defective", C.effective_verdict(F.col("is_defective"), F.col("num_defects")))
 
 
@@ -51,6 +51,20 @@ def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> Da
     return stream.sparkSession.table(name)
 
 
+def run_to_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Run the stream in update mode, each batch's changed rows to a folder of its own (written again if the batch
+    is), and give back the last row of each key. Only the state that the watermark leaves is kept."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = stream.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     query.awaitTermination()

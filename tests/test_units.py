@@ -537,3 +537,106 @@ def test_repeated_frames_count_once(spark, tmp_path):
     stream = Z.running_summary(Z.frame_stream(spark, str(tmp_path / "in"), rows.schema), "b", delay="1 day")
     found = Z.run_to_table(stream, "once", "complete", str(tmp_path / "state")).first()
     assert (found.total, found.points) == (3, 6)
+
+
+# ---- at scale ----
+def test_running_sums_of_piled_up_scores_are_even(spark):
+    """Nearly all distinct scores at the low end: ranges still hold like numbers of rows, and the sums are right."""
+    r = np.random.default_rng(1)
+    x = np.unique(np.concatenate([r.random(4000) * 1e-6, [1.0, 50.0, 1e9]]))
+    rows = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(x)], "score double, n int").repartition(4)
+    ranged = rows.repartitionByRange(F.asc("score")).groupBy(F.spark_partition_id()).count().collect()
+    found = {q.score: (q.n_upto, q.n_all) for q in R.running_sums(rows, [], "score", ["n"]).collect()}
+    upto = np.cumsum([i % 3 for i in range(len(x))])
+    assert found == {float(v): (int(u), int(upto[-1])) for v, u in zip(x, upto, strict=True)}
+    sizes = sorted(q["count"] for q in ranged)
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_exact_percentiles(spark):
+    r = np.random.default_rng(2)
+    values = {g: r.integers(0, 40, n).astype(float) for g, n in (("a", 1), ("b", 2), ("c", 997))}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in values.items() for v in x] + [("c", None)], "g string, score double")
+    found = {q.g: (q.q0, q.q1, q.q2) for q in R.exact_percentiles(rows, ["g"], (0.01, 0.5, 0.99)).collect()}
+    for g, x in values.items():
+        assert found[g] == pytest.approx(np.percentile(x, [1, 50, 99]))
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_labels_of_random_rasters(diagonal):
+    r = np.random.default_rng(int(diagonal))
+    for _ in range(60):
+        on = r.random((int(r.integers(1, 14)), int(r.integers(1, 14)))) < r.random()
+        cells = [tuple(c) for c in np.argwhere(on)]
+        seen, first = {}, {}
+        for c in cells:
+            if c in seen:
+                continue
+            todo, seen[c] = [c], c
+            while todo:
+                y, x = todo.pop()
+                for dy in (-1, 0, 1):
+                    for dx in (-1, 0, 1):
+                        n = (y + dy, x + dx)
+                        if (diagonal or abs(dy) + abs(dx) == 1) and n not in seen and 0 <= n[0] < on.shape[0] and 0 <= n[1] < on.shape[1] and on[n]:
+                            seen[n] = c
+                            todo.append(n)
+        first = {c: i for i, c in enumerate(cells)}
+        y, x = (np.array([c[k] for c in cells], np.int64) for k in (0, 1))
+        assert L._label(y, x, diagonal).tolist() == [first[seen[c]] for c in cells]
+
+
+def test_calibration_never_sees_its_own_rows(spark, monkeypatch):
+    """Inner folds: calibrators get rows that their probe wasn't fitted on; outer folds: neither sees the asked rows."""
+    rows = E.stratified_folds(spark.createDataFrame(blobs(36), "id int, y int, features array<double>"), "id", "y", most=2)
+    fitted, judged = [], []
+    train, calibrate = Y.train_probe, Y.fit_calibrators
+    ids = lambda df: {r.id for r in df.select("id").collect()}
+
+    def train_and_note(known, **options):
+        fitted.append(ids(known))
+        return train(known, max_iter=10)
+
+    def calibrate_and_note(known, *options):
+        judged.append(ids(known))
+        return calibrate(known, *options)
+
+    monkeypatch.setattr(Y, "train_probe", train_and_note)
+    monkeypatch.setattr(Y, "fit_calibrators", calibrate_and_note)
+    scored = Y.out_of_fold(rows, 2, classes=2, method="sigmoid").collect()
+    assert len(fitted) == len(judged) == 2 * 5 and len(scored) == 36
+    folds = {k: {r.id for r in scored if r.fold == k} for k in (0, 1)}
+    for i, (a, b) in enumerate(zip(fitted, judged, strict=True)):
+        assert not a & b and not (a | b) & folds[i // 5] and a | b == folds[1 - i // 5]
+    assert np.mean([np.argmax(r.proba) == r.y for r in scored]) > 0.95
+
+
+def test_distributed_coreset_in_many_rounds(spark):
+    x = np.random.default_rng(5).normal(size=(400, 3))
+    rows = patch_rows(spark, x)
+    found = [r.patch_id for r in B.coreset_distributed(rows, keep=6, rows=30).collect()]
+    radius = lambda chosen: np.sqrt(((x[:, None] - x[chosen][None]) ** 2).sum(-1)).min(1).max()
+    exact = [r.patch_id for r in B.coreset(rows, keep=6).collect()]
+    assert len(set(found)) == 6 and radius(found) <= 4 * radius(exact)
+
+
+def test_images_are_resized_grey_ones_too_and_broken_ones_kept_apart(spark, tmp_path):
+    png(tmp_path / "a.png", np.full((4, 6, 3), 77))
+    (tmp_path / "b.png").write_bytes(b"not a picture")
+    found = I.load_images(spark, str(tmp_path), size=2).collect()
+    assert [(r.height, r.width, r.channels, set(r.data)) for r in found] == [(2, 2, 3, {77})]
+    bad = I.quarantined_images(spark, str(tmp_path)).collect()
+    assert [(r.image_id.rsplit("/", 1)[-1], r.reason) for r in bad] == [("b.png", "not decodable")]
+    grey = I._rgb(bytes([5, 6]), 1, 2, 1)
+    assert grey.tolist() == [[[5, 5, 5], [6, 6, 6]]] and I._rgb(bytes([1, 2, 3, 9]), 1, 1, 4).tolist() == [[[3, 2, 1]]]
+    ramp = I.resized(np.arange(16, dtype=np.uint8).reshape(1, 16, 1).repeat(3, axis=2), 4)
+    assert ramp.shape == (4, 4, 3) and (np.diff(ramp[0, :, 0].astype(int)) > 0).all()
+
+
+def test_approximate_neighbours_answer_every_query(spark):
+    r = np.random.default_rng(3)
+    bank, far = r.normal(size=(40, 6)), r.normal(size=(10, 6)) + 40
+    q, b = patch_rows(spark, far), patch_rows(spark, bank)
+    close = {x.patch_id: x.d1 for x in B.knn_approximate(q, b).collect()}
+    truth = np.sqrt(((far[:, None] - bank[None]) ** 2).sum(-1)).min(1)
+    assert len(close) == 10 and all(0.999 * truth[i] <= close[i] <= 1.2 * truth[i] for i in close)
