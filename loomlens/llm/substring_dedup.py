@@ -10,6 +10,9 @@ Documents are dealt to buckets of some megabytes by hash of their id, and bucket
 distinct window hashes with hash ranges ("parts"). A passage that a third of all documents share
 is one hash per bucket, so it fills neither a task nor a message. The text is shuffled once (the three
 passes over the buckets use the same exchange); each anchor costs 4 bytes, each window near a hit 16.
+There is a message for each bucket and part, half the square of the buckets: so buckets grow with the square root of
+the text beyond 2 GB, up to 64 MB, and the messages with the text itself (50 GB: 2,500 buckets of 20 MB, 3 million
+messages). Beyond 500 GB they grow with its square again; executors with more memory can take larger buckets.
 """
 
 from __future__ import annotations
@@ -190,15 +193,17 @@ def _remove(window: int, texts: bool):
     return settle
 
 
-def without_repeated_passages(docs: DataFrame, *, window: int = 13, bucket_bytes: int = 4_000_000, texts: bool = False) -> DataFrame:
+def without_repeated_passages(docs: DataFrame, *, window: int = 13, bucket_bytes: int | None = None, texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (and kept_text with texts).
 
     Windows are judged on the input. A null or empty text has no words. A null doc_id is larger than
     any other. Rows with the same doc_id don't remove each other's words, whether equal or not. Texts
-    of fewer than `window` words stay. An empty table gives no rows; other columns don't matter.
+    of fewer than `window` words stay. An empty table gives no rows; other columns don't matter. A very long text
+    is one row of one bucket, which its task holds whole.
     """
     block = (window + 1) // 2
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bucket_bytes = bucket_bytes or int(min(64_000_000, 4_000_000 * max(1.0, total / 2e9) ** 0.5))
     buckets = int(max(1, -(-total // bucket_bytes)))
     parts = max(1, buckets // 2)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("_bucket"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import defaultdict
@@ -169,3 +170,49 @@ def toxic(net, text, window=64, step=32, trigrams=1 << 14):
         pooled = [sum(w * v[k] for w, v in zip(e, s, strict=True)) / sum(e) for k in range(len(s[0]))]
         best, at = max(best, dot(pooled, p["v"]) + p["b"][0]), at + step
     return sigmoid(best)
+
+
+def mix(docs, weights=(5.0, 2.0, 1.0), share=1.5, most=2, block=8, shards=128):
+    """[(id, source, size, taken)] for rows (id, text, source), from the definition: targets by resharing, whole blocks to
+    sources and then to shards by highest quotients, each shard filled in hash order, and once more when all are taken."""
+    rows = [(i, s, len(words(t)), hashlib.md5(f"0|{'null' if i is None else i}".encode()).hexdigest()) for i, t, s in docs]
+    size = defaultdict(int)
+    for _, s, n, _ in rows:
+        size[s] += n
+    names = sorted(s for s in size if s is not None) + [None] * (None in size)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    target, left, free = {}, share * sum(size.values()), set(names)
+    while True:
+        part = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if part[s] > most * size[s]}
+        if not over:
+            target |= part
+            break
+        target |= {s: float(most * size[s]) for s in over}
+        left, free = left - sum(target[s] for s in over), free - over
+
+    def highest(parties, seats):
+        heap = [(-w, p, 0, w) for p, w in parties.items() if w > 0]
+        heapq.heapify(heap)
+        quota = dict.fromkeys(parties, 0)
+        for _ in range(seats if heap else 0):
+            _, p, k, w = heap[0]
+            quota[p] += 1
+            heapq.heapreplace(heap, (-w / (2 * k + 3), p, k + 1, w))
+        return quota
+
+    blocks = highest({(s is not None, s or ""): target[s] for s in names}, math.floor(sum(target.values()) / block + 0.5))
+    out = []
+    for s in names:
+        shard = defaultdict(list)
+        for row in (r for r in rows if r[1] == s):
+            shard[int(row[3][:8], 16) % shards].append(row)
+        sizes = {k: sum(r[2] for r in own) for k, own in shard.items()}
+        quota = highest(sizes, blocks[s is not None, s or ""])
+        for k, own in shard.items():
+            take, at = min(quota[k] * block, most * sizes[k]), 0
+            for i, _, n, _ in sorted(own, key=lambda r: (r[3], order(r[0]), r[2])):
+                whole = take // sizes[k] if sizes[k] else 0
+                out.append((i, s, n, whole * n + max(0, min(n, take - whole * sizes[k] - at))))
+                at += n
+    return out
