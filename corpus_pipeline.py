@@ -1,4 +1,16 @@
-"""From raw documents to encoded training documents, as stages that each read the last one's table."""
+"""From raw documents to encoded training documents, as stages that each read the last one's table.
+
+Whole rows are kept, with their other columns whatever their names; all but the last stage return the columns they got.
+- Null, empty and blank texts have no words: the quality rules drop them, so later stages get none from run(). By
+  themselves: exact dedup keeps one of them all; near-dedup keeps each once per doc_id and text; the mix takes none; the
+  last stage gives no ids and the digests of empty strings.
+- Null languages and sources are groups like any other, the null source with its own weight, last in order.
+- Null doc_ids come after all others; rows that have none, or share one, have only that in common and are told apart by their texts.
+- Repeated rows pass or fail the quality rules together, and one stays of them at each dedup. The mix counts each row.
+- Ties: of equal texts the longest original stays, then the smallest doc_id, then the least text hash; of near copies the
+  smallest doc_id, then the least text hash; blocks go to the first source or shard in order.
+- Very long texts are read whole by every stage. An empty table gives empty tables.
+"""
 
 from __future__ import annotations
 
