@@ -70,7 +70,8 @@ class CalibratedProbe:
         folded = shared_table(inner_folds(rows, key))
         for k in range(folded.agg(F.max("fold")).first()[0] + 1):
             probe = train_probe(folded.where(F.col("fold") != k), **options)
-            self.members.append((probe, fit_calibrators(probabilities(probe, folded.where(F.col("fold") == k)), classes, method)))
+            judged = shared_table(probabilities(probe, folded.where(F.col("fold") == k)).select(key, "y", "proba"))
+            self.members.append((probe, fit_calibrators(judged, classes, method)))
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """rows with proba, the mean of the members'."""

@@ -11,7 +11,7 @@ from loomlens.operators import evaluate as E
 from loomlens.operators import inspect as I
 from loomlens.operators import ranking as R
 from loomlens.operators import typing_probe as Y
-from loomlens.operators.graph import shared_folder
+from loomlens.operators.graph import shared_folder, shared_table
 from loomlens.plans.fixtures import view, with_views
 from loomlens.plans.grading_queries import _POINTS
 from loomlens.plans.score_queries import _BOXES
@@ -104,6 +104,6 @@ def probe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def probe_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of each row by the calibrated estimator that was fitted on the other folds, with inner folds of its own."""
-    rows = E.stratified_folds(probe_rows(spark, sf_dir), "id", "y", most=3)
-    scored = Y.out_of_fold(rows, 3, classes=3, method="sigmoid")
+    rows = shared_table(E.stratified_folds(probe_rows(spark, sf_dir), "id", "y", most=2))
+    scored = Y.out_of_fold(rows, 2, classes=3, method="sigmoid")
     return E.with_top(scored).groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("conf"), 4).alias("mean_conf"))
