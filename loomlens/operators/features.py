@@ -159,3 +159,21 @@ def feature_checks(patches: DataFrame, dim: int, group: str = "category") -> Dat
         F.struct(F.lit("not_empty").alias("check"), (F.col("n") > 0).alias("ok")),
     )
     return sums.select(group, F.explode(checks).alias("c")).select(group, "c.check", "c.ok")
+
+
+def map_checks(cells: DataFrame, scores: DataFrame, size: int) -> DataFrame:
+    """(image_id, check, ok) of raw maps (image_id, y, x, score) and image scores (image_id, score): whether a map has
+    each of its size x size cells once, all numbers are finite, and the score is the map's peak and not below 0."""
+    inside = F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1)
+    sums = cells.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("y") * size + F.col("x")).alias("places"), F.count_if(~inside).alias("n_outside"),
+        F.count_if(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))).alias("n_bad"), F.max("score").alias("peak"),
+    )
+    rows = sums.join(scores.select("image_id", F.col("score").alias("own")), "image_id", "left")
+    full = (F.col("n") == size * size) & (F.col("places") == size * size) & (F.col("n_outside") == 0)
+    checks = F.array(
+        F.struct(F.lit("size").alias("check"), full.alias("ok")),
+        F.struct(F.lit("finite").alias("check"), (F.col("n_bad") == 0).alias("ok")),
+        F.struct(F.lit("score").alias("check"), F.coalesce((F.col("own") == F.col("peak")) & (F.col("own") >= 0), F.lit(False)).alias("ok")),
+    )
+    return rows.select("image_id", F.explode(checks).alias("c")).select("image_id", "c.check", "c.ok")

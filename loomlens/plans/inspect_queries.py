@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlens.operators import evaluate as E
+from loomlens.operators import features as X
 from loomlens.operators import inspect as I
 from loomlens.operators import ranking as R
+from loomlens.operators import rasters as P
 from loomlens.operators import typing_probe as Y
 from loomlens.operators.graph import shared_folder, shared_table
 from loomlens.plans.fixtures import view, with_views
@@ -56,6 +58,13 @@ def frame_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", "category", "anomaly_score", "is_defective", "threshold", "num_defects", text.alias("boxes"), "defect_points")
 
 
+@query(with_views("fx_pixels") + """, m AS (SELECT image_id, count(*) = 256 AND count(DISTINCT y * 16 + x) = 256 AS complete, bool_and(isfinite(score)) AS fine, max(score) >= 0 AS peak FROM fx_pixels GROUP BY image_id)
+ SELECT image_id, unnest(['size', 'finite', 'score']) AS check, unnest([complete, fine, peak]) AS ok FROM m""")
+def validate_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = view(spark, sf_dir, "fx_pixels")
+    return X.map_checks(pixels, P.image_scores(pixels, "image_id"), 16)
+
+
 # Eight maps make a strip: windows of 256 pixels, 0.5 pixels a mm.
 _SCAN = _FOUND + """, placed AS (SELECT image_id // 8 AS roll_id, (image_id % 8) * 256 + x * 16 AS x_px, y * 16 AS y_px, w * 16 AS w_px, h * 16 AS h_px FROM boxes),
  sized AS (SELECT *, greatest(w_px, h_px) / 0.5::DOUBLE AS size_mm FROM placed)"""

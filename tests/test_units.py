@@ -640,3 +640,34 @@ def test_approximate_neighbours_answer_every_query(spark):
     close = {x.patch_id: x.d1 for x in B.knn_approximate(q, b).collect()}
     truth = np.sqrt(((far[:, None] - bank[None]) ** 2).sum(-1)).min(1)
     assert len(close) == 10 and all(0.999 * truth[i] <= close[i] <= 1.2 * truth[i] for i in close)
+
+
+def test_map_checks(spark):
+    good = [(1, y, x, float(y + x)) for y in range(3) for x in range(3)]
+    bad = [(2, y, x, float("nan") if y == x == 0 else 1.0) for y in range(3) for x in range(2)]
+    twice = [(3, 0, 0, 1.0)] * 9
+    cells = spark.createDataFrame(good + bad + twice, "image_id int, y int, x int, score double")
+    scores = spark.createDataFrame([(1, 4.0), (3, 2.0)], "image_id int, score double")
+    found = {(r.image_id, r.check): r.ok for r in X.map_checks(cells, scores, 3).collect()}
+    assert found == {(1, "size"): True, (1, "finite"): True, (1, "score"): True, (2, "size"): False, (2, "finite"): False, (2, "score"): False, (3, "size"): False, (3, "finite"): True, (3, "score"): False}
+
+
+def test_frame_results_of_one_frame(spark):
+    """A hot square, found, sized, typed and put onto the original picture; a frame without a map; one of an unknown category."""
+    from loomlens.operators import inspect as V
+
+    cells = [(1, y, x, 90.0 if 4 <= y < 8 and 2 <= x < 6 else 1.0 + (x + y) % 2 * 0.01) for y in range(16) for x in range(16)]
+    cells = spark.createDataFrame(cells + [(3, y, x, 1.0) for y in range(16) for x in range(16)], "image_id int, y int, x int, score double")
+    frames = spark.createDataFrame([(1, "a", 160, 320, 0.05), (2, "a", 16, 16, None), (3, "z", 16, 16, -1.0)], "image_id int, category string, width int, height int, ppm double")
+    models = spark.createDataFrame([("a", 50.0, 0.0, 100.0)], "category string, threshold double, vmin double, vmax double")
+    features = spark.createDataFrame([(1, r, c, [float(r == 1 and c < 2)] * 4) for r in range(4) for c in range(4)], "image_id int, row_id long, col_id long, feature array<double>")
+    probe = Y.train_probe(spark.createDataFrame([(i, i % 2, [float(i % 2) + i * 1e-3] * 4) for i in range(20)], "id int, y int, features array<double>"), max_iter=50)
+    types = V.typed_boxes(V.frame_boxes(frames, cells, models, min_area=4), features, probe, ["stain", "hole"], 16, 4)
+    found = {r.image_id: r for r in V.frame_results(frames, cells, models, image_size=16, min_area=4, types=types).collect()}
+    one = found[1]
+    assert (one.anomaly_score, one.threshold, one.is_defective, one.num_defects, one.defect_points, one.pixels_per_mm, one.original_size) == (90.0, 50.0, True, 1, 2, 0.05, [160, 320])
+    box = one.boxes[0]
+    assert (box.x, box.y, box.w, box.h, box.area, box.size_mm, box.points, box.type) == (2, 4, 4, 4, 16, 80.0, 2, "hole")
+    assert (box.ox, box.oy, box.ow, box.oh) == (20, 80, 40, 80)
+    assert (found[2].anomaly_score, found[2].is_defective, found[2].boxes, found[2].pixels_per_mm) == (None, None, [], 5.0)
+    assert (found[3].threshold, found[3].is_defective, found[3].num_defects, found[3].pixels_per_mm) == (None, None, 0, 5.0)
