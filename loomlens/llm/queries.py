@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlens.llm import bpe_chunks, exact_dedup, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_lengths, toxicity
+from loomlens.llm import bpe_chunks, exact_dedup, line_dedup, mixing, near_dedup, periodic_runs, quality, sharding, substring_dedup, token_lengths, toxicity
 from loomlens.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapsed_runs(table(spark, sf_dir, "documents"), alter=periodic_runs.with_period)
+
+
 _ALL = (
     op1_token_lengths,
     op2_mix_sources,
@@ -60,6 +64,7 @@ _ALL = (
     op8_recurrent_toxicity,
     op9_chosen_path,
     op10_bpe_chunks,
+    op11_periodic_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
@@ -69,4 +74,5 @@ ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_chosen_path": near_dedup.ORACLE,
+    "op11_periodic_runs": periodic_runs.ORACLE,
 }
