@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlens.llm import bpe_chunks, exact_dedup, hard_negatives, line_dedup, mixing, near_dedup, periodic_runs, quality, sharding, substring_dedup, token_lengths, toxicity
+from loomlens.llm import bpe_chunks, exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, near_dedup, periodic_runs, quality, sharding, substring_dedup, token_lengths, toxicity
 from loomlens.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.collapsed_runs(table(spark, sf_dir, "documents"), alter=periodic_runs.with_period)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined_components(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.whole_numbers(hard_negatives.relabelled(table(spark, sf_dir, "embeddings"))))
 
@@ -69,6 +73,7 @@ _ALL = (
     op9_chosen_path,
     op10_bpe_chunks,
     op11_periodic_runs,
+    op12_jaccard_join,
     op13_hard_negatives,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -80,5 +85,6 @@ ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_chosen_path": near_dedup.ORACLE,
     "op11_periodic_runs": periodic_runs.ORACLE,
+    "op12_jaccard_join": jaccard_join.ORACLE,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }
