@@ -41,7 +41,7 @@ def subset_sums(anchors: np.ndarray) -> np.ndarray:
     n, dims = anchors.shape
     parts = np.zeros((n, -(-dims // _GROUP) * _GROUP), np.int64)
     parts[:, :dims] = anchors
-    parts = parts.reshape(n, -1, _GROUP).transpose(1, 2, 0)
+    parts = parts.reshape(n, parts.shape[1] // _GROUP, _GROUP).transpose(1, 2, 0)
     tables = np.zeros((parts.shape[0], 1, n), np.int64)
     for k in range(_GROUP):
         tables = np.concatenate([tables, tables + parts[:, k : k + 1, :]], axis=1)

@@ -6,7 +6,9 @@ import hashlib
 import heapq
 import math
 import re
+import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = " \t\n\x0b\x0c\r"
@@ -216,3 +218,53 @@ def mix(docs, weights=(5.0, 2.0, 1.0), share=1.5, most=2, block=8, shards=128):
                 out.append((i, s, n, whole * n + max(0, min(n, take - whole * sizes[k] - at))))
                 at += n
     return out
+
+
+def runs(words, min_words=24, min_periods=3):
+    """(start, length, smallest period) of all maximal runs, by trying every period."""
+    found = []
+    for q in range(1, len(words) // min_periods + 1):
+        start = None
+        for i in range(len(words) - q + 1):
+            same = i + q < len(words) and words[i] == words[i + q]
+            if same and start is None:
+                start = i
+            if not same and start is not None:
+                if i - start + q >= max(min_words, min_periods * q):
+                    found.append((start, i + q - start, q))
+                start = None
+    inside = lambda a, b: b[2] < a[2] and b[0] <= a[0] and b[0] + b[1] >= a[0] + a[1]
+    return sorted((x for x in found if not any(inside(x, y) for y in found)), key=lambda x: (x[0], x[2]))
+
+
+def periodic(doc_id, text, plant=True):
+    w = [x.encode() for x in words(text)]
+    n = len(w)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if plant and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = runs(w)
+    gone = {i for s, m, q in found for i in range(s + q, s + m)}
+    best = min(found, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=(None, None, None))
+    return (
+        doc_id, n, len(found), *best, 1000 * best[1] // best[2] if found else None,
+        sha("".join(f"{s},{m},{q}\n" for s, m, q in found)), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest(),
+    )
+
+
+def negatives(rows, most_positives=5, most_negatives=3):
+    """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of rows (vec_id, embedding, label)."""
+    big = float("inf")
+    fine = [(i, None if lab is None else (lab + 1) % 10 if i is not None and i % 7 == 0 else lab, v) for i, v, lab in rows]
+    fine = [(i, lab, [math.floor(256 * x) for x in v]) for i, lab, v in fine if lab is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    anchors = {(i, lab, tuple(v)) for i, lab, v in fine if i is not None and i % 50 == 0}
+    out = []
+    for i, lab, v in anchors:
+        scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), big if j is None else j, kind) for j, kind, w in fine))
+        for minus, j, kind in [x for x in scored if x[2] == lab and x[1] != i][:most_positives]:
+            low = [x for x in scored if x[2] != lab and 50 * -minus <= 100 * -x[0] <= 95 * -minus]
+            out += [(i, None if j == big else j, k + 1, None if x[1] == big else x[1], -minus, -x[0]) for k, x in enumerate(low[:most_negatives])]
+    return out
