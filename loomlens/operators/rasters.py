@@ -1,7 +1,7 @@
 """Raster operators on long-form cells (image, y, x, value): all images and channels in one job.
 
-Resampling and smoothing are linear and separable, so both are one weight table per axis: two equi
-joins with a table of a raster side's length, and two sums with map-side combining.
+Resampling and smoothing are linear and separable: maps are packed to one row each (operators/packed.py) and multiplied by one weight
+matrix on both sides, so a job has one shuffle. Maps that come packed need none.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlens.operators import packed as K
+
 
 def bilinear_weights(n_in: int, n_out: int) -> np.ndarray:
     """(n_out, n_in) weights of half-pixel bilinear resampling, clamped at the edges."""
@@ -39,25 +41,24 @@ def weight_table(spark: SparkSession, weights: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(int(a), int(b), float(weights[a, b])) for a, b in zip(o, i, strict=True)], "o long, i long, w double")
 
 
-def along(cells: DataFrame, axis: str, weights: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Replace positions on the axis by the weighted sums of the weight table (side x taps rows)."""
-    other = "x" if axis == "y" else "y"
-    joined = cells.join(F.broadcast(weights), cells[axis] == weights["i"])
-    return joined.groupBy(*keys, F.col("o").alias(axis), other).agg(F.sum(F.col(value) * F.col("w")).alias(value))
+def map_weights(size_in: int, size_out: int, sigma: float | None = None) -> np.ndarray:
+    """(size_out, size_in) weights of bilinear resampling, then Gaussian smoothing if sigma is given."""
+    w = bilinear_weights(size_in, size_out)
+    return w if sigma is None else gaussian_weights(size_out, sigma) @ w
 
 
 def resampled(cells: DataFrame, size_in: int, size_out: int, keys: Sequence[str] = ("image_id",), value: str = "score", sigma: float | None = None) -> DataFrame:
-    """Bilinear resampling to size_out x size_out, then Gaussian smoothing if sigma is given."""
-    w = bilinear_weights(size_in, size_out)
-    if sigma is not None:
-        w = gaussian_weights(size_out, sigma) @ w
-    table = weight_table(cells.sparkSession, w)
-    return along(along(cells, "y", table, keys, value), "x", table, keys, value)
+    """Bilinear resampling to size_out x size_out, then Gaussian smoothing if sigma is given; absent cells count as zero."""
+    return _multiplied(cells, map_weights(size_in, size_out, sigma), keys, value)
 
 
 def smoothed(cells: DataFrame, size: int, sigma: float, keys: Sequence[str] = ("image_id",), value: str = "score") -> DataFrame:
-    table = weight_table(cells.sparkSession, gaussian_weights(size, sigma))
-    return along(along(cells, "y", table, keys, value), "x", table, keys, value)
+    return _multiplied(cells, gaussian_weights(size, sigma), keys, value)
+
+
+def _multiplied(cells: DataFrame, weights: np.ndarray, keys: Sequence[str], value: str) -> DataFrame:
+    maps = K.pack(cells, weights.shape[1], weights.shape[1], keys, value).withColumn(value, K.weighted(value, weights))
+    return K.unpack(maps, weights.shape[0], keys, value)
 
 
 def image_scores(cells: DataFrame, *keys: str) -> DataFrame:

@@ -12,6 +12,7 @@ from loomlens.operators import evaluate as E
 from loomlens.operators import features as X
 from loomlens.operators import grading as G
 from loomlens.operators import localize as L
+from loomlens.operators import packed as K
 from loomlens.operators import ranking as R
 from loomlens.operators import rasters as P
 from loomlens.operators import typing_probe as Y
@@ -367,12 +368,14 @@ def smooth_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("fx_patches") + _MAPS + _UP + _BLUR + " SELECT image_id, round(max(score), 6) AS score FROM blur GROUP BY image_id")
 def image_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.image_scores(P.resampled(_maps(spark, sf_dir), 4, 16, sigma=1.0), "image_id"), "score")
+    maps = K.pack(_maps(spark, sf_dir), 4, 4)
+    return rounded(maps.select("image_id", K.peak(K.weighted("score", P.map_weights(4, 16, 1.0))).alias("score")), "score")
 
 
 @query(with_views("fx_pixels") + ", b AS (SELECT image_id, min(score) AS lo, max(score) AS hi FROM fx_pixels GROUP BY image_id) SELECT p.image_id, y, x, round(least(1, greatest(0, (score - lo) / (hi - lo + 1e-8::DOUBLE))), 6) AS score FROM fx_pixels p JOIN b ON p.image_id = b.image_id")
 def normalize_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.normalised(view(spark, sf_dir, "fx_pixels").drop("gt")), "score")
+    maps = K.pack(view(spark, sf_dir, "fx_pixels"), 16, 16)
+    return rounded(K.unpack(maps.withColumn("score", K.scaled("score")), 16), "score")
 
 
 @query(with_views("fx_images") + " SELECT category, image_id, score, no AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, image_id) AS no FROM fx_images) WHERE no <= 6")
@@ -398,7 +401,9 @@ def _truth(spark: SparkSession, sf_dir: str, connectivity: int) -> DataFrame:
 
 @query(with_views("fx_pixels") + _FG + " SELECT image_id, y, x, score FROM fg")
 def adaptive_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.adaptive_mask(view(spark, sf_dir, "fx_pixels")).select("image_id", "y", "x", "score")
+    maps = K.pack(view(spark, sf_dir, "fx_pixels"), 16, 16)
+    on = maps.select("image_id", "score", F.explode(K.adaptive_mask("score", 256)).alias("at"))
+    return on.select("image_id", F.floor(F.col("at") / 16).alias("y"), (F.col("at") % 16).cast("long").alias("x"), F.get("score", F.col("at")).alias("score"))
 
 
 @query(with_views("fx_pixels") + ", b AS (SELECT quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi FROM fx_pixels), n AS (SELECT image_id, least(1, greatest(0, (score - lo) / (hi - lo + 1e-8::DOUBLE))) AS score FROM fx_pixels, b) SELECT image_id, round(avg((score >= 0.5)::INT), 6) AS flood_share FROM n GROUP BY image_id")
@@ -426,7 +431,9 @@ _BOXES = _FG + _COMP.format(p="b", t="fg", s=1) + ", boxes AS (SELECT image_id,
 
 
 def _boxes(spark: SparkSession, sf_dir: str, min_area: int = 1) -> DataFrame:
-    return L.boxes(L.components(L.adaptive_mask(view(spark, sf_dir, "fx_pixels")), 8), min_area)
+    maps = K.pack(view(spark, sf_dir, "fx_pixels"), 16, 16)
+    box = maps.select("image_id", F.explode(K.boxes("score", 16, 16, 2.0, min_area)).alias("b"))
+    return box.select("image_id", "b.x", "b.y", "b.w", "b.h", "b.area", F.round("b.score", 4).alias("score"))
 
 
 @query(with_views("fx_pixels") + _BOXES.format(a=2) + " SELECT * FROM boxes")
