@@ -1,4 +1,4 @@
-"""Memory bank of normal features: sizes, k-center coresets, statistics, nearest-neighbour distance."""
+"""Memory bank of normal features: sizes, k-center coresets, statistics; nearest neighbours are in operators/neighbours.py."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlens.operators.graph import shared_table
+from loomlens.operators.neighbours import knn_distances, matrix
 
 
 def normal_patches(patches: DataFrame) -> DataFrame:
@@ -39,16 +40,11 @@ def greedy_centers(features: np.ndarray, keep: int, first: int) -> tuple[np.ndar
     return np.array(chosen), np.sqrt(nearest)
 
 
-def _matrix(table: pa.Table, column: str) -> np.ndarray:
-    values = table.column(column).combine_chunks()
-    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
-
-
 def _greedy(keep_of, key: str):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(key)
         first = int(np.argmin(np.array(table.column("_start").to_pylist())))
-        features = _matrix(table, "feature")
+        features = matrix(table, "feature")
         chosen, _ = greedy_centers(features, keep_of(table.num_rows), first)
         return table.take(pa.array(chosen)).drop_columns(["_start"]).append_column("rank", pa.array(np.arange(len(chosen)), pa.int32()))
 
@@ -93,54 +89,6 @@ def coreset_distributed(patches: DataFrame, keep: int | None = None, seed: int =
     return held.withColumn("_start", start_order(seed, key)).groupBy(group).applyInArrow(last, f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}, rank int")
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, most: int, spare: int = 2) -> np.ndarray:
-    """The `most` smallest distances of each row of x to the rows of y (infinity where y has fewer)."""
-    about = (y * y).sum(axis=1) - 2 * (x @ y.T)  # the squared distance less |x|^2, which orders alike
-    few = min(len(y), most + spare)
-    near = np.argpartition(about, few - 1, axis=1)[:, :few] if few < len(y) else np.broadcast_to(np.arange(len(y)), about.shape)
-    exact = np.sqrt(((y[near] - x[:, None, :]) ** 2).sum(axis=2)) if len(y) else np.zeros((len(x), 0))
-    padded = np.concatenate([exact, np.full((len(x), most), np.inf)], axis=1)
-    return np.sort(padded, axis=1)[:, :most]
-
-
-def knn_distances(queries: DataFrame, bank: DataFrame, k: Sequence[int] = (1,), group: str = "category", key: str = "patch_id", rows: int = 4096) -> DataFrame:
-    """(group, key, d_k for each k): mean of the k smallest Euclidean distances to the group's bank.
-
-    Queries and bank are dealt to blocks and pieces of about `rows` rows each, as many as the group needs;
-    a task compares one block with one piece by matrix products, computes the distances of the nearest few
-    anew from the differences, and the best k of each pair of them are merged. key is
-    unique in queries; bank rows are dealt by it too, or by their vectors where the bank has no key.
-    """
-    most = max(k)
-    count = lambda df, n: df.groupBy(F.col(group).alias(f"_{n}g")).agg(F.ceil(F.count(F.lit(1)) / rows).alias(f"_{n}"))
-    asked, held = count(queries, "blocks"), count(bank, "pieces")
-    counts = asked.join(held, F.col("_blocksg").eqNullSafe(F.col("_piecesg")), "left").select(F.col("_blocksg").alias("_of"), "_blocks", F.coalesce("_pieces", F.lit(1).cast("long")).alias("_pieces"))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    q = queries.select(group, key, "feature").join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("_of")))  # counts: one row per group
-    q = q.select(group, key, "feature", deal(key, "_blocks").alias("_block"), every("_pieces").alias("_piece"))
-    # Names of their own: queries and bank may come from one table.
-    b = bank.select(F.col(group).alias("_bank"), F.col("feature").alias("_vector"), F.col(key if key in bank.columns else "feature").alias("_dealt"))
-    b = b.join(F.broadcast(counts), F.col("_bank").eqNullSafe(F.col("_of"))).select("_bank", "_vector", deal("_dealt", "_pieces").alias("_held"), every("_blocks").alias("_meets"))
-    kinds = {f.name: f.dataType.simpleString() for f in q.schema}
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = _matrix(left, "feature") if left.num_rows else np.zeros((0, 1))
-        best = np.full((left.num_rows, most), np.inf)
-        for at in range(0, right.num_rows, 4096):
-            y = _matrix(right.slice(at, 4096), "_vector")
-            for row in range(0, len(x), 1024):
-                d = _nearest(x[row : row + 1024], y, most)
-                best[row : row + 1024] = np.sort(np.concatenate([best[row : row + 1024], d], axis=1), axis=1)[:, :most]
-        return pa.table({group: left.column(group), key: left.column(key), "_near": pa.array(list(best), pa.list_(pa.float64()))})
-
-    found = q.groupBy(group, "_block", "_piece").cogroup(b.groupBy("_bank", "_meets", "_held")).applyInArrow(run, f"{group} {kinds[group]}, {key} {kinds[key]}, _near array<double>")
-    near = F.slice(F.sort_array(F.flatten(F.collect_list(F.filter("_near", lambda d: d < float("inf"))))), 1, most)
-    merged = found.groupBy(group, key).agg(near.alias("_near"))
-    mean = lambda n: F.when(F.size("_near") > 0, F.aggregate(F.slice("_near", 1, n), F.lit(0.0), lambda x, d: x + d) / F.least(F.lit(n), F.size("_near")))
-    return merged.select(group, key, *[mean(n).alias(f"d{n}") for n in k])
-
-
 def bank_statistics(patches: DataFrame, ratios: Sequence[float], seed: int = 0) -> DataFrame:
     """(category, ratio, n, n_keep, kept_share, radius): how far any normal patch is from the bank.
 
