@@ -1,16 +1,17 @@
-"""Memory bank of normal features: sizes, k-center coresets, statistics; nearest neighbours are in operators/neighbours.py."""
+"""Memory bank of normal features: sizes, exact coresets, statistics. Coresets of any size are in operators/coresets.py, nearest
+neighbours in operators/neighbours.py."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlens.operators.coresets import coreset_distributed, greedy, greedy_order, start_order  # noqa: F401
 from loomlens.operators.graph import shared_table
-from loomlens.operators.neighbours import knn_distances, matrix
+from loomlens.operators.neighbours import knn_distances
 
 
 def normal_patches(patches: DataFrame) -> DataFrame:
@@ -23,32 +24,10 @@ def bank_sizes(patches: DataFrame, ratios: Sequence[float], keys: Sequence[str]
     return n.withColumn("n_keep", F.least("n", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * F.col("ratio")))))
 
 
-def start_order(seed: int, key: str = "patch_id") -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-
-
 def greedy_centers(features: np.ndarray, keep: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices in order of choice, final distances): repeatedly the row farthest from those chosen,
-    the first such row on ties."""
-    keep = max(1, min(keep, len(features)))
-    chosen = [first]
-    nearest = ((features - features[first]) ** 2).sum(axis=1)
-    while len(chosen) < keep:
-        far = int(nearest.argmax())
-        chosen.append(far)
-        nearest = np.minimum(nearest, ((features - features[far]) ** 2).sum(axis=1))
-    return np.array(chosen), np.sqrt(nearest)
-
-
-def _greedy(keep_of, key: str):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(key)
-        first = int(np.argmin(np.array(table.column("_start").to_pylist())))
-        features = matrix(table, "feature")
-        chosen, _ = greedy_centers(features, keep_of(table.num_rows), first)
-        return table.take(pa.array(chosen)).drop_columns(["_start"]).append_column("rank", pa.array(np.arange(len(chosen)), pa.int32()))
-
-    return run
+    """(indices in order of choice, final distances) of the greedy choice of rows."""
+    chosen, _, nearest = greedy_order(features, keep, first)
+    return chosen, np.sqrt(np.maximum(nearest, 0))
 
 
 def coreset(patches: DataFrame, keep: int | None = None, ratio: float = 0.1, seed: int = 0, group: str = "category", key: str = "patch_id") -> DataFrame:
@@ -57,36 +36,7 @@ def coreset(patches: DataFrame, keep: int | None = None, ratio: float = 0.1, see
     rows = patches.select(group, key, "feature").withColumn("_start", start_order(seed, key))
     keep_of = lambda n: keep if keep is not None else max(1, int(n * ratio))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(group).applyInArrow(_greedy(keep_of, key), f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}, rank int")
-
-
-def coreset_distributed(patches: DataFrame, keep: int | None = None, seed: int = 0, group: str = "category", key: str = "patch_id", ratio: float = 0.1, rows: int = 20_000, shrink: int = 4) -> DataFrame:
-    """Composable k-center for groups of any size: greedy on hash parts of about `rows` rows, then on parts of the
-    centers that are left, until a group's fit one part. Without keep, each group keeps max(1, floor(n ratio)) rows.
-
-    A round keeps a `shrink`-th of each part's rows, or the group's number of centers if that is more (two rounds of
-    it are at most four times off the best radius; Malkomes et al., 2015). What a task holds is bounded by rows or,
-    where a group keeps more centers than that, by twice their number: greedy choice of so many is one task's work.
-    """
-    sizes = shared_table(patches.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n")))
-    n_keep = F.lit(keep).cast("long") if keep is not None else F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * F.lit(float(ratio))))
-    held = patches.select(group, key, "feature").join(sizes, F.col(group).eqNullSafe(F.col("_group"))).select(group, key, "feature", n_keep.alias("_keep"), F.col("_n"))
-    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
-    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}, _keep long, _n long"
-
-    def some(table: pa.Table) -> pa.Table:
-        most = max(table.column("_keep")[0].as_py(), -(-table.num_rows // shrink))
-        return _greedy(lambda n: min(n, most), key)(table.drop_columns(["_part"])).drop_columns(["rank"])
-
-    part_rows = F.greatest(F.lit(rows).cast("long"), 2 * F.col("_keep"))
-    while held.where(F.col("_n") > part_rows).limit(1).count():
-        parts = F.ceil(F.col("_n") / part_rows)
-        dealt = held.withColumns({"_start": start_order(seed, key), "_part": F.pmod(F.xxhash64(key, "_n"), parts).cast("int")})
-        left = shared_table(dealt.groupBy(group, "_part").applyInArrow(some, schema))
-        counts = left.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_left"))
-        held = left.drop("_n").join(counts, F.col(group).eqNullSafe(F.col("_group"))).select(group, key, "feature", "_keep", F.col("_left").alias("_n"))
-    last = lambda t: _greedy(lambda n: t.column("_keep")[0].as_py(), key)(t).drop_columns(["_keep", "_n"])
-    return held.withColumn("_start", start_order(seed, key)).groupBy(group).applyInArrow(last, f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}, rank int")
+    return rows.groupBy(group).applyInArrow(greedy(keep_of, key), f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}, rank int")
 
 
 def bank_statistics(patches: DataFrame, ratios: Sequence[float], seed: int = 0) -> DataFrame:
