@@ -9,17 +9,18 @@ A node of up to `leaf` sets is a group, compared in one task: first the nodes of
 others but for sets that are joined already. A larger node first compares all its sets with some of
 them, its centres, in groups of bounded size: that settles groups of near copies of any size in linear time. If
 few sets stand outside the node's largest component then, these meet all others, again in groups. Else the node
-branches; what is large after the last level is compared block by block. No pair of a compared node is left out.
+branches, if it has over DIRECT leaves; smaller ones, and what is large after the last level, are compared block by block. No pair of a compared node is left out.
 
-A comparison has two steps. By sizes and signatures (four bits a coordinate) each set learns whether its group
-holds one that it might resemble; most don't and go no further. The others meet once more with their shingles:
+A comparison has three steps. By sizes and signatures (four bits of 64 coordinates) each set learns whether its group
+holds one that it might resemble; most don't and go no further. The others are told apart by long signatures (two bits of LONG more
+coordinates), which pass next to no pair below 0.5. What is left meets once more with the shingles:
 the whole set up to WHOLE shingles, else those whose hashes end in enough zeros. What comes out are not
 pairs but the links that join the group's components, fewer than its sets. Only links that rest on
 a part of a large set are confirmed on the full texts; where the part leaves doubt, all of the doubtful are.
 
 Chances to lose a pair at similarity 0.75, with minwise tokens as independent draws: at the 17 root coordinates
 6e-11; where all nodes it shares branch down to the last level, 6.8e-10 (the trees draw on one sketch of 64, which
-is counted); by the signature 3e-11, the exact binomial tail; by the part of a large set under 1e-10.
+is counted); by the signature 3e-11, by the long one 2e-11, exact binomial tails; by the part of a large set under 1e-10.
 
 Shuffled: a sketch per document, 17 slim rows per distinct set, the texts once, the shingles of those that pass
 the first step once for each group. Copies with equal sets are one set from the start. Documents without an id, or
@@ -46,15 +47,17 @@ SKETCH, TREES, BRANCH = 64, 17, (4, 4, 2)
 PLANES = ("p", "q", "r", "s")
 #: Sets of a group that is compared in one task, centres of a larger node, shingles of a set that are compared as a whole.
 LEAF, CENTRES, WHOLE = 2048, 16, 2048
+#: Coordinates of the long signature, two bits each; large nodes up to DIRECT times the leaf are compared as they are.
+LONG, DIRECT = 512, 8
 #: Trees whose small nodes are compared before the others.
 FIRST = 3
 _LAST = 9223372036854775807
 
 
-@lru_cache(maxsize=1)
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(9)
-    return random.integers(1, 1 << 31, SKETCH).astype(np.uint32) * np.uint32(2) + np.uint32(1), random.integers(0, 1 << 32, SKETCH, dtype=np.uint64).astype(np.uint32)
+@lru_cache(maxsize=2)
+def _functions(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(seed)
+    return random.integers(1, 1 << 31, count).astype(np.uint32) * np.uint32(2) + np.uint32(1), random.integers(0, 1 << 32, count, dtype=np.uint64).astype(np.uint32)
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
@@ -72,15 +75,15 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return sets
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """SKETCH minwise hashes (32 bits) of each set; zeros for an empty one."""
-    out = np.zeros((len(sets), SKETCH), np.uint32)
+def sketches(sets: list[np.ndarray], count: int = SKETCH, seed: int = 9) -> np.ndarray:
+    """`count` minwise hashes (32 bits) of each set; zeros for an empty one."""
+    out = np.zeros((len(sets), count), np.uint32)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[i] for i in full])
         flat = (flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
         starts = np.cumsum([0, *[len(sets[i]) for i in full[:-1]]])
-        for k, (a, b) in enumerate(zip(*_functions(), strict=True)):
+        for k, (a, b) in enumerate(zip(*_functions(count, seed), strict=True)):
             out[full, k] = np.minimum.reduceat(flat * a + b, starts)
     return out
 
@@ -107,14 +110,22 @@ def sketched(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, _text long, n_shingles long, set_key binary, sig struct<" + ", ".join(f"{x}: long" for x in PLANES) + ">, sketch array<int>")
 
 
-def differing(percent: int, loss: float = 1e-10) -> int:
-    """The most coordinates that may differ in their bits: a pair at the similarity exceeds it with a chance under loss."""
-    p = (1 - percent / 100) * (1 - 0.5 ** len(PLANES))
-    for k in range(SKETCH):
-        tail = sum(math.comb(SKETCH, i) * p**i * (1 - p) ** (SKETCH - i) for i in range(k + 1, SKETCH + 1))
+def long_signatures(sets: list[np.ndarray]) -> list[bytes]:
+    """Two bits of LONG minwise hashes of each set: all first bits, then all second ones."""
+    found = sketches(sets, LONG, 10)
+    planes = [np.packbits((found >> np.uint32(shift) & np.uint32(1)).astype(np.uint8), axis=1) for shift in (16, 17)]
+    return [x.tobytes() for x in np.concatenate(planes, axis=1)]
+
+
+@lru_cache(maxsize=16)
+def differing(percent: int, loss: float = 1e-10, count: int = SKETCH, bits: int = len(PLANES)) -> int:
+    """The most of `count` coordinates that may differ in their bits: a pair at the similarity exceeds it with a chance under loss."""
+    p = (1 - percent / 100) * (1 - 0.5**bits)
+    for k in range(count):
+        tail = sum(math.comb(count, i) * p**i * (1 - p) ** (count - i) for i in range(k + 1, count + 1))
         if tail < loss:
             return k
-    return SKETCH
+    return count
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -163,6 +174,46 @@ def _promising(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def alike(long: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the others (rows of 64-bit words, long signatures) may reach the similarity to row i."""
+    unlike = np.bitwise_count((long[others] ^ long[i])[:, : LONG // 64] | (long[others] ^ long[i])[:, LONG // 64 :]).sum(axis=1, dtype=np.int64)
+    return unlike <= differing(percent, 1e-11, LONG, 2)
+
+
+def _similar(rows: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Of rows (path, node, n, component, asks, tree) those in whose group stands a set of another component that may reach
+    the similarity by the long signatures, where one of the two asks."""
+    names = ["path", "node", "component", "asks", "n", "tree"]
+    rows = rows if "twice" in rows.columns else rows.withColumn("twice", F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            path, n, component, asks, twice = (table.column(c).to_numpy() for c in ("path", "n", "component", "asks", "twice"))
+            long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint64).reshape(len(path), -1)
+            words, few = LONG // 64, LONG // 256  # a quarter of the coordinates tells for most pairs
+            planes = [np.ascontiguousarray(long[:, k]) for k in (*range(few), *range(words, words + few))]
+            most, hit = differing(percent, 1e-11, LONG // 4, 2), np.zeros(len(path), bool)
+            edges = [0, *(np.flatnonzero(np.diff(path)) + 1), len(path)]
+            for low, high in zip(edges, edges[1:], strict=False):
+                order = low + np.argsort(~asks[low:high], kind="stable")  # those that ask come first
+                own = [x[order] for x in planes]
+                sizes, labels = n[order], component[order]
+                asking = int(asks[low:high].sum())
+                for i in range(asking):
+                    j = asking if twice[order[i]] else i + 1
+                    unlike = sum(np.bitwise_count((x[j:] ^ x[i]) | (y[j:] ^ y[i])) for x, y in zip(own[:few], own[few:], strict=True))
+                    others = j + np.flatnonzero((unlike <= most) & (labels[j:] != labels[i]))
+                    others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+                    if len(others):
+                        near = order[others[alike(long, order[i], order[others], percent)]]
+                        if len(near):
+                            hit[near] = hit[order[i]] = True
+            yield from table.select(names).filter(pa.array(hit)).to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return _together(rows.select(*names, "twice").join(shingles.select("node", "long"), "node")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
 def joining(path: np.ndarray, sets: list[np.ndarray], bits: np.ndarray, component: np.ndarray, asks: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
     """(i, j, grade): links that join the components of each group; path is sorted, and a set with bits holds only the
     hashes that end in so many zero bits. Grade 2 rests on both whole sets, 1 on parts that leave no doubt, 0 is doubtful."""
@@ -215,11 +266,11 @@ def _joins(rows: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1)), pa.array([x[2] for x in found], pa.int32())], ["a", "b", "grade"])
 
     rows = rows.select("path", "node", "component", "asks")
-    return _together(rows.join(shingles, "node")).mapInArrow(run, "a long, b long, grade int").groupBy("a", "b").agg(F.max("grade").alias("grade"))
+    return _together(rows.join(shingles.select("node", "bits", "shingles"), "node")).mapInArrow(run, "a long, b long, grade int").groupBy("a", "b").agg(F.max("grade").alias("grade"))
 
 
 def _shingles(texts: DataFrame) -> DataFrame:
-    """(node, bits, shingles) of (node, text): the set's hashes, or a part of them once it has over WHOLE."""
+    """(node, bits, shingles, long) of (node, text): the set's hashes, or a part of them once it has over WHOLE, and its long signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -227,9 +278,9 @@ def _shingles(texts: DataFrame) -> DataFrame:
                 sets = shingle_sets(batch.column("text").to_pylist())
                 bits = [max(0, math.ceil(math.log2(len(s) / WHOLE))) if len(s) else 0 for s in sets]
                 parts = [s[s & np.uint64((1 << b) - 1) == 0].tobytes() for s, b in zip(sets, bits, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.int64()), pa.array(parts, pa.binary())], ["node", "bits", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.int64()), pa.array(parts, pa.binary()), pa.array(long_signatures(sets), pa.binary())], ["node", "bits", "shingles", "long"])
 
-    return texts.mapInArrow(run, "node long, bits long, shingles binary")
+    return texts.mapInArrow(run, "node long, bits long, shingles binary, long binary")
 
 
 def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -297,7 +348,8 @@ def _compared(rows: DataFrame, leaf: int) -> DataFrame:
     one = (asking == 1) & (asked == 1)
     asks = rows.where(outside).withColumn("path", F.explode(F.transform(F.sequence(F.lit(0), asked - 1), lambda j: to(_block("asks", asking), j)))).withColumn("asks", F.lit(True))
     meets = rows.where(~(outside & one)).withColumn("path", F.explode(F.transform(F.sequence(F.lit(0), asking - 1), lambda i: to(i, _block("asked", asked))))).withColumn("asks", F.lit(False))
-    return asks.unionByName(meets)
+    # In several groups whoever asks is met as asked too, and needn't meet the others that ask with it.
+    return asks.withColumn("twice", ~one).unionByName(meets.withColumn("twice", F.lit(False)))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -305,8 +357,9 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _promising_below(rows: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """What is left to compare in large nodes between the components of rows."""
+def _promising_below(rows: DataFrame, sets: DataFrame, shingles: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """What is left to compare in large nodes between the components of rows. Nodes of up to DIRECT leaves are compared block by block
+    by their long signatures, larger ones branch first."""
     found = None
     for level in range(len(BRANCH) + 1):
         parts = rows.groupBy("path", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -314,9 +367,10 @@ def _promising_below(rows: DataFrame, sets: DataFrame, percent: int, leaf: int)
         nodes = written(nodes.select("path", "size", F.col("top.component").alias("most"), (F.col("size") - F.col("top.k")).alias("others")))
         met = written(rows.drop("size").join(nodes, "path"))
         last = level == len(BRANCH)
-        here = _promising(_compared(met if last else met.where(F.col("others") <= leaf), leaf), percent)
+        direct = (F.col("others") <= leaf) | (F.col("size") <= DIRECT * leaf)
+        here = _similar(_compared(met if last else met.where(direct), leaf), shingles, percent)
         found = here if found is None else found.unionByName(here)
-        deep = met.where(F.col("others") > leaf)
+        deep = met.where(~direct)
         if last or not deep.limit(1).count():
             break
         rows = written(_children(deep, sets, level))
@@ -365,15 +419,15 @@ def _links(slim: DataFrame, docs: DataFrame, percent: int, leaf: int) -> DataFra
     large = shared.where(F.col("size") > leaf)
     # Only sets that may resemble another, or stand in a large node, are fetched with their texts.
     shingles = written(_shingles(_texts(small.select("node").union(large.select("node")), classes, docs)))
-    some = _joins(small.where(F.col("tree") < FIRST), shingles, percent)
+    some = _joins(_similar(small.where(F.col("tree") < FIRST), shingles, percent), shingles, percent)
     any_large = large.limit(1).count() > 0
     if any_large:
-        some = some.unionByName(_joins(_promising(_stars(large, leaf), percent), shingles, percent))
+        some = some.unionByName(_joins(_similar(_promising(_stars(large, leaf), percent), shingles, percent), shingles, percent))
     some = written(some)
     labels = components(some.where("grade > 0"))
-    rest = _promising(_labelled(small.where(F.col("tree") >= FIRST), labels), percent)
+    rest = _similar(_promising(_labelled(small.where(F.col("tree") >= FIRST), labels), percent), shingles, percent)
     if any_large:
-        rest = rest.unionByName(_promising_below(_labelled(large, labels), classes, percent, leaf))
+        rest = rest.unionByName(_promising_below(_labelled(large, labels), classes, shingles, percent, leaf))
     links = written(some.unionByName(_joins(rest, shingles, percent)))
     sure, unsure = links.where("grade = 2").select("a", "b"), links.where("grade < 2").select("a", "b").distinct()
     if unsure.limit(1).count():
