@@ -91,24 +91,25 @@ def _vector(name: str = "feature") -> Column:
 
 
 def local_mean_features(patches: DataFrame, height: int, width: int, k: int = 3, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """k x k mean of features (keys, row_id, col_id, feature), one axis after the other; cells outside count as zero
-    and the divisor is always k * k."""
-    rows = patches.select(*keys, "row_id", "col_id", _vector().alias("v"))
+    """k x k mean of features (keys, row_id, col_id, feature), one axis after the other, for each cell that is there; cells
+    that aren't count as zero and the divisor is always k * k."""
+    rows = patches.select(*keys, "row_id", "col_id", F.lit(True).alias("own"), _vector().alias("v"))
     for axis, other, side in (("row_id", "col_id", height), ("col_id", "row_id", width)):
         near = F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col(axis) - k // 2), F.least(F.lit(side - 1).cast("long"), F.col(axis) + k // 2)))
-        rows = rows.select(*keys, near.alias(axis), other, "v").groupBy(*keys, axis, other).agg(Summarizer.sum(F.col("v")).alias("v"))
-    return rows.select(*keys, "row_id", "col_id", F.transform(vector_to_array("v"), lambda v: v / (k * k)).alias("feature"))
+        rows = rows.select(*keys, near.alias("_near"), axis, other, "own", "v").withColumn("own", F.col("own") & (F.col("_near") == F.col(axis)))
+        rows = rows.groupBy(*keys, F.col("_near").alias(axis), other).agg(Summarizer.sum(F.col("v")).alias("v"), F.bool_or("own").alias("own"))
+    return rows.where("own").select(*keys, "row_id", "col_id", F.transform(vector_to_array("v"), lambda v: v / (k * k)).alias("feature"))
 
 
 def resampled_features(patches: DataFrame, size_in: int, size_out: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Bilinear resampling of features to size_out x size_out cells, one axis after the other."""
+    """Bilinear resampling of features to size_out x size_out cells, one axis after the other; cells that aren't there count as zero."""
     from loomlens.operators.rasters import bilinear_weights, weight_table
 
     weights = weight_table(patches.sparkSession, bilinear_weights(size_in, size_out))
     rows = patches.select(*keys, "row_id", "col_id", _vector().alias("v"))
     for axis, other in (("row_id", "col_id"), ("col_id", "row_id")):
         spread = rows.join(weights, rows[axis] == weights["i"]).select(*keys, F.col("o").alias(axis), other, "v", "w")
-        rows = spread.groupBy(*keys, axis, other).agg(Summarizer.mean(F.col("v"), F.col("w")).alias("v"))  # weights add up to 1
+        rows = spread.groupBy(*keys, axis, other).agg(Summarizer.sum(F.col("v"), F.col("w")).alias("v"))
     return rows.select(*keys, "row_id", "col_id", vector_to_array("v").alias("feature"))
 
 

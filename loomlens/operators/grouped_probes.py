@@ -1,6 +1,6 @@
 """Linear probes of all groups in one job: categories, outer folds and inner folds are keys, not loops.
 
-Rows are packed to blocks of a group once. A group of one block (4096 rows at most) is minimised where it lies. For all larger groups each round joins the blocks with their group's parameters, adds up losses and gradients per group with
+Rows are packed to blocks of a group once. A group of one block (16384 rows at most) is minimised where it lies. For all larger groups each round joins the blocks with their group's parameters, adds up losses and gradients per group with
 map-side sums, and takes one quasi-Newton step for every group in parallel: limited-memory updates on top of the curvature bound
 (X'WX / 2 + penalty), whose sums per group are taken in the first round. A step that raises a group's loss is halved. What goes to the
 driver is only whether groups are left. The minimum is that of multinomial logistic regression with a penalised slope.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomlens.operators.graph import shared_table
 
-BLOCK, MEMORY = 4096, 12
+BLOCK, MEMORY = 16384, 12
 _STATE = "model string, reg double, mean array<double>, scale array<double>, classes int, present array<double>, at array<double>, trial array<double>, loss double, slope array<double>, moves array<double>, turns array<double>, metric array<double>, left boolean"
 _PROBE = "struct<coef: array<double>, mean: array<double>, scale: array<double>, classes: int, present: array<double>, a: array<double>, b: array<double>>"
 
@@ -195,6 +195,17 @@ def probabilities(rows: DataFrame, probes: DataFrame, by: Sequence[str], key: st
     return zipped.select(*[F.col(f"r.rows.{c}").cast(kinds[c]).alias(c) for c in rows.columns], F.col("r._p").alias("proba"))
 
 
+class GroupedProbes:
+    """Probes (model, probe) of keys `by` as an estimator: transform gives rows with `features` and the keys their probabilities."""
+
+    def __init__(self, probes: DataFrame, by: Sequence[str]):
+        self.probes, self.by = probes, list(by)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        deal = F.xxhash64(*[c for c in rows.columns if c != "features"])  # only deals rows to blocks
+        return probabilities(rows.withColumn("_deal", deal), self.probes, self.by, "_deal").drop("_deal")
+
+
 def stratified(rows: DataFrame, by: Sequence[str], key: str = "id", most: int = 5, seed: int = 0, name: str = "fold") -> DataFrame:
     """rows with the fold of each: its number by seeded hash inside its class and keys, modulo the number of folds, min(most, rows of
     the smallest class); rows of keys whose smallest class has one row have none and are left out."""

@@ -41,15 +41,17 @@ def frame_boxes(frames: DataFrame, cells: DataFrame, models: DataFrame, k: float
     return box.select("image_id", "b.x", "b.y", "b.w", "b.h", "b.area", F.round("b.score", 4).alias("score"))
 
 
-def typed_boxes(boxes: DataFrame, features: DataFrame, model: PipelineModel, labels: Sequence[str], image_size: int, grid: int, threshold: float | None = None) -> DataFrame:
-    """boxes with type and type_conf: the probe on the mean feature of the grid cells that a box touches.
+def typed_boxes(boxes: DataFrame, features: DataFrame, model, labels: Sequence[str], image_size: int, grid: int, threshold: float | None = None) -> DataFrame:
+    """boxes with type and type_conf: the estimator on the mean feature of the grid cells that a box touches.
 
-    features: (image_id, row_id, col_id, feature)."""
+    features: (image_id, row_id, col_id, feature); model: a fitted probe, or whatever gives rows with `features` a column
+    proba by transform(rows), such as a calibrated probe or the probes of all categories, if boxes have their columns."""
     names = boxes.columns
     touched = L.grid_cells(boxes, image_size, grid, grid).join(features.select("image_id", F.col("row_id").alias("gy"), F.col("col_id").alias("gx"), "feature"), ["image_id", "gy", "gx"])
     pooled = touched.groupBy(*names).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("feature").cast("array<double>")))).alias("features"))
     kind, conf = Y.predicted_type(F.col("proba"), labels, threshold)
-    return Y.probabilities(model, pooled).select(*names, kind.alias("type"), conf.alias("type_conf"))
+    scored = Y.probabilities(model, pooled) if isinstance(model, PipelineModel) else model.transform(pooled)
+    return scored.select(*names, kind.alias("type"), conf.alias("type_conf"))
 
 
 def frame_results(frames: DataFrame, cells: DataFrame, models: DataFrame, *, image_size: int, ppm: float = 5.0, k: float = 2.0, min_area: int = 64, types: DataFrame | None = None) -> DataFrame:

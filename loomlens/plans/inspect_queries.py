@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlens.operators import evaluate as E
 from loomlens.operators import features as X
+from loomlens.operators import grouped_probes as W
 from loomlens.operators import inspect as I
 from loomlens.operators import ranking as R
 from loomlens.operators import rasters as P
@@ -45,16 +46,36 @@ def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return frames, pixels, bounds.withColumn("threshold", F.when(F.col("category") == "cat0", F.lit(60.0)))
 
 
-@query(_FOUND + ", sized AS (SELECT *, round(greatest(w, h) / CASE WHEN image_id % 3 > 0 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END, 1) AS size_mm FROM boxes), pointed AS (SELECT *, " + _POINTS.format(hole="false", size="size_mm") + """ AS p FROM sized),
- per AS (SELECT image_id, count(*) AS n, sum(p)::BIGINT AS points, string_agg(concat_ws(',', x, y, w, h, area, p, x * 640 // 16, y * 480 // 16, w * 640 // 16, h * 480 // 16), ';' ORDER BY y, x, w, h) AS boxes FROM pointed GROUP BY image_id),
+# A stored probe of two types per category on the mean of a cell's scores, with calibrators; below 0.6 it abstains.
+_TYPES = """, grid AS (SELECT image_id, y // 4 AS gy, x // 4 AS gx, avg(score) / 100 AS f FROM fx_pixels GROUP BY ALL),
+ touched AS (SELECT b.image_id, b.y, b.x, b.w, b.h, b.area, avg(f) AS f FROM boxes b JOIN grid g ON b.image_id = g.image_id AND gy >= b.y // 4 AND gy < greatest(b.y // 4 + 1, (b.y + b.h) // 4) AND gx >= b.x // 4 AND gx < greatest(b.x // 4 + 1, (b.x + b.w) // 4) GROUP BY ALL),
+ raw AS (SELECT *, 1 / (1 + exp(-CASE WHEN image_id % 2 = 0 THEN 4 * f - 1.5::DOUBLE ELSE 3 - 6 * f END)) AS p FROM touched),
+ calibrated AS (SELECT *, 1 / (1 + exp(-(5 * (1 - p) - 2.5::DOUBLE))) AS q0, 1 / (1 + exp(-(5 * p - 2.5::DOUBLE))) AS q1 FROM raw),
+ typed AS (SELECT *, CASE WHEN greatest(q0, q1) / (q0 + q1) < 0.6::DOUBLE THEN 'unknown' WHEN q0 >= q1 THEN 'stain' ELSE 'hole' END AS type FROM calibrated)"""
+
+
+def _types(spark: SparkSession, frames: DataFrame, pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Boxes typed by probes that were saved and loaded again."""
+    probes = [(f'["=cat{i}"]', ([0.0, 0.0, a, b], [0.0], [1.0], 2, [1.0, 1.0], [5.0, 5.0], [-2.5, -2.5])) for i, (a, b) in enumerate(((4.0, -1.5), (-6.0, 3.0)))]
+    path = f"{shared_folder(spark)}/probes-{uuid.uuid4().hex}"
+    W.save_probes(spark.createDataFrame(probes, f"model string, probe {W._PROBE}"), path, ["stain", "hole"], 0.6)
+    stored, labels, threshold = W.load_probes(spark, path)
+    cells = pixels.groupBy("image_id", F.floor(F.col("y") / 4).alias("row_id"), F.floor(F.col("x") / 4).alias("col_id")).agg(F.array(F.avg("score") / 100).alias("feature"))
+    return I.typed_boxes(boxes.join(frames.select("image_id", "category"), "image_id"), cells, W.GroupedProbes(stored, ["category"]), labels, 16, 4, threshold)
+
+
+@query(_FOUND + _TYPES + ", sized AS (SELECT *, round(greatest(w, h) / CASE WHEN image_id % 3 > 0 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END, 1) AS size_mm FROM boxes JOIN typed USING (image_id, y, x, w, h, area)), pointed AS (SELECT *, " + _POINTS.format(hole="false", size="size_mm") + """ AS p FROM (SELECT * EXCLUDE (p) FROM sized)),
+ per AS (SELECT image_id, count(*) AS n, sum(p)::BIGINT AS points, string_agg(concat_ws(',', x, y, w, h, area, p, x * 640 // 16, y * 480 // 16, w * 640 // 16, h * 480 // 16, type), ';' ORDER BY y, x, w, h) AS boxes FROM pointed GROUP BY image_id),
  img AS (SELECT image_id, max(score) AS s FROM fx_pixels GROUP BY image_id)
  SELECT i.image_id, 'cat' || (i.image_id % 2) AS category, round(s, 4) AS anomaly_score, s > threshold AS is_defective, threshold, coalesce(n, 0)::INT AS num_defects, coalesce(boxes, '') AS boxes, coalesce(points, 0) AS defect_points
  FROM img i JOIN model ON i.image_id % 2 = c LEFT JOIN per p ON p.image_id = i.image_id""")
 def frame_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames from raw maps to nested results; the boxes are written out as text here."""
+    """Frames from raw maps to nested results with types; the boxes are written out as text here. Maps are packed once, by a table."""
     frames, pixels, models = _frames(spark, sf_dir)
-    found = I.frame_results(frames, pixels, models, image_size=16, ppm=0.1, min_area=2)
-    text = F.array_join(F.transform("boxes", lambda b: F.concat_ws(",", *[b[c].cast("string") for c in ("x", "y", "w", "h", "area", "points", "ox", "oy", "ow", "oh")])), ";")
+    maps, models = shared_table(I.packed_maps(pixels, 16)), shared_table(models)
+    types = _types(spark, frames, pixels, I.frame_boxes(frames, maps, models, min_area=2, image_size=16))
+    found = I.frame_results(frames, maps, models, image_size=16, ppm=0.1, min_area=2, types=types)
+    text = F.array_join(F.transform("boxes", lambda b: F.concat_ws(",", *[b[c].cast("string") for c in ("x", "y", "w", "h", "area", "points", "ox", "oy", "ow", "oh", "type")])), ";")
     return found.select("image_id", "category", "anomaly_score", "is_defective", "threshold", "num_defects", text.alias("boxes"), "defect_points")
 
 
@@ -98,21 +119,27 @@ def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.xxhash64(*rows.columns).alias("id"), "y", F.array("p0", "p1", "p2").alias("features"))
 
 
+def _by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe_rows(spark, sf_dir).withColumn("category", F.concat(F.lit("cat"), F.pmod("id", F.lit(4)).cast("string")))
+
+
 @query()
 def probe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A probe saved and loaded: rows by class and by whether both give the same probabilities."""
-    rows = probe_rows(spark, sf_dir)
-    model, path = Y.train_probe(rows), f"{shared_folder(spark)}/probe-{uuid.uuid4().hex}"
-    Y.save_probe(model, path, ["hole", "stain", "slub"], 0.5, "sigmoid")
-    again, settings = Y.load_probe(path)
-    both = Y.probabilities(again, Y.probabilities(model, rows).withColumnRenamed("proba", "first"))
-    kind, _ = Y.predicted_type(F.col("proba"), settings.labels, settings.threshold)
-    return both.groupBy(kind.alias("type"), (F.col("first") == F.col("proba")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
+    """Calibrated probes of all categories, saved and loaded: rows by class and by whether both give the same probabilities."""
+    rows, path = _by_category(spark, sf_dir), f"{shared_folder(spark)}/probes-{uuid.uuid4().hex}"
+    probes = W.fit_calibrated(rows, ["category"], 3)
+    W.save_probes(probes, path, ["hole", "stain", "slub"], 0.34)
+    again, labels, threshold = W.load_probes(spark, path)
+    first = W.probabilities(rows, probes, ["category"]).withColumnRenamed("proba", "first")
+    both = W.probabilities(first, again, ["category"])
+    kind, _ = Y.predicted_type(F.col("proba"), labels, threshold)
+    same = F.forall(F.zip_with("first", "proba", lambda a, b: F.abs(a - b) < 1e-12), lambda x: x)
+    return both.groupBy("category", kind.alias("type"), same.alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def probe_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of each row by the calibrated estimator that was fitted on the other folds, with inner folds of its own."""
-    rows = shared_table(E.stratified_folds(probe_rows(spark, sf_dir), "id", "y", most=2))
-    scored = Y.out_of_fold(rows, 2, classes=3, method="sigmoid")
-    return E.with_top(scored).groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("conf"), 4).alias("mean_conf"))
+    """Predictions of each row by the calibrated estimator that was fitted on the other of five folds of its category, with inner
+    folds of its own: all categories, folds and members in one job."""
+    scored = W.out_of_fold(_by_category(spark, sf_dir), ["category"], 3)
+    return E.with_top(scored).groupBy("category", "y", "pred").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("conf"), 4).alias("mean_conf"))
