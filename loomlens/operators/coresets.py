@@ -64,11 +64,12 @@ def _counted(rows: DataFrame, by: str, name: str) -> DataFrame:
     return _beside(rows.drop(name), rows.groupBy(by).agg(F.count(F.lit(1)).alias(name)), [by])
 
 
-def coreset_distributed(patches: DataFrame, keep: int | None = None, seed: int = 0, group: str = "category", key: str = "patch_id", ratio: float = 0.1, rows: int = 20_000, shrink: int = 4) -> DataFrame:
-    """(group, key, feature, rank): `keep` rows of each group, or max(1, floor(n ratio)); a smaller number of them is
+def coreset_distributed(patches: DataFrame, keep: int | None = None, seed: int = 0, group: str = "category", key: str = "patch_id", ratio: float | str = 0.1, rows: int = 20_000, shrink: int = 4) -> DataFrame:
+    """(group, key, feature, rank): `keep` rows of each group, or max(1, floor(n ratio)); ratio may name a column. A smaller number of them is
     the prefix by rank. Groups of at most `rows` rows are those of the exact greedy choice. Null groups count as a group; key is unique in a group."""
-    n_keep = F.lit(keep).cast("long") if keep is not None else F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * F.lit(float(ratio))))
-    held = _counted(patches.select(group, key, "feature"), group, "_n").withColumn("_keep", n_keep)
+    share = F.col(ratio).cast("double") if isinstance(ratio, str) else F.lit(float(ratio))
+    n_keep = F.lit(keep).cast("long") if keep is not None else F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * F.col("_share")))
+    held = _counted(patches.select(group, key, "feature", share.alias("_share")), group, "_n").withColumn("_keep", n_keep).drop("_share")
     kinds = {f.name: f.dataType.simpleString() for f in held.schema}
     columns = f"{group} {kinds[group]}, {key} {kinds[key]}, feature {kinds['feature']}"
     few = F.col("_keep") <= rows / 2

@@ -13,11 +13,12 @@ from loomlens.operators import grouped_probes as W
 from loomlens.operators import inspect as I
 from loomlens.operators import ranking as R
 from loomlens.operators import rasters as P
+from loomlens.operators import sweeps as S
 from loomlens.operators import typing_probe as Y
 from loomlens.operators.graph import shared_folder, shared_table
 from loomlens.plans.fixtures import view, with_views
 from loomlens.plans.grading_queries import _POINTS
-from loomlens.plans.score_queries import _BOXES
+from loomlens.plans.score_queries import _BOXES, _KNN
 from loomlens.sources import tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -143,3 +144,40 @@ def probe_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds of its own: all categories, folds and members in one job."""
     scored = W.out_of_fold(_by_category(spark, sf_dir), ["category"], 3)
     return E.with_top(scored).groupBy("category", "y", "pred").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("conf"), 4).alias("mean_conf"))
+
+
+# Runs with whole banks, as SQL can score those, and four that can't run.
+_CONFIGS = ", config AS (SELECT DISTINCT category || '-' || k AS config_id, category, 1.0::DOUBLE AS coreset_ratio, k::INT AS n_neighbors FROM fx_patches, (VALUES (1), (3)) t(k) UNION ALL VALUES ('none', 'cat9', 1.0::DOUBLE, 1), ('ratio', 'cat0', 0.0::DOUBLE, 1), ('k', 'cat1', 1.0::DOUBLE, 0), ('odd', 'cat1', 1.0::DOUBLE, 2))"
+
+
+@query(with_views("fx_patches") + _KNN + _CONFIGS + """,
+ scored AS (SELECT c.config_id, k.image_id, k.label, max(CASE WHEN n_neighbors = 1 THEN d1 ELSE d3 END) AS score FROM config c JOIN knn k ON c.category = k.category AND coreset_ratio = 1 AND n_neighbors IN (1, 3) GROUP BY ALL),
+ auc AS (SELECT p.config_id, avg(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0 END) AS auroc FROM scored p JOIN scored n ON p.config_id = n.config_id AND p.label = 1 AND n.label = 0 GROUP BY p.config_id),
+ facts AS (SELECT category, count(DISTINCT image_id) FILTER (split = 'train' AND label = 0) AS n_train, count(DISTINCT image_id) FILTER (split = 'test') AS n_test, count(*) FILTER (split = 'train' AND label = 0) AS bank, max(len(feature)) AS dim FROM fx_patches GROUP BY category)
+ SELECT c.config_id, c.category, coreset_ratio, n_neighbors, CASE WHEN e IS NULL THEN 'done' ELSE 'failed' END AS status, e AS error, n_train, n_test, CASE WHEN e IS NULL THEN bank END AS bank_size, dim::INT AS feature_dim, CASE WHEN e IS NULL THEN round(auroc, 6) END AS image_auroc
+ FROM (SELECT *, CASE WHEN category = 'cat9' THEN 'no such category' WHEN coreset_ratio <= 0 THEN 'coreset_ratio must be above 0 and at most 1' WHEN n_neighbors < 1 THEN 'n_neighbors must be at least 1' WHEN n_neighbors = 2 THEN 'n_neighbors isn''t among those asked for' END AS e FROM config) c
+ LEFT JOIN facts f ON f.category = c.category LEFT JOIN auc a ON a.config_id = c.config_id""")
+def sweep_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All configurations in one job; those that can't run are recorded with their error."""
+    patches = view(spark, sf_dir, "fx_patches")
+    good = patches.select("category").distinct().select(F.explode(F.array(F.lit(1), F.lit(3))).alias("k"), "category")
+    configs = good.select(F.concat("category", F.lit("-"), F.col("k").cast("string")).alias("config_id"), "category", F.lit(1.0).alias("coreset_ratio"), F.col("k").alias("n_neighbors"))
+    bad = spark.createDataFrame([("none", "cat9", 1.0, 1), ("ratio", "cat0", 0.0, 1), ("k", "cat1", 1.0, 0), ("odd", "cat1", 1.0, 2)], "config_id string, category string, coreset_ratio double, n_neighbors int")
+    found = S.run_sweep(configs.unionByName(bad), patches, (1, 3)).drop("image_ap", "image_f1")
+    return found.withColumn("image_auroc", F.round("image_auroc", 6))
+
+
+# Two extractors by order status, and order priorities 1 and 2 as the benchmark.
+_AB = ", run AS (SELECT category, layer_set AS extractor, pro FROM fx_runs)"
+
+
+@query(with_views("fx_runs") + _AB + " SELECT category, 'pro' AS metric, round(max(pro) FILTER (extractor = 'F'), 6) AS first, round(max(pro) FILTER (extractor = 'O'), 6) AS second, round(max(pro) FILTER (extractor = 'O') - max(pro) FILTER (extractor = 'F'), 6) AS gain FROM run GROUP BY category")
+def compare_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = view(spark, sf_dir, "fx_runs").withColumnRenamed("layer_set", "extractor")
+    return S.compare_extractors(runs, "F", "O", ["pro"]).select("category", "metric", *[F.round(c, 6).alias(c) for c in ("first", "second", "gain")])
+
+
+@query(with_views("fx_runs") + _AB + ", side AS (SELECT extractor, avg(pro) FILTER (category NOT IN ('1-URGENT', '2-HIGH')) AS b, avg(pro) FILTER (category IN ('1-URGENT', '2-HIGH')) AS r FROM run GROUP BY extractor) SELECT extractor, 'pro' AS metric, round(b, 6) AS benchmark, round(r, 6) AS real, round(b - r, 6) AS gap FROM side")
+def benchmark_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = view(spark, sf_dir, "fx_runs").withColumnRenamed("layer_set", "extractor")
+    return S.benchmark_gap(runs, ["1-URGENT", "2-HIGH"], ["pro"]).select("extractor", "metric", *[F.round(c, 6).alias(c) for c in ("benchmark", "real", "gap")])
