@@ -6,7 +6,7 @@ every document. Where a probe meets a block of another document, the windows of
 anchor on both sides are compared, which extends the hit to the maximal exact repeat (a repeat is the
 union of its windows). Words in a window that also starts in a document with a smaller id go.
 
-Documents are dealt to buckets of some megabytes by hash of their id, and buckets exchange sorted,
+Documents are dealt to buckets of some megabytes by a hash, and buckets exchange sorted,
 distinct window hashes with hash ranges ("parts"). A passage that a third of all documents share
 is one hash per bucket, so it fills neither a task nor a message. The text is shuffled once (the three
 passes over the buckets use the same exchange); each anchor costs 4 bytes, each window near a hit 16.
@@ -193,6 +193,13 @@ def _remove(window: int, texts: bool):
     return settle
 
 
+def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, _text and _bucket of each row. The hash takes the text too, so that rows with a null or one repeated id spread, and the
+    partition, so that copies of such a row do."""
+    bucket = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(buckets)).cast("int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text"), bucket.alias("_bucket"))
+
+
 def without_repeated_passages(docs: DataFrame, *, window: int = 13, bucket_bytes: int | None = None, texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (and kept_text with texts).
 
@@ -206,7 +213,7 @@ def without_repeated_passages(docs: DataFrame, *, window: int = 13, bucket_bytes
     bucket_bytes = bucket_bytes or int(min(64_000_000, 4_000_000 * max(1.0, total / 2e9) ** 0.5))
     buckets = int(max(1, -(-total // bucket_bytes)))
     parts = max(1, buckets // 2)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("_bucket"))
+    dealt = bucketed(docs, buckets)
     anchors = dealt.groupBy("_bucket").applyInArrow(_anchor_messages(block, parts), "part int, bucket int, keys binary")
     hits = anchors.groupBy("part").applyInArrow(_anchor_hits, "_bucket int, part int, keys binary")
     windows = dealt.groupBy("_bucket").cogroup(hits.groupBy("_bucket")).applyInArrow(_window_messages(block, window, parts), "part int, bucket int, keys binary, ids binary")

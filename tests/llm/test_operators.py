@@ -111,6 +111,17 @@ def test_substring_dedup(docs, rows, none, bucket_bytes):
     assert substring_dedup.without_repeated_passages(none).count() == 0
 
 
+def test_substring_dedup_spreads_rows_without_an_id(spark):
+    """Null ids, one repeated id, and copies of one row are dealt to many buckets."""
+    texts = [f"w{i} " * 20 for i in range(200)]
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts] + [(None, "the same words again " * 9)] * 200
+    dealt = substring_dedup.bucketed(spark.createDataFrame(rows, "doc_id long, text string").repartition(40), 30)
+    assert dealt.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 90
+    few = rows[:3] + rows[200:203] + rows[-4:] + [(1, texts[1]), (9, "the same words again " * 9)]
+    found = substring_dedup.without_repeated_passages(spark.createDataFrame(few, "doc_id long, text string").repartition(5), bucket_bytes=300)
+    assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.passages(few))
+
+
 def test_substring_dedup_texts(docs):
     r = substring_dedup.without_repeated_passages(docs, texts=True).where("doc_id = 9").first()
     assert brute.sha(r.kept_text) == r.kept_sha256 and "changed" in r.kept_text
