@@ -88,6 +88,8 @@ def local_mean(cells: DataFrame, height: int, width: int, k: int = 3, keys: Sequ
 
 
 def mask_on_grid(pixels: DataFrame, height: int, width: int, gh: int, gw: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Area mean of a mask on gh x gw cells (sides divisible), on where above one half."""
-    cell_y, cell_x = F.floor(F.col("y") * gh / height), F.floor(F.col("x") * gw / width)
-    return pixels.groupBy(*keys, cell_y.alias("gy"), cell_x.alias("gx")).agg((F.avg("gt") > 0.5).alias("mask"))
+    """Area mean of a mask on gh x gw cells, on where above one half. Cell i reaches from floor(i height / gh) to
+    ceil((i + 1) height / gh), so a pixel between two cells counts in both where sides aren't divisible."""
+    cells = lambda c, g, n: F.explode(F.sequence(F.floor(F.col(c) * g / n), F.ceil((F.col(c) + 1) * g / n) - 1))
+    rows = pixels.select(*keys, "x", "gt", cells("y", gh, height).alias("gy")).select(*keys, "gt", "gy", cells("x", gw, width).alias("gx"))
+    return rows.groupBy(*keys, "gy", "gx").agg((F.avg("gt") > 0.5).alias("mask"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from loomlens.functions import columns as C
 from loomlens.operators import evaluate as E
 from loomlens.operators import grading as G
 from loomlens.operators import splits as S
+from loomlens.operators.graph import shared_folder
 from loomlens.operators.typing_probe import predicted_type
 from loomlens.plans.fixtures import view, with_views
 from loomlens.sources import tables as T
@@ -278,9 +281,13 @@ def validate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("fx_runs") + " SELECT category, layer_set, round(pro, 6) AS pro, n_test, NULL::DOUBLE AS eval_sec FROM fx_runs UNION ALL SELECT category, 'extra', round(max(pro), 6), sum(n_test)::BIGINT, 1.5::DOUBLE FROM fx_runs GROUP BY category")
 def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to a stored log, the second with a column more."""
     log = view(spark, sf_dir, "fx_runs").withColumn("pro", F.round("pro", 6))
     new = log.groupBy("category").agg(F.max("pro").alias("pro"), F.sum("n_test").alias("n_test")).withColumns({"layer_set": F.lit("extra"), "eval_sec": F.lit(1.5)})
-    return T.append_results(log, new)
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    T.append_log(log, path)
+    T.append_log(new.select("category", "layer_set", "pro", "n_test", "eval_sec"), path)
+    return T.read_log(spark, path).drop("append")
 
 
 @query(with_views("fx_runs") + " SELECT category, layer_set, CASE WHEN layer_set = 'F' THEN 0.05 ELSE 0.1 END::DOUBLE AS coreset_ratio, 1 AS n_neighbors FROM (SELECT DISTINCT category FROM fx_runs), (SELECT DISTINCT layer_set FROM fx_runs)")

@@ -28,6 +28,23 @@ def append_results(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.unionByName(rows, allowMissingColumns=True)
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add rows to the results log under path, whatever their columns: a numbered folder per call, so older files stay as they are."""
+    spark = rows.sparkSession
+    last = spark.read.parquet(path).agg(F.max("append")).first()[0] if _exists(spark, path) else 0
+    rows.write.mode("errorifexists").parquet(f"{path}/append={last + 1:09d}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log in the order of its appends: columns that only later ones have come at the end, null in older rows."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def sweep_grid(categories: DataFrame, layer_sets: DataFrame, base: Mapping[str, object]) -> DataFrame:
     """Every category with every layer set; each base value unless the layer set's row overrides it."""
     every = categories.select("category", F.lit(1).alias("_1")).join(F.broadcast(layer_sets.withColumn("_1", F.lit(1))), "_1").drop("_1")

@@ -87,3 +87,26 @@ def test_frame_results_shuffle_maps_once_or_never(spark, cells):
     rows = lambda df: sorted(df.drop("original_size").collect(), key=lambda r: r.image_id)
     assert rows(once) == rows(never) and once.where("num_defects > 0").count() > 0
     assert exchanges(V.boxed_maps(frames, F.broadcast(stored), F.broadcast(models), 10)) == 0
+
+
+@pytest.mark.parametrize("shape, grid", [((7, 10), (3, 4)), ((8, 8), (4, 2)), ((5, 3), (5, 3)), ((2, 3), (4, 5))])
+def test_masks_on_grids_of_uneven_sides(spark, shape, grid):
+    m = np.random.default_rng(1).integers(0, 2, shape)
+    pixels = spark.createDataFrame([(1, int(y), int(x), int(v)) for (y, x), v in np.ndenumerate(m)], "image_id int, y int, x int, gt int")
+    found = {(r.gy, r.gx): r["mask"] for r in P.mask_on_grid(pixels, *shape, *grid).collect()}
+    ends = lambda i, g, n: (i * n // g, -(-(i + 1) * n // g))
+    for gy in range(grid[0]):
+        for gx in range(grid[1]):
+            (a, b), (c, d) = ends(gy, grid[0], shape[0]), ends(gx, grid[1], shape[1])
+            assert found[gy, gx] == (m[a:b, c:d].mean() > 0.5)
+
+
+def test_log_on_disk_grows_columns(spark, tmp_path):
+    from loomlens.sources import tables as T
+
+    path = str(tmp_path / "log")
+    for rows, schema in (([(1, 0.5)], "run int, pro double"), ([(2, 0.6, "x")], "run int, pro double, note string"), ([(3,)], "run int")):
+        T.append_log(spark.createDataFrame(rows, schema), path)
+    found = T.read_log(spark, path)
+    assert found.columns == ["run", "pro", "note", "append"]
+    assert sorted((r.run, r.pro, r.note, r.append) for r in found.collect()) == [(1, 0.5, None, 1), (2, 0.6, "x", 2), (3, None, None, 3)]
