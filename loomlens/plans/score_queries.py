@@ -639,6 +639,15 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.run_to_parquet(rows.select("frame_id", "threshold", "is_defective", "defective"), f"{home}/out", f"{home}/state")
 
 
+@query(with_views("fx_frames") + " SELECT roll_id, count(*) AS total, count(*) FILTER (NOT failed AND num_defects > 0) AS defective, sum(CASE WHEN failed THEN 0 ELSE num_defects END)::BIGINT AS points, count(*) - count(*) FILTER (NOT failed AND num_defects > 0) AS passed, true AS complete FROM fx_frames GROUP BY roll_id")
+def stream_finished_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per roll, emitted by the batch that brings its last frame; every frame is sent twice."""
+    frames, home = _stream(spark, sf_dir)
+    expected = view(spark, sf_dir, "fx_frames").groupBy("roll_id").agg(F.count(F.lit(1)).alias("expected"))
+    sent = frames.unionByName(frames).join(expected, "roll_id").withColumns({"is_defective": F.lit(None).cast("boolean"), "points": F.col("num_defects")})
+    return Z.run_to_parquet(Z.finished_rolls(sent), f"{home}/out", f"{home}/state")
+
+
 @query(with_views("fx_frames") + " SELECT roll_id, count(*) AS total, count(*) AS done, count(*) FILTER (NOT failed AND num_defects > 0) AS defective, sum(CASE WHEN failed THEN 0 ELSE num_defects END)::BIGINT AS points, count(*) - count(*) FILTER (NOT failed AND num_defects > 0) AS passed FROM fx_frames GROUP BY roll_id")
 def stream_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, home = _stream(spark, sf_dir)

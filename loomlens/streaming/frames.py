@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,49 @@ def running_summary(frames: DataFrame, *group: str, delay: str | None = None) ->
     return G.batch_summary(frames, *group)
 
 
+#: A roll's running result, as held between batches: frames, failures, defective frames, points, last time in ms.
+_ROLL = "total long, failed long, defective long, points long, last_ms long"
+
+
+def finished_rolls(frames: DataFrame, delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """(roll_id, total, defective, points, passed, complete) once per roll: when its last frame is in, or, not complete, when the
+    watermark is idle_ms past its newest frame. After either the roll is forgotten, so state holds open rolls only.
+
+    frames: a stream of (roll_id, frame_id, ts, expected: frames of the roll, failed, is_defective, num_defects, points); repeated frame
+    ids within the delay count once, null points as none. A frame that comes after its roll was closed opens it again.
+    """
+    timed = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["frame_id"])
+    bad = ~F.col("failed") & C.effective_verdict(F.col("is_defective"), F.col("num_defects"))
+    slim = timed.select("roll_id", "ts", "expected", F.col("failed").cast("int").alias("failed"), F.coalesce(bad, F.lit(False)).cast("int").alias("bad"), F.when(F.col("failed"), 0).otherwise(F.coalesce("points", F.lit(0))).cast("long").alias("points"))
+
+    def close(key, sums, complete):
+        total, _, defective, points, _ = sums
+        return pd.DataFrame({"roll_id": [key[0]], "total": [total], "defective": [defective], "points": [points], "passed": [total - defective], "complete": [complete]})
+
+    def run(key, parts, state):
+        if state.hasTimedOut:
+            yield close(key, state.get, False)
+            state.remove()
+            return
+        total, failed, defective, points, last = state.get if state.exists else (0, 0, 0, 0, 0)
+        expected = None
+        for part in parts:
+            total, failed, defective, points = total + len(part), failed + int(part.failed.sum()), defective + int(part.bad.sum()), points + int(part.points.sum())
+            last, expected = max(last, int(part.ts.max().timestamp() * 1000)), int(part.expected.max())
+        sums = (total, failed, defective, points, last)
+        if expected is not None and total >= expected:
+            if state.exists:
+                state.remove()
+            yield close(key, sums, True)
+        else:
+            state.update(sums)
+            state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
+
+    kind = frames.schema["roll_id"].dataType.simpleString()
+    schema = f"roll_id {kind}, total long, defective long, points long, passed long, complete boolean"
+    return slim.groupBy("roll_id").applyInPandasWithState(run, schema, _ROLL, "append", "EventTimeTimeout")
+
+
 def windowed_grades(frames: DataFrame, window: str = "1 day", delay: str = "1 day", image_size: int = 224, ppm: float = 5.0) -> DataFrame:
     """(roll_id, day, n_frames, points, p100, grade) per roll and tumbling window of event time.
 
