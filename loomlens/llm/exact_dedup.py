@@ -83,7 +83,8 @@ def exact_groups(docs: DataFrame, *, counters: int = 1024) -> DataFrame:
     are one group. Of a group the row with the most code points in the original text stays, then
     the smallest doc_id; a null doc_id comes last and, if it wins, keep_id is null. Repeated rows
     count in group_size; as they are the same document, all copies of the winning row say kept.
-    An empty table gives no rows; other columns of docs don't matter.
+    An empty table gives no rows; other columns of docs don't matter. A very long text is normalised and
+    hashed whole, by one expression; only digests are shuffled.
     """
     slim = written(_digests(docs))
     heavy = _heavy(slim, counters)

@@ -66,7 +66,8 @@ def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     A document is a distinct pair of doc_id and text: repeated rows count once and are treated
     alike; two texts under the largest doc_id both keep the line. A null or empty text is one empty
     line and comes back as an empty text. A null doc_id is smaller than any other. An empty table
-    gives no rows.
+    gives no rows. A very long text is split whole, and its bitmap has a bit a line. docs must not have
+    columns of these three names: they would come twice.
     """
     maps = dropped_lines(docs, **options)
     keep = lambda _, i: F.coalesce(F.call_function("shiftrightunsigned", F.get("dropped", (i / 63).cast("int")), i % 63).bitwiseAND(F.lit(1).cast("long")), F.lit(0)) == 0

@@ -91,7 +91,8 @@ def mix_sources(
     other) last, and get `weights` in turn. Null or empty texts have size 0 and are never taken;
     a source without words has target 0; an empty table gives no rows. Repeated rows count each;
     rows with the same doc_id and size are interchangeable. A null doc_id sorts after all others.
-    Other columns of docs don't matter, whatever their names.
+    Other columns of docs don't matter, whatever their names. A very long text is one row like any
+    other: its words are counted whole, by one expression.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     slim = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], F.col("doc_id").alias("_id"), "source", null_safe("source").alias("skey"), words_in(F.col("text")).alias("size"), digest.alias("_h"))

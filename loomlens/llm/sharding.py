@@ -47,7 +47,8 @@ def shard_documents(docs: DataFrame, *, shards: int = 16, buckets: int = 256) ->
     Size is the UTF-8 length plus 1; a null text counts as empty (size 1, crc32 0). A null doc_id
     is hashed as 0. Repeated rows share a shard and get slots of their own. Slots order a shard's
     rows by bucket of the key's md5, key, size and crc32. An empty table gives no rows. Other
-    columns of docs don't matter, whatever their names.
+    columns of docs don't matter, whatever their names. A very long text is one row like any other; of
+    it only the length and the crc32 are carried on.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     text = F.coalesce(F.col("text"), F.lit(""))
