@@ -2,9 +2,9 @@
 
 A word's input is a learned vector of the word (one for all that training rarely saw) and the mean of learned vectors of its
 character trigrams (hashed). A forward and a backward GRU run over windows of 64 words, every window
-overlapping the next by half; attention pools states and inputs of a window to one score, and a
-text's score is that of its highest window. Training, in numpy on the driver, uses a bounded sample
-of labelled rows (`sample_rows` of each class, texts of up to `sample_bytes`); scoring covers all words
+overlapping the next by half; attention pools the states of a window to one score, and a
+text's score is that of its highest window. All weights start at random. Training, in numpy on the driver, uses a bounded
+sample of labelled rows (`sample_rows` of each class, texts of up to `sample_bytes`); scoring covers all words
 of all texts, in Arrow batches without a shuffle, some 0.4 MB of text at a time: a longer text goes through
 the network in stretches that have the same windows. The only input is the text.
 """
@@ -89,7 +89,7 @@ class Network:
         r = np.random.default_rng(seed)
         f = lambda *s, scale=0.1: (r.standard_normal(s) * scale).astype(np.float32)
         self.vocabulary = vocabulary
-        self.p = {"word": f(len(vocabulary) + 1, DW, scale=0.02), "gram": f(TRIGRAMS, DC, scale=0.02), "v": f(2 * H + D), "u": f(2 * H + D), "b": np.zeros(1, np.float32)}
+        self.p = {"word": f(len(vocabulary) + 1, DW, scale=0.3), "gram": f(TRIGRAMS, DC), "v": f(2 * H, scale=0.3), "u": f(2 * H, scale=0.3), "b": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"x{d}": f(D, 3 * H, scale=0.3), f"h{d}": f(H, 3 * H, scale=0.3), f"c{d}": np.zeros(3 * H, np.float32)}
 
@@ -134,12 +134,12 @@ class Network:
             out[np.arange(k), t if d == "f" else size[:k] - 1 - t] = after
         return out
 
-    def logits(self, x: np.ndarray, given: dict[str, np.ndarray], first: np.ndarray, size: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def logits(self, given: dict[str, np.ndarray], first: np.ndarray, size: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """One score (before the sigmoid) for each window; size must not increase."""
         gates = {d: [] if keep is not None else None for d in "fb"}
         steps = int(size[0]) if len(size) else 0
         inside = np.arange(steps) < size[:, None]
-        s = np.concatenate([self._run(given["f"], first, size, "f", gates["f"]), self._run(given["b"], first, size, "b", gates["b"]), x[np.where(inside, first[:, None] + np.arange(steps), 0)] if len(x) else np.zeros((len(first), steps, D), np.float32)], axis=2)
+        s = np.concatenate([self._run(given[d], first, size, d, gates[d]) for d in "fb"], axis=2)
         e = np.where(inside, s @ self.p["u"], -np.inf)
         a = np.exp(e - e.max(axis=1, keepdims=True)) if steps else e
         a /= a.sum(axis=1, keepdims=True)
@@ -149,9 +149,10 @@ class Network:
         return pooled @ self.p["v"] + self.p["b"]
 
     def gradients(self, t: Texts, first: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy of the windows against y and its gradient; size must not increase."""
+        """Mean cross-entropy of the windows against y and its gradient; size must not increase, and no
+        two windows may share a word."""
         x, k = self.inputs(t), {}
-        p = _sigmoid(self.logits(x, self.given(x), first, size, k))
+        p = _sigmoid(self.logits(self.given(x), first, size, k))
         loss = float(-np.mean(np.where(y > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))))
         g = {n: np.zeros_like(v) for n, v in self.p.items()}
         dl = ((p - y) / len(y)).astype(np.float32)
@@ -163,8 +164,6 @@ class Network:
         ds = k["a"][:, :, None] * dp[:, None, :] + de[:, :, None] * self.p["u"]
         dx = np.zeros_like(x)
         steps = k["inside"].shape[1]
-        where = (first[:, None] + np.arange(steps))[k["inside"]]
-        np.add.at(dx, where, ds[:, :, 2 * H :][k["inside"]])
         for d, low in (("f", 0), ("b", H)):
             dh, w = np.zeros((len(first), H), np.float32), self.p[f"h{d}"]
             dgiven = np.zeros((len(x), 3 * H), np.float32)
@@ -176,15 +175,18 @@ class Network:
                 dz = back * (before - n) * z * (1 - z)
                 dq = dn * mn * q * (1 - q)
                 dm = np.concatenate([dz, dq, dn * q], axis=1)
-                np.add.at(dgiven, at, np.concatenate([dz, dq, dn], axis=1))
+                dgiven[at] = np.concatenate([dz, dq, dn], axis=1)
                 g[f"h{d}"] += before.T @ dm
                 dh[:m] = back * z + dm @ w.T
             g[f"x{d}"] += x.T @ dgiven
             g[f"c{d}"] += dgiven.sum(axis=0)
             dx += dgiven @ self.p[f"x{d}"].T
-        np.add.at(g["word"], self.known(t.hashes), dx[:, :DW])
         lengths = np.diff(t.gram_ends, prepend=0)
-        np.add.at(g["gram"], t.grams, np.repeat(dx[:, DW:] / lengths[:, None], lengths, axis=0))
+        known, owner = self.known(t.hashes), np.repeat(np.arange(len(x)), lengths)
+        for c in range(DW):
+            g["word"][:, c] = np.bincount(known, dx[:, c], len(g["word"]))
+        for c in range(DC):
+            g["gram"][:, c] = np.bincount(t.grams, (dx[:, DW + c] / lengths)[owner], TRIGRAMS)
         return loss, g
 
     def window_scores(self, t: Texts, batch: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +197,7 @@ class Network:
         order = np.argsort(-size, kind="stable")
         for i in range(0, len(order), batch):
             o = order[i : i + batch]
-            out[o] = self.logits(x, given, first[o], size[o])
+            out[o] = self.logits(given, first[o], size[o])
         return text, first, size, out
 
     def _raise(self, best: np.ndarray, own: list[int], parts: list[bytes]) -> None:
@@ -218,9 +220,12 @@ class Network:
         return _sigmoid(np.where(np.isfinite(best), best, float(self.p["b"][0])))
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs: int = 6, batch: int = 128, rate: float = 0.003, seed: int = 0) -> Network:
-    """Fit to texts with labels 0 and 1. One column of the word vectors starts from the words' smoothed
-    log odds, less two standard errors; then each epoch takes every text's highest window (that of the score) and descends."""
+def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs: int = 8, steps: int = 400, averaged: int = 3, batch: int = 32, rate: float = 0.01, unknown: float = 0.15, seed: int = 0) -> Network:
+    """Fit to texts with labels 0 and 1. The first epoch takes the window of each text whose words have the greatest sum of
+    log odds (smoothed, less two standard errors), as random weights can't choose; each later one every text's highest
+    window (that of the score). A share `unknown` of the words is taken as outside the vocabulary, so that trigrams learn too.
+    Small samples take more epochs, until there are `steps` steps. The result is the mean of the weights over the steps of the
+    last `averaged` epochs."""
     random = np.random.default_rng(seed)
     if not len(texts) or labels.min() == labels.max():
         net = Network(np.zeros(0, np.uint64), seed)
@@ -237,17 +242,24 @@ def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs:
     seen = [np.append(c[often], 0) for c in seen]
     odds = np.log((seen[1] + 0.5) / (labels.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - labels).sum() + 1))
     doubt = 2 * np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))
-    net.p["word"][:, 0] = np.sign(odds) * np.clip(np.abs(odds) - doubt, 0, 8) / 2 * (seen[0] + seen[1] > 0)
-    net.p["u"][2 * H], net.p["v"][2 * H], net.p["b"][0] = 4.0, 4.0, -3.0
+    lean = np.sign(odds) * np.clip(np.abs(odds) - doubt, 0, 8) * (seen[0] + seen[1] > 0)
+    net.p["b"][0] = -1.0
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
+    mean = {k: np.zeros(v.shape) for k, v in net.p.items()}
+    step, n_mean = 0, 0
+    epochs = max(epochs, -(-steps * batch // len(texts)))
     parts = [range(i, min(i + 200, len(texts))) for i in range(0, len(texts), 200)]
-    for _ in range(epochs):
+    for epoch in range(epochs):
         best = []  # (text, first word in it, words) of each text's highest window
         for part in parts:
             t = Texts([texts[i] for i in part])
-            text, first, size, out = net.window_scores(t)
+            if epoch:
+                text, first, size, out = net.window_scores(t)
+            else:
+                text, first, size = t.windows()
+                total = np.append(0, np.cumsum(lean[net.known(t.hashes)]))
+                out = total[first + size] - total[first]
             begin = np.cumsum(t.counts) - t.counts
             order = np.lexsort((-out, text))
             for j in order[np.unique(text[order], return_index=True)[1]]:
@@ -256,12 +268,19 @@ def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs:
         for i in range(0, len(best), batch):
             pick = sorted(best[i : i + batch], key=lambda w: -w[2])
             own = Texts([b" ".join(plain(texts[d]).split()[at : at + n]) for d, at, n in pick])
+            own.hashes = np.where(random.random(len(own.hashes)) < unknown, np.uint64(0), own.hashes)
             _, g = net.gradients(own, np.cumsum(own.counts) - own.counts, own.counts, labels[[w[0] for w in pick]].astype(np.float32))
             step += 1
             for k in net.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 s[k] = 0.99 * s[k] + 0.01 * g[k] * g[k]
                 net.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+            if epoch >= epochs - averaged:
+                n_mean += 1
+                for k in net.p:
+                    mean[k] += net.p[k]
+    if n_mean:  # 0 if no text has a word
+        net.p = {k: (v / n_mean).astype(np.float32) for k, v in mean.items()}
     return net
 
 

@@ -167,7 +167,7 @@ def toxic(net, text, window=64, step=32, trigrams=1 << 14):
         xs = inputs[at : at + window]
         if not xs:
             return sigmoid(p["b"][0])
-        s = [f + b + x for f, b, x in zip(states(xs, "f"), states(xs, "b"), xs, strict=True)]
+        s = [f + b for f, b in zip(states(xs, "f"), states(xs, "b"), strict=True)]
         e = [math.exp(dot(v, p["u"])) for v in s]
         pooled = [sum(w * v[k] for w, v in zip(e, s, strict=True)) / sum(e) for k in range(len(s[0]))]
         best, at = max(best, dot(pooled, p["v"]) + p["b"][0]), at + step
