@@ -220,10 +220,10 @@ class Network:
         return _sigmoid(np.where(np.isfinite(best), best, float(self.p["b"][0])))
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs: int = 8, steps: int = 400, averaged: int = 3, batch: int = 32, rate: float = 0.01, unknown: float = 0.15, seed: int = 0) -> Network:
+def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs: int = 6, steps: int = 400, averaged: int = 2, batch: int = 32, rate: float = 0.01, unknown: float = 0.15, seed: int = 0) -> Network:
     """Fit to texts with labels 0 and 1. The first epoch takes the window of each text whose words have the greatest sum of
-    log odds (smoothed, less two standard errors), as random weights can't choose; each later one every text's highest
-    window (that of the score). A share `unknown` of the words is taken as outside the vocabulary, so that trigrams learn too.
+    log odds (smoothed, less two standard errors), as random weights can't choose; the second and then every other one takes
+    every text's highest window (that of the score), which the next keeps. A share `unknown` of the words is taken as outside the vocabulary, so that trigrams learn too.
     Small samples take more epochs, until there are `steps` steps. The result is the mean of the weights over the steps of the
     last `averaged` epochs."""
     random = np.random.default_rng(seed)
@@ -248,22 +248,23 @@ def train(texts: list[bytes], labels: np.ndarray, *, min_texts: int = 3, epochs:
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
     mean = {k: np.zeros(v.shape) for k, v in net.p.items()}
     step, n_mean = 0, 0
-    epochs = max(epochs, -(-steps * batch // len(texts)))
+    epochs = max(epochs, -(-steps // -(-len(texts) // batch)))
     parts = [range(i, min(i + 200, len(texts))) for i in range(0, len(texts), 200)]
     for epoch in range(epochs):
-        best = []  # (text, first word in it, words) of each text's highest window
-        for part in parts:
-            t = Texts([texts[i] for i in part])
-            if epoch:
-                text, first, size, out = net.window_scores(t)
-            else:
-                text, first, size = t.windows()
-                total = np.append(0, np.cumsum(lean[net.known(t.hashes)]))
-                out = total[first + size] - total[first]
-            begin = np.cumsum(t.counts) - t.counts
-            order = np.lexsort((-out, text))
-            for j in order[np.unique(text[order], return_index=True)[1]]:
-                best.append((part[text[j]], int(first[j] - begin[text[j]]), int(size[j])))
+        if epoch == 0 or epoch % 2:
+            best = []  # (text, first word in it, words) of each text's highest window
+            for part in parts:
+                t = Texts([texts[i] for i in part])
+                if epoch:
+                    text, first, size, out = net.window_scores(t)
+                else:
+                    text, first, size = t.windows()
+                    total = np.append(0, np.cumsum(lean[net.known(t.hashes)]))
+                    out = total[first + size] - total[first]
+                begin = np.cumsum(t.counts) - t.counts
+                order = np.lexsort((-out, text))
+                for j in order[np.unique(text[order], return_index=True)[1]]:
+                    best.append((part[text[j]], int(first[j] - begin[text[j]]), int(size[j])))
         random.shuffle(best)
         for i in range(0, len(best), batch):
             pick = sorted(best[i : i + batch], key=lambda w: -w[2])
