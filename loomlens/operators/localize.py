@@ -107,6 +107,29 @@ def covered(boxes_of: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFra
     return rows.select(*keys, F.col("py").alias("y"), F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)).alias("x")).distinct()
 
 
+def overlap_areas(first: DataFrame, second: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """(keys, area_first, area_second, area_both) of the union of each side's boxes (keys, x, y, w, h), by sweep lines.
+
+    Box sides cut an image into vertical strips; in each, running sums over the boxes' ends give how many boxes of
+    either side lie at a height. Work grows with the boxes and the strips that they cross, not with pixels, and sides may be
+    fractions. Images without a box of either side give no row; empty boxes, and boxes with a null, don't count.
+    """
+    keys = list(keys)
+    side_of = lambda boxes_of, a, b: boxes_of.select(*keys, "x", "y", (F.col("x") + F.col("w")).alias("_x1"), (F.col("y") + F.col("h")).alias("_y1"), F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+    own = side_of(first, 1, 0).unionByName(side_of(second, 0, 1)).where((F.col("_x1") > F.col("x")) & (F.col("_y1") > F.col("y")))
+    across = Window.partitionBy(*keys).orderBy("_side")
+    strips = own.select(*keys, F.explode(F.array("x", "_x1")).alias("_side")).distinct().withColumns({"_strip": F.row_number().over(across), "_wide": F.lead("_side").over(across) - F.col("_side")})
+    numbered = lambda side, name: strips.select(*keys, F.col("_side").alias(side), F.col("_strip").alias(name))
+    crossed = own.join(numbered("x", "_i0"), [*keys, "x"]).join(numbered("_x1", "_i1"), [*keys, "_x1"]).withColumn("_strip", F.explode(F.sequence(F.col("_i0"), F.col("_i1") - 1)))
+    end = lambda at, sign: F.struct(F.col(at).alias("at"), (sign * F.col("_a")).alias("a"), (sign * F.col("_b")).alias("b"))
+    ends = crossed.select(*keys, "_strip", F.explode(F.array(end("y", 1), end("_y1", -1))).alias("_e")).groupBy(*keys, "_strip", "_e.at").agg(F.sum("_e.a").alias("_da"), F.sum("_e.b").alias("_db"))
+    up = Window.partitionBy(*keys, "_strip").orderBy("at")
+    spans = ends.select(*keys, "_strip", (F.lead("at").over(up) - F.col("at")).alias("_high"), (F.sum("_da").over(up) > 0).alias("_in_a"), (F.sum("_db").over(up) > 0).alias("_in_b")).where("_in_a or _in_b")
+    covered_by = lambda on: F.coalesce(F.sum(F.when(on, F.col("_high") * F.col("_wide"))), F.lit(0))
+    a, b = F.col("_in_a"), F.col("_in_b")
+    return spans.join(strips.drop("_side"), [*keys, "_strip"]).groupBy(*keys).agg(covered_by(a).alias("area_first"), covered_by(b).alias("area_second"), covered_by(a & b).alias("area_both"))
+
+
 def grid_cells(boxes_of: DataFrame, size: int, gh: int, gw: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Add the feature-grid cells (gy, gx) each box touches, one at least."""
     low = lambda c, n: F.floor(F.col(c) * n / size)

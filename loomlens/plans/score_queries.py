@@ -450,6 +450,18 @@ def box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.covered(_boxes(spark, sf_dir))
 
 
+_TRUTH_CELLS = _GT + _COMP.format(p="q", t="gt", s=0) + """, tbox AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM qc GROUP BY image_id, comp),
+ thit AS (SELECT DISTINCT p.image_id, p.y, p.x FROM fx_pixels p JOIN tbox t ON p.image_id = t.image_id AND p.y BETWEEN t.y0 AND t.y1 AND p.x BETWEEN t.x0 AND t.x1)"""
+
+
+@query(with_views("fx_pixels") + _BOXES.format(a=1) + _CELLS + _TRUTH_CELLS + """ SELECT coalesce(h.image_id, t.image_id) AS image_id, count(h.x) AS area_found, count(t.x) AS area_truth, count(*) FILTER (h.x IS NOT NULL AND t.x IS NOT NULL) AS area_both, round(count(*) FILTER (h.x IS NOT NULL AND t.x IS NOT NULL) / count(*), 6) AS iou
+ FROM hit h FULL JOIN thit t ON h.image_id = t.image_id AND h.y = t.y AND h.x = t.x GROUP BY ALL""")
+def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of the found boxes, of the boxes around true regions, and of both, per image."""
+    areas = L.overlap_areas(_boxes(spark, sf_dir), L.boxes(_truth(spark, sf_dir, 4), 1)).withColumnsRenamed({"area_first": "area_found", "area_second": "area_truth"})
+    return rounded(areas.withColumn("iou", F.col("area_both") / (F.col("area_found") + F.col("area_truth") - F.col("area_both"))), "iou")
+
+
 @query(with_views("fx_pixels") + _BOXES.format(a=1) + " SELECT image_id, x, y, w, h, area, score, gy, gx FROM boxes, range(4) a(gy), range(4) b(gx) WHERE gy >= y // 4 AND gy < greatest(y // 4 + 1, (y + h) // 4) AND gx >= x // 4 AND gx < greatest(x // 4 + 1, (x + w) // 4)")
 def box_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.grid_cells(_boxes(spark, sf_dir), 16, 4, 4)
