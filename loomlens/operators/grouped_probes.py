@@ -8,6 +8,9 @@ driver is only whether groups are left. The minimum is that of multinomial logis
 A calibrated probe is, as in deployment, a member per inner fold with calibrators fitted on the fold that it hasn't seen; a row's
 probabilities are the mean over members. Calibrators are sigmoids of the probability, against targets drawn in by the class counts
 (Platt, 1999), so they are finite on separable rows too.
+
+Rows of equal features, class and fold are counted before any fit and stand there once, with their number as weight, which leaves every sum as
+it is. Folds and inner folds both follow from a row's number in its class, so rows are dealt once, whatever the number of models.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlens.operators.graph import shared_table
+from loomlens.operators.ranking import hash_numbered, hash_offsets
 
 BLOCK, MEMORY = 16384, 12
 _STATE = "model string, reg double, mean array<double>, scale array<double>, classes int, present array<double>, at array<double>, trial array<double>, loss double, slope array<double>, moves array<double>, turns array<double>, metric array<double>, left boolean"
@@ -117,11 +121,18 @@ def _advance(s: dict, sums: np.ndarray, tolerance: float) -> dict:
 
 
 def _minimised(rows: DataFrame, key: str, reg: DataFrame, max_iter: int, tolerance: float) -> DataFrame:
-    """(model, probe) of rows (model, key, features, target, weight) and penalties (model, reg)."""
-    vec = array_to_vector(F.col("features").cast("array<double>"))
-    held = rows.groupBy("model").agg(Summarizer.metrics("mean", "std").summary(vec).alias("s"), F.max(F.size("target")).alias("classes"), vector_to_array(Summarizer.sum(array_to_vector("target"))).alias("present"))
+    """(model, probe) of rows (model, key, features, target, weight, n) and penalties (model, reg); a row stands for n equal ones."""
+    vec, total, squares = array_to_vector(F.col("features").cast("array<double>")), F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))
+    facts = Summarizer.metrics("mean", "variance", "min", "max").summary(vec, F.col("n").cast("double"))
+    held = rows.groupBy("model").agg(facts.alias("s"), total.alias("_all"), squares.alias("_squares"), F.max(F.size("target")).alias("classes"), vector_to_array(Summarizer.sum(array_to_vector("target"))).alias("present"))
+    # The deviation of all rows, n of each: the summarizer takes the weights for other than counts. A feature that doesn't vary has 0.
+    factor = F.when(F.col("_all") > 1, (F.col("_all") - F.col("_squares") / F.col("_all")) / (F.col("_all") - 1)).otherwise(F.lit(0.0))
+    ends = F.arrays_zip(vector_to_array("s.variance").alias("v"), vector_to_array("s.min").alias("lo"), vector_to_array("s.max").alias("hi"))
+    scale = F.transform(ends, lambda e: F.when(e["lo"] == e["hi"], F.lit(0.0)).otherwise(F.sqrt(e["v"] * F.col("_factor"))))
+    held = held.withColumn("_factor", factor).select("model", "classes", "present", vector_to_array("s.mean").alias("mean"), scale.alias("scale"))
+    rows = rows.withColumn("weight", F.col("weight") * F.col("n"))
     none, zeros = F.lit(None).cast("array<double>"), F.array_repeat(F.lit(0.0), F.col("classes") * (F.size("mean") + 1))
-    state = held.join(reg, "model").select("model", "reg", vector_to_array("s.mean").alias("mean"), vector_to_array("s.std").alias("scale"), "classes", "present")
+    state = held.join(reg, "model").select("model", "reg", "mean", "scale", "classes", "present")
     state = state.select("*", zeros.alias("at"), zeros.alias("trial"), F.lit(None).cast("double").alias("loss"), none.alias("slope"), F.array().cast("array<double>").alias("moves"), F.array().cast("array<double>").alias("turns"), none.alias("metric"), F.lit(True).alias("left"))
     state, blocks = shared_table(state), shared_table(_blocks(rows, key, ["features", "target", "weight"]))
     names = [c.split()[0] for c in _STATE.split(", ")]
@@ -156,16 +167,21 @@ def _minimised(rows: DataFrame, key: str, reg: DataFrame, max_iter: int, toleran
     return shared_table(done.unionByName(state).select("model", probe.cast(_PROBE).alias("probe")))
 
 
-def fit_probes(rows: DataFrame, by: Sequence[str], classes: int, *, key: str = "id", c: float = 1.0, max_iter: int = 300, tolerance: float = 1e-9) -> DataFrame:
+def fit_probes(rows: DataFrame, by: Sequence[str], classes: int, *, key: str = "id", c: float = 1.0, max_iter: int = 300, tolerance: float = 1e-9, n: str | None = None) -> DataFrame:
     """(model, probe): for each value of the keys `by` multinomial logistic regression on rows (by, key, features, y) with balanced weights
-    and an L2 penalty of 1 / (c n); features are standardised by the model's own rows. Classes that a model's rows lack get 0."""
-    rows = rows.select(_model(by), key, "features", "y")
-    counts = rows.groupBy("model", "y").agg(F.count(F.lit(1)).alias("_n"))
+    and an L2 penalty of 1 / (c n); features are standardised by the model's own rows. Classes that a model's rows lack get 0. A column n
+    says for how many equal rows a row stands."""
+    if n is None:
+        rows = rows.select(_model(by), key, "features", "y", F.lit(1).cast("long").alias("n"))
+    else:
+        rows, key = shared_table(rows.groupBy(_model(by), "features", "y").agg(F.sum(n).alias("n"))), "features"
+    counts = rows.groupBy("model", "y").agg(F.sum("n").alias("_n"))
     totals = counts.groupBy("model").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     weights = counts.join(totals, "model").select("model", "y", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
     target = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: (i == F.col("y")).cast("double"))
     reg = totals.select("model", (1 / (c * F.col("_all"))).alias("reg"))
-    return _minimised(rows.join(weights, ["model", "y"]).select("model", key, "features", target.alias("target"), "weight"), key, reg, max_iter, tolerance)
+    weighted = rows.join(F.broadcast(weights), ["model", "y"]).withColumn("target", target)  # a row per model and class
+    return _minimised(weighted.select(*dict.fromkeys(["model", key, "features", "target", "weight", "n"])), key, reg, max_iter, tolerance)
 
 
 def probabilities(rows: DataFrame, probes: DataFrame, by: Sequence[str], key: str = "id") -> DataFrame:
@@ -206,14 +222,26 @@ class GroupedProbes:
         return probabilities(rows.withColumn("_deal", deal), self.probes, self.by, "_deal").drop("_deal")
 
 
+def _dealt(rows: DataFrame, by: Sequence[str], key: str, most: int, seed: int) -> DataFrame:
+    """rows with _no (from 0, by seeded hash inside the class and keys), _folds and _within: the inner folds of what each fold leaves.
+    Rows of keys whose smallest class has one row are left out."""
+    offsets = hash_offsets(rows, [*by, "y"], key, seed)
+    sizes = offsets.groupBy(*by, "y").agg(F.first("_all").alias("_n")).groupBy(F.struct(*by).alias("_of")).agg(F.collect_list("_n").alias("_ns"))
+    sizes = sizes.withColumn("_folds", F.least(F.lit(most).cast("long"), F.array_min("_ns"))).where("_folds >= 2")
+    within = F.expr(f"transform(sequence(0L, _folds - 1), o -> least({most}L, array_min(transform(_ns, n -> n - (n - o + _folds - 1) div _folds))))")
+    offsets = offsets.withColumn("_of", F.struct(*by)).join(sizes.select("_of", "_folds", within.alias("_within")), "_of").drop("_of")
+    return hash_numbered(rows, offsets, [*by, "y"], key, seed).withColumn("_no", F.col("_no") - 1)
+
+
 def stratified(rows: DataFrame, by: Sequence[str], key: str = "id", most: int = 5, seed: int = 0, name: str = "fold") -> DataFrame:
     """rows with the fold of each: its number by seeded hash inside its class and keys, modulo the number of folds, min(most, rows of
     the smallest class); rows of keys whose smallest class has one row have none and are left out."""
-    h = F.struct(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key))
-    rows = rows.withColumn("_m", _model(by))
-    counts = rows.groupBy("_m", "y").count().groupBy("_m").agg(F.least(F.lit(most), F.min("count")).alias("_folds"))
-    number = F.row_number().over(Window.partitionBy("_m", "y").orderBy(h)) - 1
-    return rows.join(counts, "_m").where("_folds >= 2").withColumn(name, (number % F.col("_folds")).cast("int")).drop("_m", "_folds")
+    return _dealt(rows, by, key, most, seed).withColumn(name, (F.col("_no") % F.col("_folds")).cast("int")).drop("_no", "_folds", "_within")
+
+
+#: A row's fold among the rows that each outer fold leaves, which are dealt by the same order; -1 for its own, and where those can't be dealt.
+_INNERS = """transform(_within, (f, o) -> if(_no % _folds = o or f < 2, -1L,
+    (_no - if(_no > o, (_no - o + _folds - 1) div _folds, 0L)) % f))"""
 
 
 def _others(rows: DataFrame, fold: str, name: str) -> DataFrame:
@@ -228,17 +256,24 @@ def _with_every(rows: DataFrame, by: Sequence[str], fold: str) -> DataFrame:
 
 def fit_calibrated(rows: DataFrame, by: Sequence[str], classes: int, *, key: str = "id", folds: int = 5, **options) -> DataFrame:
     """(model, probe): a member for each inner fold of the keys, fitted on the other folds, with its calibrators' a and b."""
+    folded = stratified(rows.select(*by, key, "features", "y"), by, key, folds, name="_inner")
+    return _members(shared_table(folded.groupBy(*by, "features", "y", "_inner").agg(F.count(F.lit(1)).alias("_count"))), by, classes, **options)
+
+
+def _members(counted: DataFrame, by: Sequence[str], classes: int, **options) -> DataFrame:
+    """As fit_calibrated, of rows (by, features, y, _inner, _count)."""
     inner = [*by, "_member"]
-    folded = shared_table(_with_every(stratified(rows.select(*by, key, "features", "y"), by, key, folds, name="_inner"), by, "_inner"))
-    probes = fit_probes(_others(folded, "_inner", "_member"), inner, classes, key=key, **options)
-    judged = shared_table(probabilities(folded.withColumn("_member", F.col("_inner")).drop("_every"), probes, inner, key))
-    one = judged.select(*inner, key, "y", F.posexplode("proba").alias("_class", "_x"))
-    counts = one.groupBy(_model([*inner, "_class"])).agg(F.count_if(F.col("y") == F.col("_class")).alias("_pos"), F.count_if(F.col("y") != F.col("_class")).alias("_neg"))
+    folded = _with_every(counted, by, "_inner")
+    probes = fit_probes(_others(folded, "_inner", "_member"), inner, classes, n="_count", **options)
+    judged = shared_table(probabilities(counted.withColumn("_member", F.col("_inner")), probes, inner, "features"))
+    one = judged.select(*inner, "y", "_count", F.posexplode("proba").alias("_class", "_x"))
+    hits = lambda hit: F.sum(F.when(hit, F.col("_count")).otherwise(0))
+    counts = one.groupBy(_model([*inner, "_class"])).agg(hits(F.col("y") == F.col("_class")).alias("_pos"), hits(F.col("y") != F.col("_class")).alias("_neg"))
     t = F.when(F.col("y") == F.col("_class"), (F.col("_pos") + 1) / (F.col("_pos") + 2)).otherwise(1 / (F.col("_neg") + 2))
-    soft = one.withColumn("model", _model([*inner, "_class"])).join(counts, "model").select("model", _model(inner).alias("_of"), "_class", key, F.array("_x").alias("features"), F.array(1 - t, t).alias("target"), F.lit(1.0).alias("weight"))
+    soft = one.withColumn("model", _model([*inner, "_class"])).join(F.broadcast(counts), "model").select("model", _model(inner).alias("_of"), "_class", F.array("_x").alias("features"), F.array(1 - t, t).alias("target"), F.lit(1.0).alias("weight"), F.col("_count").alias("n"))
     soft = shared_table(soft)
     free = soft.select("model").distinct().withColumn("reg", F.lit(0.0))
-    sigmoids = _minimised(soft, key, free, 200, 1e-9).join(soft.select("model", "_of", "_class").distinct(), "model")
+    sigmoids = _minimised(soft, "features", free, 200, 1e-9).join(soft.select("model", "_of", "_class").distinct(), "model")
     # Two classes of slope and intercept on the standardised probability, as one sigmoid of the probability itself.
     get = lambda i: F.element_at("probe.coef", i)
     scale = F.element_at("probe.scale", 1)
@@ -253,12 +288,23 @@ def fit_calibrated(rows: DataFrame, by: Sequence[str], classes: int, *, key: str
 
 def out_of_fold(rows: DataFrame, by: Sequence[str], classes: int, *, key: str = "id", folds: int = 5, calibrate: bool = True, **options) -> DataFrame:
     """rows (by, key, features, y) with fold and proba from the estimator fitted on the other folds of the keys: the raw probe, or the
-    calibrated one with inner folds of its own. All keys and folds are fitted together."""
-    outer = [*by, "_asked"]
-    folded = shared_table(_with_every(stratified(rows.select(*by, key, "features", "y"), by, key, folds), by, "fold"))
-    known = _others(folded, "fold", "_asked").drop("_every")
-    probes = (fit_calibrated if calibrate else fit_probes)(known, outer, classes, key=key, **options)
-    return probabilities(folded.withColumn("_asked", F.col("fold")).drop("_every"), probes, outer, key).drop("_asked")
+    calibrated one with inner folds of its own. All keys and folds are fitted together. Rows of a fold with equal features are scored once."""
+    outer, count = [*by, "_asked"], F.count(F.lit(1)).alias("_count")
+    dealt = _dealt(rows.select(*by, key, "features", "y"), by, key, folds, 0)
+    fold = (F.col("_no") % F.col("_folds")).cast("int").alias("fold")
+    folded = shared_table(dealt.select(*by, key, "features", "y", fold, *[F.expr(_INNERS).cast("array<int>").alias("_inners")] * calibrate))
+    if calibrate:
+        counted = folded.groupBy(*by, "features", "y", "_inners").agg(count)
+        counted = counted.select(*by, "features", "y", F.posexplode("_inners").alias("_asked", "_inner"), "_count").where("_inner >= 0")
+        probes = _members(shared_table(counted.groupBy(*outer, "features", "y", "_inner").agg(F.sum("_count").alias("_count"))), outer, classes, **options)
+    else:
+        counted = shared_table(folded.groupBy(*by, "features", "y", "fold").agg(count))
+        probes = fit_probes(_others(_with_every(counted, by, "fold"), "fold", "_asked"), outer, classes, n="_count", **options)
+    folded = folded.drop("_inners").withColumn("_asked", F.col("fold"))
+    scored = shared_table(probabilities(folded.select(*outer, "features").distinct(), probes, outer, "features"))
+    scored = scored.select(F.struct(*outer).alias("_of"), F.col("features").alias("_x"), "proba")
+    found = folded.withColumn("_g", F.struct(*outer)).join(scored, (F.col("_g") == F.col("_of")) & (F.col("features") == F.col("_x")))
+    return found.drop("_g", "_of", "_x", "_asked")
 
 
 def save_probes(probes: DataFrame, path: str, labels: Sequence[str], threshold: float | None = None) -> None:
