@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlens.operators.graph import shared_table
+from loomlens.operators.ranking import hash_numbered, hash_offsets, hash_order
 
 
 def tiles(strips: DataFrame, tile: int = 256) -> DataFrame:
@@ -26,10 +27,6 @@ def group_of(name: Column) -> Column:
     return F.regexp_replace(name, r"_t\d+$", "")
 
 
-def hash_order(seed: int, key: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
-
-
 def split_by_group(rows: DataFrame, group: str, n_train: int, n_test: int, seed: int = 0) -> DataFrame:
     """(group, n, split): groups in seeded hash order go whole to train while it has fewer than n_train
     rows, then to test while that has fewer than n_test; the rest gets no row.
@@ -50,12 +47,18 @@ def split_by_group(rows: DataFrame, group: str, n_train: int, n_test: int, seed:
 def split_by_tile(rows: DataFrame, key: str, n_train: int, n_test: int, seed: int = 0) -> DataFrame:
     """(key, split): the baseline that ignores groups; the first n_train rows in hash order, the next n_test.
 
-    Rows are numbered in two levels, so neither all nor the chosen ones have to fit one task. Keys are unique."""
-    from loomlens.operators.ranking import running_sums
+    Rows are counted by range of the hash first; only those of ranges that reach into the chosen ones are shuffled and numbered, in two
+    levels, so neither all nor the chosen ones have to fit one task. Keys are unique."""
+    most, digits = n_train + n_test, 3
+    offsets = hash_offsets(rows, [], key, seed, digits).where(F.col("_before") < most)
+    numbered = hash_numbered(_in_ranges(rows.select(key), offsets, key, seed, digits), offsets, [], key, seed, digits).where(F.col("_no") <= most)
+    return numbered.select(key, F.when(F.col("_no") <= n_train, "train").otherwise("test").alias("split"))
+
 
-    ordered = rows.select(key, F.struct(hash_order(seed, F.col(key)).alias("h"), F.col(key).alias("k")).alias("_h"), F.lit(1).alias("_one"))
-    numbered = running_sums(ordered, [], "_h", ["_one"]).where(F.col("_one_upto") <= n_train + n_test)
-    return numbered.select(key, F.when(F.col("_one_upto") <= n_train, "train").otherwise("test").alias("split"))
+def _in_ranges(rows: DataFrame, offsets: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
+    """rows whose hash isn't beyond the last of the ranges, which are the first of the order."""
+    last = offsets.agg(F.max("_range")).first()[0]
+    return rows.where(F.substring(hash_order(seed, F.col(key)), 1, digits) <= F.lit(last)) if last is not None else rows.limit(0)
 
 
 def leakage(rows: DataFrame, group: str) -> DataFrame:
