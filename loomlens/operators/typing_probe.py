@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -40,16 +40,25 @@ def label_index(rows: DataFrame, label: str = "defect_type") -> DataFrame:
 
 def train_probe(rows: DataFrame, c: float = 1.0, max_iter: int = 2000) -> PipelineModel:
     """Multinomial logistic regression on rows (features array, y) with balanced weights and an L2
-    penalty of 1 / (c n). Features are standardised by the rows' own means and deviations."""
-    n = rows.count()
-    weighted = rows.join(class_weights(rows).select("y", "weight"), "y").withColumn("vec", array_to_vector(F.col("features").cast("array<double>")))
-    scale = StandardScaler(inputCol="vec", outputCol="scaled", withMean=True, withStd=True)
+    penalty of 1 / (c n). Features are standardised by the rows' own means and deviations. The fit sees
+    equal rows once, with their number as weight."""
+    scale = StandardScaler(inputCol="vec", outputCol="scaled", withMean=True, withStd=True).fit(_with_vec(rows.select("features")))
+    counted = shared_table(rows.groupBy("features", "y").agg(F.count(F.lit(1)).alias("n")))
+    per = counted.groupBy("y").agg(F.sum("n").alias("_own"))
+    totals = per.agg(F.sum("_own").alias("_all"), F.count(F.lit(1)).alias("_k"))
+    weights = per.join(F.broadcast(totals)).select("y", "_all", (F.col("_all") / (F.col("_k") * F.col("_own"))).alias("_each"))
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    weighted = _with_vec(counted.join(F.broadcast(weights), "y").withColumn("weight", F.col("_each") * F.col("n")))  # a row per class
     fit = LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / (c * max(1, n)), maxIter=max_iter, standardization=False, probabilityCol="probability")
-    return Pipeline(stages=[scale, fit]).fit(weighted)
+    return PipelineModel([scale, fit.fit(scale.transform(weighted))])
+
+
+def _with_vec(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("vec", array_to_vector(F.col("features").cast("array<double>")))
 
 
 def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    scored = model.transform(rows.withColumn("vec", array_to_vector(F.col("features").cast("array<double>"))))
+    scored = model.transform(_with_vec(rows))
     return scored.withColumn("proba", vector_to_array("probability")).drop("vec", "scaled", "rawPrediction", "probability", "prediction")
 
 
@@ -93,18 +102,19 @@ def out_of_fold(rows: DataFrame, folds: int, classes: int | None = None, method:
     return out
 
 
-def fit_calibrators(rows: DataFrame, classes: int, method: str = "sigmoid") -> list:
+def fit_calibrators(rows: DataFrame, classes: int, method: str = "sigmoid", n: str | None = None) -> list:
     """One calibrator per class, against the rest, of rows (y, proba): logistic regression on the probability
-    (sigmoid) or isotonic regression."""
+    (sigmoid) or isotonic regression. Equal rows are fitted once, with their number as weight; a column n says for how many a row stands."""
     from pyspark.ml.regression import IsotonicRegression
 
     found = []
     for k in range(classes):
-        one = rows.select(F.col("proba")[k].alias("_x"), (F.col("y") == k).cast("double").alias("_t"))
+        own = F.sum(F.lit(1.0) if n is None else F.col(n).cast("double")).alias("_w")
+        one = rows.groupBy(F.col("proba")[k].alias("_x"), (F.col("y") == k).cast("double").alias("_t")).agg(own)
         if method == "isotonic":
-            found.append(IsotonicRegression(featuresCol="_x", labelCol="_t", predictionCol=f"_c{k}").fit(one))
+            found.append(IsotonicRegression(featuresCol="_x", labelCol="_t", weightCol="_w", predictionCol=f"_c{k}").fit(one))
         else:
-            found.append(LogisticRegression(featuresCol="_v", labelCol="_t", probabilityCol="_p", predictionCol="_d", rawPredictionCol="_r").fit(one.withColumn("_v", array_to_vector(F.array("_x")))))
+            found.append(LogisticRegression(featuresCol="_v", labelCol="_t", weightCol="_w", probabilityCol="_p", predictionCol="_d", rawPredictionCol="_r").fit(one.withColumn("_v", array_to_vector(F.array("_x")))))
     return found
 
 
@@ -123,14 +133,14 @@ def apply_calibrators(calibrators: Sequence, rows: DataFrame, classes: int) -> D
     return out.withColumn("proba", F.when(total > 0, F.transform(F.array(*parts), lambda p: p / total)).otherwise(even)).drop(*[f"_c{k}" for k in range(classes)])
 
 
-def calibrated(rows: DataFrame, classes: int, method: str = "sigmoid") -> DataFrame:
-    """rows (y, proba) with proba calibrated. With a column fold, each fold by calibrators fitted on the others;
+def calibrated(rows: DataFrame, classes: int, method: str = "sigmoid", n: str | None = None) -> DataFrame:
+    """rows (y, proba; n as in fit_calibrators) with proba calibrated. With a column fold, each fold by calibrators fitted on the others;
     without one, all rows by calibrators fitted on them: for deployment, not to be judged on the same rows."""
     if "fold" not in rows.columns:
-        return apply_calibrators(fit_calibrators(rows, classes, method), rows, classes)
+        return apply_calibrators(fit_calibrators(rows, classes, method, n), rows, classes)
     out = None
     for k in range(rows.agg(F.max("fold")).first()[0] + 1):
-        part = apply_calibrators(fit_calibrators(rows.where(F.col("fold") != k), classes, method), rows.where(F.col("fold") == k), classes)
+        part = apply_calibrators(fit_calibrators(rows.where(F.col("fold") != k), classes, method, n), rows.where(F.col("fold") == k), classes)
         out = part if out is None else out.unionByName(part)
     return out
 
