@@ -29,14 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b). Labels pass to neighbours and
-    then jump to the label of the label, so rounds grow with the logarithm of a component's width."""
+    then jump to the label of the label, so rounds grow with the logarithm of a component's width.
+    All joins are by shuffles: labels that look small enough to broadcast would pass through the driver in every round."""
     both = shared_table(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = shared_table(nodes.select("node", F.col("node").alias("component")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("low"))
+        near = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = labels.join(near.hint("merge"), "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
-        after = shared_table(lower.join(jump, "low", "left").select("node", "old", F.least("low", F.coalesce("next", "low")).alias("component")))
+        after = shared_table(lower.join(jump.hint("merge"), "low", "left").select("node", "old", F.least("low", F.coalesce("next", "low")).alias("component")))
         labels = after.select("node", "component")
         if not after.where("old <> component").limit(1).count():
             return labels

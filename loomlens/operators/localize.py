@@ -85,9 +85,9 @@ def components_by_runs(cells: DataFrame, connectivity: int, key: str = "image_id
     runs = runs.withColumn("run", F.struct(F.col(key), F.col("y"), F.col("x0")))
     slack = 1 if connectivity == 8 else 0
     below = runs.select(key, (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("run").alias("b"))
-    edges = runs.join(below, [key, "y"]).where((F.col("bx0") <= F.col("x1") + slack) & (F.col("bx1") >= F.col("x0") - slack)).select(F.col("run").alias("a"), "b")
+    edges = runs.join(below.hint("merge"), [key, "y"]).where((F.col("bx0") <= F.col("x1") + slack) & (F.col("bx1") >= F.col("x0") - slack)).select(F.col("run").alias("a"), "b")
     labels = connected(runs.select(F.col("run").alias("node")), edges)
-    placed = runs.join(labels, runs["run"] == labels["node"]).select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x"), (F.col("component.y") * F.lit(1 << 31) + F.col("component.x0")).alias("comp"))
+    placed = runs.join(labels.hint("merge"), runs["run"] == labels["node"]).select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x"), (F.col("component.y") * F.lit(1 << 31) + F.col("component.x0")).alias("comp"))
     return placed
 
 
